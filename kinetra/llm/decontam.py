@@ -22,6 +22,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
 #: Terms or phrases up to this count (under 100 MB) are broadcast; more are joined by shuffle.
 SMALL_TERMS = 500_000
+#: Document hashes up to this count (16 bytes each in a broadcast relation) are broadcast to narrow the last intersection.
+SMALL_DOCS = 3_000_000
 #: No token holds this character, so it can mark the one row that carries a document's length.
 LENGTH_MARK = "\x00"
 
@@ -68,13 +70,25 @@ class PositionalIndex:
         ranked, _ = written(self.rarest_first(phrases.select("phrase", "n").distinct()), "phrase-terms")
         first = broadcast_if_small(ranked.where(F.col("r") == 1), SMALL_TERMS)
         starts = self.postings.join(first, "term").select("d", "h", (F.col("p") - F.col("o")).alias("start"), "n", "phrase").where(F.col("start") >= 0).distinct()
-        rest = ranked.where(F.col("r") > 1).groupBy("phrase").agg(F.collect_list(F.struct("o", "term")).alias("rest"))
+        starts = self._narrowed(starts, ranked, 2)
+        starts, _ = written(self._narrowed(starts, ranked, 3), "starts")
+        rest = ranked.where(F.col("r") > 3).groupBy("phrase").agg(F.collect_list(F.struct("o", "term")).alias("rest"))
         wanted = starts.join(broadcast_if_small(rest, SMALL_TERMS // 13), "phrase", "left").select("d", "h", "start", "n", "phrase", F.explode_outer("rest").alias("x"))
-        single = wanted.where(F.col("x").isNull()).select("d", "h", "start", "n", "phrase")
+        short = wanted.where(F.col("x").isNull()).select("d", "h", "start", "n", "phrase")
         wanted = wanted.where(F.col("x").isNotNull()).select("d", "h", "start", "n", "phrase", (F.col("start") + F.col("x.o")).alias("p"), F.col("x.term").alias("term"))
-        found = wanted.alias("a").join(self.postings.alias("b"), same("a", "b", "d", "h", "p", "term"), "left_semi")
-        whole = found.groupBy("d", "h", "start", "n", "phrase").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") == F.col("n") - 1).drop("c")
-        return whole.unionByName(single)
+        here = self.postings.join(broadcast_if_small(starts.select("h").distinct(), SMALL_DOCS), "h", "left_semi")
+        found = wanted.alias("a").join(here.alias("b"), same("a", "b", "d", "h", "p", "term"), "left_semi")
+        whole = found.groupBy("d", "h", "start", "n", "phrase").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") == F.greatest(F.col("n") - 3, F.lit(0))).drop("c")
+        return whole.unionByName(short)
+
+    def _narrowed(self, starts: DataFrame, ranked: DataFrame, r: int) -> DataFrame:
+        """The starts whose term of rank r stands where it should; phrases of fewer terms pass. Only the lists of those terms are read."""
+        term = broadcast_if_small(ranked.where(F.col("r") == r).select("phrase", "o", "term"), SMALL_TERMS)
+        lists = self.postings.join(broadcast_if_small(ranked.where(F.col("r") == r).select("term").distinct(), SMALL_TERMS), "term", "left_semi")
+        wanted = starts.join(term, "phrase", "left").select("d", "h", "start", "n", "phrase", (F.col("start") + F.col("o")).alias("p"), "term")
+        cols = ("d", "h", "start", "n", "phrase")
+        found = wanted.where(F.col("n") >= r).alias("a").join(lists.alias("b"), same("a", "b", "d", "h", "p", "term"), "left_semi").select(*cols)
+        return found.unionByName(starts.where(F.col("n") < r).select(*cols))
 
     def proximity_matches(self, queries: DataFrame, slop: int) -> DataFrame:
         """(query, d, h, p): positions p of a query's rarest term that have each other term of the query within `slop` words.

@@ -58,7 +58,7 @@ def iqr_outliers(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def spearman(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Long matrix (feature_a, feature_b, rho) of rank correlations."""
-    table = ranked(df.select(*features), features)
+    table = ranked(df.select(*features).persist(), features)
     pairs = [(a, b) for a in features for b in features]
     row = table.agg(*[F.corr(f"{a}_rank", f"{b}_rank").alias(f"{a}__{b}") for a, b in pairs])
     items = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"{a}__{b}").alias("rho")) for a, b in pairs]

@@ -38,7 +38,7 @@ def robust_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(preprocess.Preprocessor(SPECS[1]).fit(t).scaled(t).select("trajectory_uid", *CORE_FEATURES))
 
 
-STANDARD_SQL = f"WITH {FEAT_SQL}, b AS (SELECT " + ", ".join(f"quantile_cont({f}, 0.01) AS {f}_lo, quantile_cont({f}, 0.99) AS {f}_hi" for f in CONTINUOUS_FEATURES) + "), w AS (SELECT trajectory_uid, " + ", ".join(f"least(greatest({f}, {f}_lo), {f}_hi) AS {f}" for f in CONTINUOUS_FEATURES) + ", CAST(observed_stop_transition_count AS DOUBLE) AS observed_stop_transition_count, stopped_time_ratio FROM feats, b)"
+STANDARD_SQL = f"WITH {FEAT_SQL}, b AS (SELECT " + ", ".join(f"quantile_cont({f}, 0.01) AS {f}_lo, quantile_cont({f}, 0.99) AS {f}_hi" for f in CONTINUOUS_FEATURES) + " FROM feats), w AS (SELECT trajectory_uid, " + ", ".join(f"least(greatest({f}, {f}_lo), {f}_hi) AS {f}" for f in CONTINUOUS_FEATURES) + ", CAST(observed_stop_transition_count AS DOUBLE) AS observed_stop_transition_count, stopped_time_ratio FROM feats, b)"
 
 
 @query(STANDARD_SQL + " SELECT trajectory_uid, " + r(*[f"{f}=({f} - (SELECT avg({f}) FROM w)) / (SELECT CASE WHEN stddev_pop({f}) = 0 THEN 1.0 ELSE stddev_pop({f}) END FROM w)" for f in CORE_FEATURES]) + " FROM w")
@@ -54,7 +54,7 @@ def pca_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fitted(spark: SparkSession, sf_dir: str) -> tuple[preprocess.Preprocessor, DataFrame]:
-    t = features(spark, sf_dir)
+    t = features(spark, sf_dir).persist()  # one row for each trajectory, read by every pass of the fit
     return preprocess.Preprocessor(SPECS[2]).fit(t), t
 
 

@@ -1,8 +1,12 @@
 import os
+import pathlib
+import sys
 
 import pytest
 from pyspark.sql import SparkSession
 
+sys.path.insert(0, str(pathlib.Path(__file__).parents[1]))
+
 
 @pytest.fixture(scope="session")
 def spark():

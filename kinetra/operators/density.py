@@ -206,4 +206,4 @@ def sampled_labels(sample: DataFrame, id_col: str, columns: Sequence[str], metho
         return pd.DataFrame({"i": pdf.i, "label": fit(np.array(pdf.v.tolist(), dtype=float), **settings)})
 
     table = sample.select(F.col(id_col).cast("long").alias("i"), F.array(*[F.col(c).cast("double") for c in columns]).alias("v"))
-    return table.groupBy(F.lit(0)).applyInPandas(run, "i long, label int").withColumnRenamed("i", id_col)
+    return table.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(run, "i long, label int").withColumnRenamed("i", id_col)

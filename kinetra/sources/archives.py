@@ -8,9 +8,10 @@ import zipfile
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import csv
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 VEHICLE_MEMBER, METADATA_MEMBER, PEDESTRIAN_MEMBER = "Veh_smoothed_tracks.csv", "Veh_tracks_meta.csv", "Ped_smoothed_tracks.csv"
 #: The required columns of vehicle frames and their types.
@@ -61,40 +62,44 @@ def read_members(archives: DataFrame, member: str, schema: str, required: bool =
     Members are parsed in blocks as they are decompressed. A failed archive gives one row with status `failed`; an absent
     optional member gives none. Columns that an optional member lacks are null.
     """
-    from pyspark.sql.types import DoubleType, LongType
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StringType, StructField, StructType
 
-    kinds = StructType.fromDDL(schema) if hasattr(StructType, "fromDDL") else archives.sparkSession.createDataFrame([], schema).schema
+    kinds = archives.sparkSession.createDataFrame([], schema).schema
     wanted = [f.name for f in kinds.fields]
-    longs, doubles = [f.name for f in kinds.fields if isinstance(f.dataType, LongType)], [f.name for f in kinds.fields if isinstance(f.dataType, DoubleType)]
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                head = {"city": row.city, "recording_id": row.recording_id, "source_archive": posixpath.basename(row.path), "status": "ok", "error": None}
+    head = ["city", "recording_id", "source_archive", "status", "error"]
+    full = StructType([*(StructField(n, StringType()) for n in head), *kinds.fields])
+    arrow = to_arrow_schema(full)
+
+    def block(first: dict, rows: pa.Table | None) -> pa.RecordBatch:
+        n = 1 if rows is None else rows.num_rows
+        cols = [pa.array([first[h]] * n, pa.string()) for h in head]
+        for f in list(arrow)[len(head) :]:
+            found = rows is not None and f.name in rows.column_names
+            cols.append(rows.column(f.name).combine_chunks().cast(f.type) if found else pa.nulls(n, f.type))
+        return pa.RecordBatch.from_arrays(cols, schema=arrow)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                first = {"city": row["city"], "recording_id": row["recording_id"], "source_archive": posixpath.basename(row["path"]), "status": "ok", "error": None}
                 try:
-                    with zipfile.ZipFile(io.BytesIO(row.content)) as z:
+                    with zipfile.ZipFile(io.BytesIO(row["content"])) as z:
                         name = _member(z, member)
                         if name is None:
                             if required:
                                 raise FileNotFoundError(f"{member} is not in the archive")
                             continue
                         with z.open(name) as f:
-                            for block in pd.read_csv(f, chunksize=100_000, skipinitialspace=False):
-                                block.columns = [str(c).strip() for c in block.columns]
+                            for part in csv.open_csv(f, convert_options=csv.ConvertOptions(strings_can_be_null=True)):
+                                names = [str(c).strip() for c in part.schema.names]
                                 if required:
-                                    check_columns(block.columns, wanted)
-                                out = block.reindex(columns=wanted)
-                                for c in longs:
-                                    out[c] = out[c].astype("Int64")
-                                for c in doubles:
-                                    out[c] = out[c].astype(float)
-                                for c in set(wanted) - {*longs, *doubles}:
-                                    out[c] = out[c].astype("object").where(out[c].notna(), None)
-                                yield out.assign(**head)[[*head, *wanted]]
+                                    check_columns(names, wanted)
+                                yield block(first, pa.Table.from_batches([part]).rename_columns(names))
                 except Exception as e:  # a failure is a row, so that all of them are reported together
-                    yield pd.DataFrame([{**head, "status": "failed", "error": f"{type(e).__name__}: {e}"}]).reindex(columns=[*head, *wanted])
+                    yield block({**first, "status": "failed", "error": f"{type(e).__name__}: {e}"}, None)
 
-    return archives.mapInPandas(parse, f"city string, recording_id string, source_archive string, status string, error string, {schema}")
+    return archives.mapInArrow(parse, full)
 
 
 def read_frames(archives: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -86,5 +86,62 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in ops}
 
 
+UPPER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(LOWER_TEXT, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(LOWER_TEXT, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item, len(list_slice(w, i, i + 12)) AS n, array_to_string(list_slice(w, i, i + 12), ' ') AS phrase
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS phrase
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+m AS (SELECT doc_id, n, i, item FROM dw JOIN iw USING (n, phrase)),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id),
+it AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)
+""".replace("LOWER_TEXT", UPPER_SQL.format("coalesce(text, '')"))
+
+OP8_SQL = """
+WITH s AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
+k AS (SELECT *, LOWER_KEY AS key FROM s),
+c AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE c.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN c USING (key) GROUP BY doc_id
+""".replace("LOWER_KEY", UPPER_SQL.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"))
+OP9_SQL = """
+WITH u AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, url, LOWER_HOST AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+q AS (SELECT page_id, host, path, CASE RULES END AS rule FROM p),
+lab AS (SELECT doc_id, max(quality = 0 OR toxic = 1) AS bad FROM labels WHERE doc_id IS NOT NULL AND (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY doc_id),
+o AS (SELECT p.host, lab.bad FROM p LEFT JOIN lab ON lab.doc_id = TRY_CAST(regexp_extract(url, '://[^/?#]*/[a-z]+/([0-9]+)', 1) AS BIGINT)),
+h AS (SELECT host, count(bad) AS n, coalesce(sum(CAST(bad AS INTEGER)), 0) AS k, CASE WHEN len(string_split(host, '.')) <= 2 THEN host
+  WHEN len(string_split(host, '.')[-1]) = 2 AND string_split(host, '.')[-2] IN (SECOND) THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS domain FROM o GROUP BY host),
+h2 AS (SELECT *, CASE WHEN instr(domain, '.') > 0 THEN regexp_replace(domain, '^[^.]*\\.', '') ELSE domain END AS suffix FROM h),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h2 GROUP BY domain, suffix), s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY suffix),
+lv AS (SELECT 1 AS level, n, k FROM h2 UNION ALL SELECT 2, n, k FROM d UNION ALL SELECT 3, n, k FROM s),
+mo AS (SELECT level, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(k) AS DOUBLE) AS bad, sum(n * (k / n) * (k / n)) AS np2, count(*) AS c, CAST(sum(n * n) AS DOUBLE) AS n2 FROM lv WHERE n > 0 GROUP BY level),
+st AS (SELECT level, CASE WHEN c < 2 OR n = 0 THEN 10.0 ELSE (CASE WHEN w <= 0 THEN 10.0 WHEN b <= 0 THEN 1000.0 ELSE least(1000.0, greatest(1.0, w / b - 1)) END) END AS strength
+  FROM (SELECT *, (bad / n) * (1 - bad / n) AS w, (np2 - n * (bad / n) * (bad / n) - (c - 1) * (bad / n) * (1 - bad / n)) / greatest(n - n2 / n, 1e-9) AS b FROM mo)),
+g AS (SELECT coalesce((SELECT strength FROM st WHERE level = 1), 10.0) AS s1, coalesce((SELECT strength FROM st WHERE level = 2), 10.0) AS s2, coalesce((SELECT strength FROM st WHERE level = 3), 10.0) AS s3,
+  (coalesce((SELECT bad FROM mo WHERE level = 1), 0) + 1) / (coalesce((SELECT n FROM mo WHERE level = 1), 0) + 2) AS rate),
+ps AS (SELECT suffix, (s3 * rate + k) / (s3 + n) AS m FROM s, g), pd AS (SELECT domain, (s2 * m + k) / (s2 + n) AS m FROM d JOIN ps USING (suffix), g),
+ph AS (SELECT host, (s1 * m + k) / (s1 + n) AS mean, s1 + n AS t FROM h2 JOIN pd USING (domain), g)
+SELECT page_id, q.host, path, rule, CASE WHEN rule IN (ALLOWED) THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN mean - 1.6448536269514722 * sqrt(mean * (1 - mean) / (t + 1)) > 0.5 THEN 'block' ELSE 'allow' END AS verdict, round(mean, 6) AS bad_rate
+FROM q LEFT JOIN ph USING (host)
+"""
+
+
+def _op9_sql() -> str:
+    rules = sorted(URL_RULES, key=lambda r: -len(r[1]))
+    cases = " ".join(f"WHEN (host = '{t.partition('/')[0]}' OR ends_with(host, '.{t.partition('/')[0]}')) AND starts_with(path, '/{t.partition('/')[2]}') THEN '{t}'" for _, t in rules)
+    quoted = lambda xs: ", ".join(f"'{x}'" for x in xs)
+    sql = OP9_SQL.replace("LOWER_HOST", UPPER_SQL.format("regexp_extract(coalesce(rest, ''), '^[^/?#]*')"))
+    return sql.replace("RULES", cases).replace("SECOND", quoted(url_filter.SECOND_LEVEL)).replace("ALLOWED", quoted(t for a, t in rules if a == "allow"))
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the operators that SQL can express; the others are tested against plain-Python versions in tests/llm."""
+    return {"op7_positional_index": OP7_SQL, "op8_levelled_line_dedup": OP8_SQL, "op9_host_reputation": _op9_sql()}

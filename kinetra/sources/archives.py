@@ -13,6 +13,7 @@ from pyarrow import csv
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Names of archive members.
 VEHICLE_MEMBER, METADATA_MEMBER, PEDESTRIAN_MEMBER = "Veh_smoothed_tracks.csv", "Veh_tracks_meta.csv", "Ped_smoothed_tracks.csv"
 #: The required columns of vehicle frames and their types.
 FRAME_SCHEMA = "track_id long, frame_id long, timestamp_ms double, agent_type string, x double, y double, vx double, vy double, yaw_rad double, heading_rad double, length double, width double, ax double, ay double, v_lon double, v_lat double, a_lon double, a_lat double"

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 #: Fixed value: the published splitting pattern of byte-level BPE.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces and pairs that are kept between texts; a full store is emptied, so memory is bounded.
-MAX_PIECES = 150_000
-MAX_PAIRS = 1_000_000
+MAX_PIECES = 300_000
+MAX_PAIRS = 500_000
 #: Longer pieces are not stored.
 MAX_PIECE_BYTES = 64
 
@@ -66,13 +66,16 @@ class BpeCodec:
         self.added = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
         self.bytes_of |= {i: s.encode() for s, i in self.added.items()}
         self.automaton = ahocorasick.Automaton()
+        self.whole: dict[bytes, int] = {}
+        self.size = {i: len(b) for i, b in self.bytes_of.items()}
         for i, b in self.bytes_of.items():
             if (len(b) == 1 or i in made) and i not in self.added.values():
                 self.automaton.add_word(b.decode("latin-1"), (len(b), i))
+                self.whole[b] = i
         self.automaton.make_automaton()
         self.split = regex.compile(SPLIT)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.pieces: dict[str, bytes] = {}
 
     @staticmethod
@@ -91,34 +94,44 @@ class BpeCodec:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether a and b stay apart: no merge joins a right-hand part of a and a left-hand part of b while both are still there. Of equal ranks the left one goes first."""
-        known = self.pairs.get((a, b))
-        if known is None:
-            known = not any(
-                (r := self.rank.get((x, y))) is not None and r < x_used and r <= y_used
-                for x, x_used in self.right.get(a, ((a, float("inf")),))
-                for y, y_used in self.left.get(b, ((b, float("inf")),))
-            )
-            if len(self.pairs) >= MAX_PAIRS:
-                self.pairs.clear()
-            self.pairs[a, b] = known
+        known = not any(
+            (r := self.rank.get((x, y))) is not None and r < x_used and r <= y_used
+            for x, x_used in self.right.get(a, ((a, float("inf")),))
+            for y, y_used in self.left.get(b, ((b, float("inf")),))
+        )
+        if len(self.pairs) >= MAX_PAIRS:
+            self.pairs.clear()
+        self.pairs[a << 32 | b] = known
         return known
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        """Ids of one piece: last token of every prefix, then the back-pointers."""
-        n = len(piece)
-        last: list[int] = [-1] * (n + 1)
-        size = [0] * (n + 1)
+        """Ids of one piece: last token of every prefix, then the back-pointers. A token that is the whole piece needs no other prefix."""
+        one = self.whole.get(piece)
+        if one is not None:
+            return [one]
+        last: list[int] = [-1] * (len(piece) + 1)
+        pairs = self.pairs
         for end, (length, token) in self.automaton.iter(piece.decode("latin-1")):
-            start = end + 1 - length
-            if last[end + 1] < 0 and (start == 0 or (last[start] >= 0 and self.compatible(last[start], token))):
-                last[end + 1], size[end + 1] = token, length
-        out, at = [], n
+            end += 1
+            if last[end] >= 0:
+                continue
+            if end > length:
+                left = last[end - length]
+                if left < 0:
+                    continue
+                fits = pairs.get(left << 32 | token)
+                if not (self.compatible(left, token) if fits is None else fits):
+                    continue
+            last[end] = token
+        out, at = [], len(piece)
         while at:
-            if last[at] < 0:
+            token = last[at]
+            if token < 0:
                 raise ValueError("a byte of the text is not in the vocabulary")
-            out.append(last[at])
-            at -= size[at]
-        return out[::-1]
+            out.append(token)
+            at -= self.size[token]
+        out.reverse()
+        return out
 
     def _packed(self, piece: str) -> bytes:
         raw = piece.encode()

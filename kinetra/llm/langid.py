@@ -105,29 +105,27 @@ class Model:
     def word(self, word: str) -> tuple[float, ...]:
         found = self.known.get(word)
         if found is None:
-            rows = self._rows
-            n = len(self.languages)
-            alpha = [(1.0,) * n]
-            for ends in edges(self._automaton, word)[1:]:
-                sums = [0.0] * n
-                for start, piece in ends:
-                    at, row = alpha[start], rows[piece]
-                    for k in range(n):
-                        sums[k] += at[k] * row[k]
-                alpha.append(tuple(sums))
-            found = tuple(math.log(max(x, 1e-300)) for x in alpha[-1])
+            automaton, letters, columns = self._tables
+            steps = [(end + 1 - size, end + 1, piece) for end, (size, piece) in automaton.iter(word)]
+            lone = [(k, k + 1, -1) for k, c in enumerate(word) if c not in letters]
+            if lone:
+                steps = sorted(steps + lone, key=lambda x: x[1])
+            sums = []
+            for p in columns:
+                alpha = [1.0] + [0.0] * len(word)
+                for start, end, piece in steps:
+                    alpha[end] += alpha[start] * p[piece]
+                sums.append(alpha[-1])
+            found = tuple(math.log(max(x, 1e-300)) for x in sums)
             if len(self.known) >= MAX_WORDS_KEPT:
                 self.known.clear()
             self.known[word] = found
         return found
 
     @functools.cached_property
-    def _automaton(self) -> ahocorasick.Automaton:
-        return piece_automaton(self.pieces)
-
-    @functools.cached_property
-    def _rows(self) -> list[list[float]]:
-        return self.p.tolist()
+    def _tables(self) -> tuple[ahocorasick.Automaton, set[str], list[list[float]]]:
+        """Automaton of the pieces, the letters that are pieces themselves, and the probabilities by language."""
+        return piece_automaton(self.pieces), {x for x in self.pieces if len(x) == 1}, self.p.T.tolist()
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = Counter(text_words(text or ""))

@@ -10,23 +10,30 @@ from __future__ import annotations
 
 import numpy as np
 
-#: No byte of UTF-8 text; it marks a string whose symbols are all in.
-END = 255
+#: No pair of bytes of UTF-8 text; it marks a string whose symbols are all in.
+END = 65_535
 
 
-def _range_minimum(levels: list[np.ndarray], lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+def _minimum_table(values: np.ndarray, longest: int) -> np.ndarray:
+    """Row k holds the least of each 2^k neighbouring values, as far as ranges of `longest` need it."""
+    depth = max(1, int(longest).bit_length())
+    table = np.empty((depth, len(values)), dtype=np.uint8)
+    table[0] = values
+    for k in range(1, depth):
+        step = 1 << (k - 1)
+        np.minimum(table[k - 1, :-step], table[k - 1, step:], out=table[k, :-step])
+        table[k, -step:] = table[k - 1, -step:]
+    return table
+
+
+def _range_minimum(table: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Least value in each half-open range lo..hi (hi > lo)."""
-    k = np.frexp(hi - lo)[1] - 1
-    out = np.empty(len(lo), dtype=np.uint8)
-    for level in np.unique(k):
-        at = np.flatnonzero(k == level)
-        table = levels[level]
-        out[at] = np.minimum(table[lo[at]], table[hi[at] - (1 << int(level))])
-    return out
+    k = np.frexp((hi - lo).astype(np.float32))[1] - 1
+    return np.minimum(table[k, lo], table[k, hi - (1 << k)])
 
 
 def collection_bwt(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(transform, prefixes) of a collection. symbols: row i holds string i from its last byte to its first, then END; up to 250 columns.
+    """(transform, prefixes) of a collection. symbols: 16-bit numbers below END; row i holds string i from its last symbol to its first, then END; up to 250 columns.
 
     Rows 0..k-1 of the result belong to the k empty suffixes in the order of the strings. prefixes[r] is the number of
     symbols that the suffixes of rows r-1 and r share.
@@ -49,24 +56,23 @@ def collection_bwt(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         whose = np.empty(len(bwt), dtype=np.int32)
         whose[fresh] = owner
         whose = whose[parent]
-        levels = [lcp]
-        while len(levels) < len(bwt).bit_length():
-            last, step = levels[-1], 1 << (len(levels) - 1)
-            levels.append(np.minimum(last[:-step], last[step:]) if len(last) > step else last[:0])
         before = np.maximum(new_at - 1, 0)
         has_before = (new_at > 0) & (bwt[order[before]] == bwt[parent])
         after = np.minimum(new_at + 1, len(order) - 1)
         has_after = (new_at + 1 < len(order)) & (bwt[order[after]] == bwt[parent])
+        from_before, to_after = order[before[has_before]] + 1, order[after[has_after]] + 1
+        upto, since = parent[has_before] + 1, parent[has_after] + 1
+        table = _minimum_table(lcp, max((upto - from_before).max(initial=1), (to_after - since).max(initial=1)))
         size = k + len(order)
         old = np.ones(size, dtype=bool)
         old[k + new_at] = False
-        new_bwt, new_lcp = np.empty(size, dtype=np.uint8), np.empty(size, dtype=np.uint8)
+        new_bwt, new_lcp = np.empty(size, dtype=np.uint16), np.empty(size, dtype=np.uint8)
         new_bwt[old], new_lcp[old] = bwt, lcp
         new_bwt[k + new_at] = symbols[whose, j]
         head = np.zeros(len(new_at), dtype=np.uint8)
-        head[has_before] = 1 + _range_minimum(levels, order[before[has_before]] + 1, parent[has_before] + 1)
+        head[has_before] = 1 + _range_minimum(table, from_before, upto)
         new_lcp[k + new_at] = head
-        new_lcp[k + new_at[has_after] + 1] = 1 + _range_minimum(levels, parent[has_after] + 1, order[after[has_after]] + 1)
+        new_lcp[k + new_at[has_after] + 1] = 1 + _range_minimum(table, since, to_after)
         bwt, lcp, fresh, owner = new_bwt, new_lcp, k + new_at, whose
     return bwt, lcp
 
@@ -87,27 +93,47 @@ def suffix_rows(bwt: np.ndarray, k: int, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+def byte_pairs(texts: list[bytes], shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, lengths): each text less its last `shift` bytes, as big-endian byte pairs counted from its end; an odd first byte is left out."""
+    joined = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    sizes = np.array([len(t) for t in texts])
+    lengths = np.maximum(sizes - shift, 0) // 2
+    last = np.cumsum(sizes) - shift - 1
+    symbols = np.full((len(texts), int(lengths.max()) + 1), END, dtype=np.uint16)
+    i, j = np.nonzero(np.arange(symbols.shape[1]) < lengths[:, None])
+    at = last[i] - 2 * j
+    symbols[i, j] = joined[at - 1].astype(np.uint16) << 8 | joined[at]
+    return symbols, lengths
+
+
 def least_owner_of_windows(texts: list[bytes], owners: np.ndarray, window: int) -> np.ndarray:
-    """Entry [i, s] is the least owner of any text that contains the `window` bytes at s of text i; the largest int64 where there is no such window."""
+    """Entry [i, s] is the least owner of any text that contains the `window` bytes at s of text i; the largest int64 where there is no such window. window is even.
+
+    Symbols are byte pairs, so each text goes in twice, once less its last byte: every byte starts a suffix of one of the
+    two, and the rounds are half as many.
+    """
     none = np.iinfo(np.int64).max
     if not texts:
         return np.full((0, 0), none)
-    lengths = np.array([len(t) for t in texts])
-    width = int(lengths.max()) + 1
-    padded = np.full((len(texts), width), END, dtype=np.uint8)
-    columns = np.arange(width)
-    inside = columns < lengths[:, None]
-    padded[inside] = np.frombuffer(b"".join(t[::-1] for t in texts), dtype=np.uint8)
-    bwt, lcp = collection_bwt(padded)
-    rows = suffix_rows(bwt, len(texts), lengths)
-    i, j = np.nonzero(rows[:, window:] >= 0)
-    j += window
+    sizes = np.array([len(t) for t in texts])
+    k = len(texts)
+    (a, na), (b, nb) = byte_pairs(texts, 0), byte_pairs(texts, 1)
+    symbols = np.full((2 * k, a.shape[1]), END, dtype=np.uint16)
+    symbols[:k], symbols[k:, : b.shape[1]] = a, b
+    lengths = np.concatenate([na, nb])
+    bwt, lcp = collection_bwt(symbols)
+    rows = suffix_rows(bwt, 2 * k, lengths)
+    half = window // 2
+    i, j = np.nonzero(rows[:, half:] >= 0)
+    j += half
     at = rows[i, j]
+    text = i % k
+    start = sizes[text] - i // k - 2 * j
     owner = np.full(len(bwt), none)
-    owner[at] = owners[i]
-    starts = np.flatnonzero(lcp < window)  # row 0 always starts a group
-    group = np.cumsum(lcp < window) - 1
+    owner[at] = owners[text]
+    starts = np.flatnonzero(lcp < half)  # row 0 always starts a group
+    group = np.cumsum(lcp < half) - 1
     least = np.minimum.reduceat(owner, starts)
-    out = np.full((len(texts), max(1, int(lengths.max()) - window + 1)), none)
-    out[i, lengths[i] - j] = least[group[at]]
+    out = np.full((k, max(1, int(sizes.max()) - window + 1)), none)
+    out[text, start] = least[group[at]]
     return out

@@ -68,18 +68,24 @@ def segments(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.n
         low = np.minimum(low[:-size], low[size:])
         size *= 2
     low = np.minimum(low[: total], low[span - size : span - size + total]) if span > size else low[:total]
-    # windows: one for each position that leaves `window` bytes in its document
-    counts = np.maximum(lengths - window + 1, 0)
+    # runs of equal anchors; a run also ends with its document, and holds only windows that fit in it
+    change = np.empty(total, dtype=bool)
+    change[0] = True
+    np.not_equal(low[1:], low[:-1], out=change[1:])
     first = ends - lengths
-    doc = np.repeat(np.arange(len(texts)), counts)
-    at = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
-    anchor = low[first[doc] + at]
-    change = np.ones(len(doc), dtype=bool)
-    change[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
+    change[first[lengths > 0]] = True
     head = np.flatnonzero(change)
-    since = np.arange(len(doc)) - np.repeat(head, np.diff(np.append(head, len(doc))))
-    head = np.flatnonzero(since % span == 0)
-    return doc[head], at[head], np.diff(np.append(head, len(doc))), anchor[head]
+    doc = np.searchsorted(ends, head, side="right")
+    stop = np.minimum(np.append(head[1:], total), ends[doc] - window + 1)
+    n = stop - head
+    fits = n > 0
+    doc, head, n = doc[fits], head[fits], n[fits]
+    if len(n) and n.max() > span:  # only repetitive text: cut into runs of `span`
+        pieces = -(-n // span)
+        at = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        doc, head, n = (np.repeat(x, pieces) for x in (doc, head, n))
+        head, n = head + at * span, np.minimum(span, n - at * span)
+    return doc, head - first[doc], n, low[head]
 
 
 def _steps(texts: list, ids: list) -> Iterator[tuple[list, list]]:
@@ -103,6 +109,11 @@ def _split_by(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(found[lo]), order[lo:hi]
 
 
+def _spread(ids: np.ndarray) -> np.ndarray:
+    """24 mixed bits of each id, to deal documents into parts."""
+    return ((ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64)
+
+
 def _pack(a: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(a.tobytes())
 
@@ -134,8 +145,8 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("k"), F.col(id_col).alias("d"), F.xxhash64(text).alias("h"), text.cast("binary").alias("t"))
 
 
-def _candidates(src: DataFrame, window: int, parts: int, crowd: int) -> DataFrame:
-    """(k, ords, crowded): for a document, packed numbers of the segments whose anchor is in two documents or more."""
+def _candidates(src: DataFrame, window: int, parts: int, crowd: int, doc_parts: int) -> DataFrame:
+    """(k, ords, crowded): for a document, packed numbers of the segments whose anchor is in two documents or more; one row for each document that has any."""
 
     def count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("ords", pa.binary())])
@@ -153,13 +164,14 @@ def _candidates(src: DataFrame, window: int, parts: int, crowd: int) -> DataFram
                 yield _rows(out, schema)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("k", pa.int64()), ("ords", pa.binary()), ("crowded", pa.binary())])
+        schema = pa.schema([("part", pa.int32()), ("docs", pa.binary()), ("ords", pa.binary()), ("many", pa.binary())])
         held, size = [], 0
 
         def flush():
             doc, ords, many = (np.concatenate(x) for x in zip(*held, strict=True))
-            rows = [(int(doc[at[0]]), ords[at][~many[at]].tobytes(), ords[at][many[at]].tobytes()) for _, at in _split_by(np.unique(doc, return_inverse=True)[1])]
-            return _rows(rows, schema)
+            order = np.lexsort((ords, doc))
+            doc, ords, many = doc[order], ords[order], many[order]
+            return _rows([(p, _pack(np.diff(doc[at], prepend=0)), _pack(ords[at]), _pack(many[at])) for p, at in _split_by(_spread(doc) % doc_parts)], schema)
 
         for _, rows in _parts(batches):
             raw = np.frombuffer(b"".join(r["keys"] for r in rows), dtype=np.uint8).reshape(-1, 5)
@@ -183,9 +195,21 @@ def _candidates(src: DataFrame, window: int, parts: int, crowd: int) -> DataFram
         if held:
             yield flush()
 
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("k", pa.int64()), ("ords", pa.binary()), ("crowded", pa.binary())])
+        for _, rows in _parts(batches):
+            doc = np.concatenate([np.cumsum(_unpack(r["docs"], np.int64)) for r in rows])
+            ords = np.concatenate([_unpack(r["ords"], np.int32) for r in rows])
+            many = np.concatenate([_unpack(r["many"], bool) for r in rows])
+            order = np.argsort(doc, kind="stable")
+            doc, ords, many = doc[order], ords[order], many[order]
+            cuts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+            yield _rows([(int(doc[lo]), ords[lo:hi][~many[lo:hi]].tobytes(), ords[lo:hi][many[lo:hi]].tobytes()) for lo, hi in zip(cuts, [*cuts[1:], len(doc)], strict=True)], schema)
+
     blocks = src.select("k", "t").mapInArrow(count_blocks, "part int, keys binary, docs binary, ords binary")
-    found = blocks.repartition("part").sortWithinPartitions("part").mapInArrow(find, "k long, ords binary, crowded binary")
-    return written(found, "anchors")[0]
+    found = blocks.repartition("part").sortWithinPartitions("part").mapInArrow(find, "part int, docs binary, ords binary, many binary")
+    lists = found.repartition("part").sortWithinPartitions("part").mapInArrow(gather, "k long, ords binary, crowded binary")
+    return written(lists, "anchors")[0]
 
 
 def _chosen(texts: list[bytes], rows: list[dict], window: int, which: str) -> tuple[np.ndarray, ...]:
@@ -197,7 +221,7 @@ def _chosen(texts: list[bytes], rows: list[dict], window: int, which: str) -> tu
     count = np.bincount(doc, minlength=len(texts))
     pick = np.zeros(len(doc), dtype=bool)
     for k, row in enumerate(rows):
-        ords = np.frombuffer(b"".join(row[which]), dtype=np.int32)
+        ords = np.frombuffer(row[which], dtype=np.int32)
         pick[first[k] + ords[ords < count[k]]] = True
     return doc[pick], start[pick], n[pick], anchor[pick]
 
@@ -228,23 +252,21 @@ def _segment_blocks(texts: DataFrame, window: int, parts: int) -> DataFrame:
     return texts.select(*names).mapInArrow(run, "part int, texts binary, meta binary")
 
 
-def _merge_spans(batches: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-    """Packs (k, h, start, end) arrays into one row for each document and flush."""
-    schema = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("spans", pa.binary())])
+def _span_blocks(found: Iterator[tuple[np.ndarray, ...]], parts: int) -> Iterator[pa.RecordBatch]:
+    """Packs (k, h, start, end) arrays into one row for each part of the documents and flush."""
+    schema = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("spans", pa.binary())])
     held, size = [], 0
 
     def flush():
         k, h, s, e = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((s, h, k))
-        k, h, s, e = k[order], h[order], s[order], e[order]
-        cuts = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (h[1:] != h[:-1])))
-        both = np.stack([s, e], axis=1).astype(np.int32)
-        return _rows([(int(k[lo]), int(h[lo]), both[lo:hi].tobytes()) for lo, hi in zip(cuts, [*cuts[1:], len(k)], strict=True)], schema)
-
-    for found in batches:
-        if len(found[0]):
-            held.append(found)
-            size += len(found[0])
+        keys, spans = np.stack([k, h])[:, order], np.stack([s, e]).astype(np.int32)[:, order]
+        return _rows([(p, _pack(keys[:, at]), _pack(spans[:, at])) for p, at in _split_by(_spread(keys[0]) % parts)], schema)
+
+    for one in found:
+        if len(one[0]):
+            held.append(one)
+            size += len(one[0])
         if size > 500_000:
             yield flush()
             held, size = [], 0
@@ -252,8 +274,27 @@ def _merge_spans(batches: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.Recor
         yield flush()
 
 
-def _owned_spans(blocks: DataFrame, window: int) -> DataFrame:
-    """(k, h, spans): what each part's transform says is removed."""
+def _merged(blocks: DataFrame) -> DataFrame:
+    """(k, h, spans): one row for each document that loses bytes, its (start, end) spans packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("spans", pa.binary())])
+        for _, rows in _parts(batches):
+            k, h = np.concatenate([_unpack(r["keys"], np.int64).reshape(2, -1) for r in rows], axis=1)
+            spans = np.concatenate([_unpack(r["spans"], np.int32).reshape(2, -1) for r in rows], axis=1)
+            order = np.lexsort((h, k))
+            k, h, spans = k[order], h[order], np.ascontiguousarray(spans[:, order].T)
+            cuts = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (h[1:] != h[:-1])))
+            yield _rows([(int(k[lo]), int(h[lo]), spans[lo:hi].tobytes()) for lo, hi in zip(cuts, [*cuts[1:], len(k)], strict=True)], schema)
+
+    return blocks.repartition("part").sortWithinPartitions("part").mapInArrow(run, "k long, h long, spans binary")
+
+
+SPAN_BLOCK = "part int, keys binary, spans binary"
+
+
+def _owned_spans(blocks: DataFrame, window: int, parts: int) -> DataFrame:
+    """Packed spans: what each part's transform says is removed."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for _, rows in _parts(batches):
@@ -279,11 +320,11 @@ def _owned_spans(blocks: DataFrame, window: int) -> DataFrame:
                 _, last = np.nonzero(edge == -1)
                 yield k[i], h[i], s[i] + first, s[i] + last - 1 + window
 
-    return blocks.repartition("part").sortWithinPartitions("part").mapInArrow(lambda b: _merge_spans(found(b)), "k long, h long, spans binary")
+    return blocks.repartition("part").sortWithinPartitions("part").mapInArrow(lambda b: _span_blocks(found(b), parts), SPAN_BLOCK)
 
 
-def _crowded_spans(texts: DataFrame, window: int) -> DataFrame:
-    """(k, h, spans) for segments of crowded anchors, grouped by content in DataFrames: segments first, then the windows of the distinct ones."""
+def _crowded_spans(texts: DataFrame, window: int, parts: int) -> DataFrame:
+    """Packed spans for segments of crowded anchors, grouped by content in DataFrames: segments first, then the windows of the distinct ones."""
 
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,7 +335,7 @@ def _crowded_spans(texts: DataFrame, window: int) -> DataFrame:
                     segs = [held[d][s : s + m + window - 1] for d, s, m in zip(doc.tolist(), start.tolist(), n.tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(segs, pa.binary()), pa.array([some[d]["k"] for d in doc], pa.int64()), pa.array([some[d]["h"] for d in doc], pa.int64()), pa.array(start, pa.int64())], ["seg", "k", "h", "start"])
 
-    places = texts.select("k", "h", "t", "crowded").where(F.exists("crowded", lambda x: F.length(x) > 0)).mapInArrow(flat, "seg binary, k long, h long, start long")
+    places = texts.select("k", "h", "t", "crowded").where(F.length("crowded") > 0).mapInArrow(flat, "seg binary, k long, h long, start long")
     distinct = places.groupBy("seg").agg(F.min("k").alias("least"))
     wins = distinct.select("seg", "least", F.explode(F.sequence(F.lit(0), F.length("seg") - window)).alias("i")).withColumn("w", F.expr(f"substring(seg, i + 1, {window})"))
     owners = wins.groupBy("w").agg(F.min("least").alias("owner"))
@@ -302,9 +343,9 @@ def _crowded_spans(texts: DataFrame, window: int) -> DataFrame:
     gone = places.join(owned, "seg").select("k", "h", "start", F.explode("owners").alias("o")).where(F.col("o.owner") < F.col("k")).select("k", "h", (F.col("start") + F.col("o.i")).alias("s"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _merge_spans((lambda k, h, s: (k, h, s, s + window))(*(c.to_numpy() for c in b.columns)) for b in batches)
+        yield from _span_blocks(((lambda k, h, s: (k, h, s, s + window))(*(c.to_numpy() for c in b.columns)) for b in batches), parts)
 
-    return gone.select("k", "h", "s").mapInArrow(pack, "k long, h long, spans binary")
+    return gone.select("k", "h", "s").mapInArrow(pack, SPAN_BLOCK)
 
 
 def cut(text: bytes, spans: np.ndarray) -> tuple[bytes, int, int]:
@@ -325,18 +366,18 @@ def cut(text: bytes, spans: np.ndarray) -> tuple[bytes, int, int]:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, crowd: int = 20_000, part_bytes: int = 1_000_000, keep_text: bool = False) -> DataFrame:
     """(d, n_bytes, n_removed, n_spans, kept_sha256[, kept binary]), one row for each input row."""
-    if not ANCHOR + 8 <= window <= 128:
-        raise ValueError(f"the window must be {ANCHOR + 8} to 128 bytes")
+    if window % 2 or not ANCHOR + 8 <= window <= 128:
+        raise ValueError(f"the window must be an even number from {ANCHOR + 8} to 128")
     spark = docs.sparkSession
     src = _source(docs, id_col, text_col)
     shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = _candidates(src, window, max(512, 8 * shuffled), crowd)
+    found = _candidates(src, window, max(512, 8 * shuffled), crowd, max(64, 4 * shuffled))
     total = found.agg(F.sum(F.length("ords")).alias("n")).first().n or 0
     parts = int(min(1 << 20, max(4 * shuffled, total // 4 * 64 // part_bytes)))
-    lists = found.groupBy("k").agg(F.collect_list("ords").alias("ords"), F.collect_list("crowded").alias("crowded"))
-    held, _ = written(src.join(lists, "k").select("k", "d", "h", "t", "ords", "crowded"), "anchored")
-    spans, _ = written(_owned_spans(_segment_blocks(held, window, parts), window).unionByName(_crowded_spans(held, window)), "spans")
-    spans = spans.groupBy("k", "h").agg(F.collect_list("spans").alias("spans"))
+    doc_parts = max(64, 2 * shuffled)
+    held, _ = written(src.join(found, "k").select("k", "d", "h", "t", "ords", "crowded"), "anchored")
+    found_spans = _owned_spans(_segment_blocks(held, window, parts), window, doc_parts).unionByName(_crowded_spans(held, window, doc_parts))
+    spans, _ = written(_merged(found_spans), "spans")
     with_spans = held.select("k", "d", "h", "t").join(spans, ["k", "h"])
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_text]
 
@@ -345,7 +386,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             out = []
             for text, packed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                kept, removed, runs = cut(text, np.frombuffer(b"".join(packed), dtype=np.int32).reshape(-1, 2).astype(np.int64))
+                kept, removed, runs = cut(text, np.frombuffer(packed, dtype=np.int32).reshape(-1, 2).astype(np.int64))
                 out.append((len(text), removed, runs, hashlib.sha256(kept).hexdigest(), kept))
             cols = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(cols[c], kinds[c]) for c in range(len(names)))], ["d", *names])

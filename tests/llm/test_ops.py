@@ -97,7 +97,7 @@ def test_column_construction_is_a_suffix_array():
     rng = random.Random(1)
     texts = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 40))).encode() for _ in range(30)]
     lengths = np.array([len(t) for t in texts])
-    symbols = np.full((len(texts), lengths.max() + 1), column_bwt.END, dtype=np.uint8)
+    symbols = np.full((len(texts), lengths.max() + 1), column_bwt.END, dtype=np.uint16)
     for i, t in enumerate(texts):
         symbols[i, : len(t)] = np.frombuffer(t[::-1], dtype=np.uint8)
     bwt, lcp = column_bwt.collection_bwt(symbols)

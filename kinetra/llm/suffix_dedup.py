@@ -339,7 +339,8 @@ def _crowded_spans(texts: DataFrame, window: int, parts: int) -> DataFrame:
     distinct = places.groupBy("seg").agg(F.min("k").alias("least"))
     wins = distinct.select("seg", "least", F.explode(F.sequence(F.lit(0), F.length("seg") - window)).alias("i")).withColumn("w", F.expr(f"substring(seg, i + 1, {window})"))
     owners = wins.groupBy("w").agg(F.min("least").alias("owner"))
-    owned = wins.join(owners, "w").groupBy("seg").agg(F.collect_list(F.struct("i", "owner")).alias("owners"))  # at most 27 windows a segment
+    # at most 27 windows a segment; a table of its own, so that Spark can split the places of one very common segment
+    owned, _ = written(wins.join(owners, "w").groupBy("seg").agg(F.collect_list(F.struct("i", "owner")).alias("owners")), "owned-segments")
     gone = places.join(owned, "seg").select("k", "h", "start", F.explode("owners").alias("o")).where(F.col("o.owner") < F.col("k")).select("k", "h", (F.col("start") + F.col("o.i")).alias("s"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -96,7 +96,8 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     for b in range(batches):
         batch = stored.where(F.col("batch") == b).dropDuplicates(["d", "h", "k"]).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
         runs.add(batch, settled=min_docs)
-    common = runs.counts().where(F.col("n") >= min_docs).select("k")
+    # a table of its own, so that both sides of the join are plain exchanges and Spark can split the rows of a very common line
+    common, _ = written(runs.counts().where(F.col("n") >= min_docs).select("k"), "common-lines")
     doomed = stored.select("d", "h", "k").join(common, "k").groupBy("d", "h").agg(F.collect_set("k").alias("bad"))
     out = lines.alias("a").join(doomed.alias("b"), same("a", "b", "d", "h"), "left").select("a.d", "a.t", "a.lines", "b.bad", *(f"a.{c}" for c in extra))
     raw = F.split("t", "\n")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinetra.llm.common import same, text_or_empty
+from kinetra.llm.common import same, text_or_empty, written
 
 #: kind, pattern, group of the secret value, least length of that value. Runs of `{n,}` keep the same leftmost matches as
 #: `+` with a length test, since a maximal run that is too short holds no longer one.
@@ -24,7 +24,7 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
     ("hex", r"(?<![0-9a-f])[0-9a-f]{24,}", 0, 24),
 )
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,256}[0-9])[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}"
 ADDED = "owned"
 KINDS = [*(k for k, *_ in BASE), ADDED]
 
@@ -70,7 +70,7 @@ def joined(spans: Column) -> Column:
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", live_repos: int = 3, live_owners: int = 1) -> DataFrame:
     """One row per document: d, base and all spans as arrays of (start, kind, end), and the counts of base values that look live or copied."""
-    held = scan(docs, id_col, text_col, repo_col, owner_col).repartition("d", "h")
+    held, _ = written(scan(docs, id_col, text_col, repo_col, owner_col), "secret-spans")  # one scan of the texts for all that follows
     each = held.select("d", "h", "repo", "owner", F.explode(F.concat("base", "extra")).alias("x")).select("d", "h", "repo", "owner", "x.start", "x.kind", "x.end", F.md5("x.value").alias("v"))
     judged = each.join(ownership(each.select("v", "repo", "owner")), "v").withColumn("live", (F.col("n_owners") <= live_owners) & (F.col("n_repos") <= live_repos))
     span = F.struct("start", "kind", "end")

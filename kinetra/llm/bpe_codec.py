@@ -12,7 +12,6 @@ columns are read.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 from collections.abc import Iterator
@@ -24,13 +23,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinetra.llm.common import held_once
+
 #: Fixed value: the published splitting pattern of byte-level BPE.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces and pairs that are kept between texts; a full store is emptied, so memory is bounded.
-MAX_PIECES = 300_000
-MAX_PAIRS = 500_000
+MAX_PIECES = 150_000
+MAX_PAIRS = 250_000
 #: Longer pieces are not stored.
 MAX_PIECE_BYTES = 64
+#: Above every merge rank.
+NEVER = 1 << 60
 
 
 def byte_letters() -> list[str]:
@@ -79,25 +82,28 @@ class BpeCodec:
         self.pieces: dict[str, bytes] = {}
 
     @staticmethod
-    def _spines(made: dict[int, tuple[int, int, int]], side: int) -> dict[int, list[tuple[int, float]]]:
-        """For each made token the tokens along one side, each with the rank of the merge that uses it up."""
-        out = {}
-        for token in made:
-            spine, at, used = [], token, float("inf")
-            while True:
-                spine.append((at, used))
-                if at not in made:
-                    break
-                used, at = made[at][0], made[at][side]
-            out[token] = spine
+    def _spines(made: dict[int, tuple[int, int, int]], side: int) -> dict[int, tuple]:
+        """For each made token the tokens along one side, each with the rank of the merge that uses it up. The list of a token is its own entry and its side child's list, which is shared."""
+        out: dict[int, tuple] = {}
+        for token, parts in made.items():  # in merge order, so a child comes first
+            child, used = parts[side], parts[0]
+            out[token] = (child, used, out.get(child))
         return out
 
+    @staticmethod
+    def _along(token: int, spine: tuple | None):
+        yield token, NEVER
+        while spine is not None:
+            child, used, spine = spine
+            yield child, used
+
     def compatible(self, a: int, b: int) -> bool:
         """Whether a and b stay apart: no merge joins a right-hand part of a and a left-hand part of b while both are still there. Of equal ranks the left one goes first."""
+        left = list(self._along(b, self.left.get(b)))
         known = not any(
             (r := self.rank.get((x, y))) is not None and r < x_used and r <= y_used
-            for x, x_used in self.right.get(a, ((a, float("inf")),))
-            for y, y_used in self.left.get(b, ((b, float("inf")),))
+            for x, x_used in self._along(a, self.right.get(a))
+            for y, y_used in left
         )
         if len(self.pairs) >= MAX_PAIRS:
             self.pairs.clear()
@@ -159,12 +165,6 @@ class BpeCodec:
         return b"".join([table[i] for i in np.frombuffer(ids, dtype="<u4").tolist()]).decode("utf-8", errors="replace")
 
 
-@functools.lru_cache(maxsize=2)
-def codec(spec: str) -> BpeCodec:
-    """One codec for each Python worker and vocabulary."""
-    return BpeCodec(spec)
-
-
 def read_spec(path: str) -> str:
     """The tokenizer file, read once on the driver and sent to the executors: its size is fixed by the vocabulary."""
     with open(path, encoding="utf-8") as f:
@@ -178,7 +178,7 @@ def encode_documents(docs: DataFrame, spec: str, id_col: str = "doc_id", text_co
     names = ["d", "n_tokens", *["ids"] * keep_ids, "ids_sha256", *["decoded"] * keep_ids, "decoded_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(sent.value)
+        bpe = held_once(sent.value, BpeCodec)
         for batch in batches:
             cols: dict[str, list] = {n: [] for n in names[1:]}
             start, size = 0, 0

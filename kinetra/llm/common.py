@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,3 +69,15 @@ def same(left: str, right: str, *names: str) -> Column:
         eq = F.col(f"{left}.{n}").eqNullSafe(F.col(f"{right}.{n}"))
         out = eq if k == 0 else out & eq
     return out
+
+
+_held: dict = {}
+
+
+def held_once(value, make: Callable):
+    """make(value), kept in the Python worker until another value asks: a worker holds one operator's tables at a time, however many stages reuse it."""
+    if _held.get("value") is not value:
+        _held.clear()
+        gc.collect()
+        _held.update(value=value, made=make(value))
+    return _held["made"]

@@ -30,12 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from kinetra.llm.common import held_once
+
 WORDS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 UNDECIDED = "und"
 #: Longer words are scored in parts of this many letters.
 MAX_WORD = 32
-MAX_WORDS_KEPT = 200_000
+MAX_WORDS_KEPT = 120_000
 MAX_LANGUAGES = 1_000
 #: Pseudo-count of each piece, and probability of a letter that no piece covers.
 SMOOTH = 0.1
@@ -136,6 +138,10 @@ class Model:
         return self.languages[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
 
 
+def _model(value: tuple) -> Model:
+    return Model(*value)
+
+
 def held_out(id_col: Column, folds: int = 5) -> Column:
     """Whether crc32 of the id as text leaves no remainder; a null id counts as the text `null`."""
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("null")).cast("binary")), F.lit(folds)) == 0
@@ -208,7 +214,7 @@ def annotate(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _worker_model(sent)
+        m = held_once(sent.value, _model)  # its word scores serve later tasks
         for batch in batches:
             found = [m.predict(t.as_py()) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*batch.schema.names, "lang_pred", "score"])
@@ -220,14 +226,3 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """(d, lang_pred, score) of each row. The model's size is vocabulary times languages, bounded by MAX_LANGUAGES."""
     src = docs.select(F.col(id_col).alias("d"), F.col(text_col).cast("string").alias("t"))
     return annotate(src, model, "t").select("d", "lang_pred", "score")
-
-
-_worker: dict = {}
-
-
-def _worker_model(sent) -> Model:
-    """One model for each Python worker: its word scores serve later tasks that get the same broadcast value."""
-    value = sent.value
-    if _worker.get("value") is not value:
-        _worker.update(value=value, model=Model(*value))
-    return _worker["model"]

@@ -1,4 +1,4 @@
-"""A training-data pipeline of five stages over documents: language ID, line dedup, SimHash near-dedup, benchmark decontamination, BPE encoding.
+"""A training-data pipeline of five stages over documents: language ID, line dedup, near-dedup by five-word shingles, benchmark decontamination, BPE encoding.
 
 Each function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. A
 stage takes what its predecessor kept, written as Parquet and read again.
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetra.llm import bpe_codec, decontam, langid, line_dedup, simhash_golay
+from kinetra.llm import bpe_codec, decontam, langid, line_dedup, shingle_sets
 from kinetra.llm.common import same, written
 from kinetra.llm.queries import BPE_FILE, PIECE_FILE, table, vocabulary_path
 
@@ -40,8 +40,8 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document with the smallest id stays."""
-    found = simhash_golay.near_duplicates(docs)
+    """Of each group linked by a similarity of 0.8 or more of five-word shingles the document with the smallest id stays."""
+    found = shingle_sets.near_duplicates(docs)
     return _kept(docs, found, "component IS NULL OR d = component")
 
 

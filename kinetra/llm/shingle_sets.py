@@ -1,0 +1,131 @@
+"""Near-duplicates by exact Jaccard similarity of word-shingle sets: every pair at 0.8 or more is found.
+
+Two sets of sizes a <= b reach 0.8 only if b <= 1.25 a, and then at most a / 4 shingles are in one of them alone. Sizes fall
+into bands that grow by more than 1.25, so such a pair lies in one band or in two that follow each other; a set takes part
+in the scheme of its own band and in that of the band before. A scheme for sets of at most `top` shingles in the smaller one
+deals the shingles by hash into top // 4 + 1 + slack parts. A differing shingle spoils one part, so at least slack + 1
+parts are equal, and one of them is not empty unless both sets leave more than `slack` parts empty; sets that do, emit
+their empty parts as keys too. Keys are sums of the hashes in a part, about three shingles from all over a text, so a passage
+that unrelated texts have in common is no key.
+
+Equal sets are one class. Within a key every class is compared with the least; components follow, and only pairs that
+share a key and are not connected yet are compared after that. Nothing is capped or sampled, and all comparisons are on
+the whole sets.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from kinetra.llm.common import broadcast_if_small, written
+from kinetra.llm.graph import connected_components
+
+SEED = 42
+#: Least size of each band; the next is more than 1.25 times as large.
+BANDS = [1]
+while BANDS[-1] < 1 << 40:
+    BANDS.append(BANDS[-1] + BANDS[-1] // 4 + 1)
+MAX_BROADCAST = 3_000_000
+
+
+def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
+    """Sorted distinct XXH64 of the shingles; a text of fewer than `width` words is one shingle, one without words none."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    shingles = [b" ".join(words)] if len(words) < width else map(b" ".join, zip(*(words[k:] for k in range(width))))
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(s, SEED) for s in shingles], dtype=np.uint64))
+
+
+def part_keys(s: np.ndarray) -> np.ndarray:
+    """The keys of a sorted set, of both schemes that it takes part in."""
+    band = int(np.searchsorted(BANDS, len(s), side="right")) - 1
+    out = []
+    for scheme in (band - 1, band):
+        spoilt = (BANDS[scheme + 1] - 1) // 4 if scheme >= 0 else 0
+        if not spoilt:
+            continue  # such sets are near only if they are equal
+        slack = 2 + spoilt // 8
+        m = spoilt + 1 + slack
+        part = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # does not fall along a sorted set
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        salt = np.uint64(0x9E3779B97F4A7C15 * (scheme + 1) & (1 << 64) - 1)
+        out.append(np.add.reduceat(s, first) ^ salt)
+        if m - len(first) > slack:
+            empty = np.setdiff1d(np.arange(m, dtype=np.uint64), part[first])
+            out.append((empty + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) ^ salt)
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+
+
+def _class(s: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(s.tobytes(), SEED)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    flat = np.concatenate(arrays) if arrays else np.zeros(0, dtype=np.uint64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
+
+
+def _mapped(docs: DataFrame, id_col: str, text_col: str, width: int, of) -> DataFrame:
+    """(d, c, n, v): class and size of each row's set, and the values of(set)."""
+    src = docs.select(F.col(id_col).alias("d"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1_000):
+                batch = whole.slice(at, 1_000)
+                sets = [shingle_set(t.as_py(), width) for t in batch.column(1)]
+                classes = np.array([_class(s) for s in sets], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(classes), pa.array([len(s) for s in sets], pa.int64()), _lists([of(s) for s in sets])], ["d", "c", "n", "v"])
+
+    return src.mapInArrow(run, f"d {src.schema['d'].dataType.simpleString()}, c long, n long, v array<long>")
+
+
+def similar(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(a, b): the pairs of classes with a Jaccard similarity of 0.8 or more, by their whole sets."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    sets = _mapped(docs, id_col, text_col, width, lambda s: s).select("c", "v").join(broadcast_if_small(wanted, MAX_BROADCAST), "c", "left_semi").dropDuplicates(["c"])
+    sets, _ = written(sets, "shingle-sets")
+    both = pairs.join(sets.select(F.col("c").alias("a"), F.col("v").alias("va")), "a").join(sets.select(F.col("c").alias("b"), F.col("v").alias("vb")), "b")
+    return both.where(9 * F.size(F.array_intersect("va", "vb")) >= 4 * (F.size("va") + F.size("vb"))).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """(d, c, component): component is the smallest id reachable over pairs of texts at a similarity of 0.8 or more."""
+    rows, _ = written(_mapped(docs, id_col, text_col, width, part_keys), "shingle-keys")
+    keys = rows.select("c", "n", F.explode("v").alias("key"))
+    shared, _ = written(keys.groupBy("key").agg(F.min("c").alias("hub"), F.max("c").alias("top")).where("hub <> top").select("key", "hub"), "shingle-shared")
+    members, _ = written(keys.join(broadcast_if_small(shared, MAX_BROADCAST), "key").select("key", "hub", "c", "n").distinct(), "shingle-members")
+    size = members.select("c", "n").distinct()
+    first = members.where("c <> hub").select(F.col("hub").alias("a"), F.col("c").alias("b"), "n").distinct().join(size.select(F.col("c").alias("a"), F.col("n").alias("o")), "a")
+    first, _ = written(_in_reach(first), "shingle-pairs")
+    links, _ = written(similar(first, docs, id_col, text_col, width), "shingle-links")
+    roots = connected_components(links)
+
+    # what shares a key and is not connected yet
+    rooted = members.join(roots.withColumnRenamed("node", "c"), "c", "left").select("key", "c", "n", F.coalesce("root", "c").alias("root"))
+    split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    left, _ = written(rooted.join(split, "key", "left_semi"), "shingle-left")
+    right = left.select("key", F.col("c").alias("b"), F.col("n").alias("o"), F.col("root").alias("other"))
+    rest = _in_reach(left.withColumnRenamed("c", "a").join(right, "key").where("a < b AND root <> other").select("a", "b", "n", "o").where("5 * n >= 4 * o AND 5 * o >= 4 * n").distinct())
+    rest, _ = written(rest.join(first, ["a", "b"], "left_anti"), "shingle-rest")
+    more, _ = written(similar(rest, docs, id_col, text_col, width), "shingle-more")
+    if more.limit(1).count():
+        roots = connected_components(links.unionByName(more))
+
+    classes = rows.groupBy("c").agg(F.min("d").alias("first"))
+    linked = classes.join(roots, classes.c == roots.node, "left").select("c", "first", F.coalesce("root", "c").alias("root"))
+    named = linked.join(linked.groupBy("root").agg(F.min("first").alias("component")), "root").select("c", "component")
+    return rows.select("d", "c").join(named, "c").select("d", "c", "component")
+
+
+def _in_reach(pairs: DataFrame) -> DataFrame:
+    return pairs.where("5 * n >= 4 * o AND 5 * o >= 4 * n").select("a", "b")

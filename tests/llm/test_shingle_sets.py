@@ -1,0 +1,80 @@
+"""The pipeline's near-dedup stage against brute force over five-word shingles."""
+
+import random
+
+import brute
+import corpus_pipeline
+import numpy as np
+import pytest
+
+from kinetra.llm import shingle_sets
+
+
+def shingles(text):
+    w = (text or "").lower().encode().split()
+    return frozenset([b" ".join(w)] if 0 < len(w) < 5 else (b" ".join(w[i : i + 5]) for i in range(len(w) - 4)))
+
+
+def groups(docs):
+    """The smallest id of each id's component over pairs at a Jaccard similarity of 0.8 or more."""
+    sets = [(d, shingles(t)) for d, t in docs]
+    root = {d: d for d, _ in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (d, a) in enumerate(sets):
+        for e, b in sets[:i]:
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                x, y = sorted((find(d), find(e)))
+                root[y] = x
+    return {d: find(d) for d, _ in sets}
+
+
+@pytest.fixture(scope="module")
+def made():
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(3_000)]
+    texts = [None, "", "one", "one two", "A b c d e", "a B c d e"]
+    for n in (5, 8, 9, 12, 20, 60, 150, 400, 900):
+        for _ in range(4):
+            t = [rng.choice(words) for _ in range(n)]
+            texts.append(" ".join(t))
+            for _ in range(5):
+                t = list(t)
+                for _ in range(rng.randrange(0, max(2, n // 30))):  # chains of edits, on both sides of 0.8
+                    t[rng.randrange(len(t))] = rng.choice(words)
+                if rng.random() < 0.4:
+                    t = t[: max(1, round(n * rng.uniform(0.8, 1)))]
+                texts.append(" ".join(t))
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def test_pairs_at_the_threshold_share_a_key():
+    rng = np.random.default_rng(3)
+    for n in (*range(1, 60), 100, 333, 1_000):
+        for _ in range(20):
+            pool = rng.integers(0, 1 << 63, 2 * n + 10, dtype=np.uint64) * np.uint64(2)
+            lost, grown = rng.integers(0, n // 5 + 1), rng.integers(0, n // 4 + 1)
+            a, b = np.unique(pool[:n]), np.unique(pool[lost : n + grown])
+            same = len(np.intersect1d(a, b))
+            if 5 * same >= 4 * (len(a) + len(b) - same) and len(a) + len(b) > 2 * same:
+                assert set(shingle_sets.part_keys(a)) & set(shingle_sets.part_keys(b))
+
+
+def test_stage_keeps_one_of_each_group(spark, sf_dir, made):
+    want = groups(made)
+    by_bits = brute.components({d: brute.fingerprint(t) for d, t in made})
+    assert want != by_bits
+    df = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in made], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.d: r.component for r in shingle_sets.near_duplicates(df).collect()} == want
+    assert {r.doc_id for r in corpus_pipeline.keep_one_of_each_group(spark, df, sf_dir).collect()} == set(want.values())
+
+
+def test_local_table(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = groups([(r.doc_id, r.text) for r in df.collect()])
+    assert {r.d: r.component for r in shingle_sets.near_duplicates(df).collect()} == want

@@ -84,6 +84,40 @@ def silhouette(df: DataFrame, id_col: str, columns: Sequence[str], label: str =
     return parts.mapInPandas(run, "s double").agg(F.avg("s").alias("silhouette"))
 
 
+def silhouette_all(df: DataFrame, id_col: str, columns: Sequence[str], label: str = "label", block_rows: int = 2_048) -> DataFrame:
+    """One row (silhouette): mean over all clustered rows, Euclidean, every row against all rows; null as in `silhouette`.
+
+    Rows are packed into blocks by hash; each pair of blocks yields sums of distances for each (row, cluster).
+    """
+    import numpy as np
+    import pandas as pd
+
+    real = df.where(F.col(label) >= 0).select(F.col(id_col).cast("string").alias("i"), F.col(label).cast("long").alias("label"), F.array(*[F.col(c).cast("double") for c in columns]).alias("v"))
+    n_blocks = max(1, -(-real.count() // block_rows))
+    packed = real.groupBy(F.pmod(F.xxhash64("i"), F.lit(n_blocks)).alias("b")).agg(F.collect_list(F.struct("i", "label", "v")).alias("rows"))
+    left = packed.select(F.col("rows.i").alias("i"), F.col("rows.label").alias("la"), F.flatten("rows.v").alias("va"))
+    right = packed.select(F.col("rows.label").alias("lb"), F.flatten("rows.v").alias("vb"))
+
+    def run(batches):
+        for pdf in batches:
+            for i, la, va, lb, vb in zip(pdf.i, pdf.la, pdf.va, pdf.lb, pdf.vb, strict=True):
+                x, y = (np.array(v, dtype=float).reshape(len(k), -1) for v, k in ((va, la), (vb, lb)))
+                names, at, sizes = np.unique(lb, return_inverse=True, return_counts=True)
+                member = np.eye(len(names))[at]
+                for lo in range(0, len(x), 256):
+                    part = x[lo : lo + 256]
+                    sums = np.sqrt(sum((part[:, None, c] - y[None, :, c]) ** 2 for c in range(x.shape[1]))) @ member
+                    m = len(part)
+                    yield pd.DataFrame({"i": np.repeat(np.asarray(i[lo : lo + 256], dtype=object), len(names)), "la": np.repeat(la[lo : lo + 256], len(names)), "lb": np.tile(names, m), "s": sums.ravel(), "n": np.tile(sizes, m)})
+
+    d = left.crossJoin(right).mapInPandas(run, "i string, la long, lb long, s double, n long").groupBy("i", "la", "lb").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    own = F.col("la") == F.col("lb")
+    p = d.groupBy("i", "la").agg(F.max(F.when(own, F.col("n"))).alias("own"), F.max(F.when(own & (F.col("n") > 1), F.col("s") / (F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("s") / F.col("n"))).alias("b"))
+    top = F.greatest("a", "b")
+    one = p.agg(F.avg(F.when((F.col("own") == 1) | (top == 0), 0.0).otherwise((F.col("b") - F.col("a")) / top)).alias("s"), F.countDistinct("la").alias("k"), F.count(F.lit(1)).alias("n"))
+    return one.select(F.when((F.col("k") > 1) & (F.col("n") > F.col("k")), F.col("s")).alias("silhouette"))
+
+
 def normalized_entropy(df: DataFrame, label: str = "label") -> DataFrame:
     """One row (entropy): entropy of cluster shares without noise over its largest value; 0 with one cluster or none."""
     counts = df.where(F.col(label) >= 0).groupBy(label).agg(F.count(F.lit(1)).alias("c"))

@@ -130,7 +130,7 @@ def partition_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT round(avg(CASE WHEN own = 1 THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) + 0.0 AS silhouette FROM p"""
 )
 def silhouette_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(partition.silhouette(vectors(spark, sf_dir, 4), "vec_id", D4, sample=10_000))
+    return rounded(partition.silhouette_all(vectors(spark, sf_dir, 4), "vec_id", D4))
 
 
 @query("SELECT round(-sum(p * ln(p)) / ln(count(*)), 6) + 0.0 AS entropy FROM (SELECT count(*) / sum(count(*)) OVER () AS p FROM embeddings GROUP BY label)")

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from kinetra.operators import partition
+from kinetra.operators import density, partition
 from kinetra.plans import modelling
 
 
@@ -27,3 +27,19 @@ def test_silhouette_exact_takes_all_rows(spark, monkeypatch):
     assert modelling.silhouette_exact(spark, "").first().silhouette == pytest.approx(total / n, abs=1e-6)
     few = spark.createDataFrame([(0, 0, 0.0), (1, 1, 1.0)], "vec_id long, label long, d double")
     assert partition.silhouette_all(few, "vec_id", ["d"]).first().silhouette is None
+
+
+def test_dbscan_settles_or_raises(spark):
+    order = [0, *(x for k in range(1, 9) for x in (100 - k, 50 - k))]  # local minima along a chain
+    df = spark.createDataFrame([(i, float(at)) for at, i in enumerate(order)] + [(200 + k, 100.0 + k / 10) for k in range(3)], "i long, a double")
+    with pytest.raises(RuntimeError):
+        density.dbscan(df, "i", ["a"], 1.0, 2, max_rounds=1)
+    got = {r.i: r.label for r in density.dbscan(df, "i", ["a"], 1.0, 2).collect()}
+    assert {got[i] for i in order} == {0} and {got[200 + k] for k in range(3)} == {1}
+
+
+def test_numbered_is_the_order_over_partitions(spark):
+    values = [int(v) for v in np.random.default_rng(4).permutation(5_000) * 7]
+    df = spark.createDataFrame([(v,) for v in values], "root long").repartition(7)
+    assert {r.root: r.label for r in density.numbered(df, "root", "label").collect()} == {v: v // 7 for v in values}
+    assert density.numbered(df.limit(0), "root", "label").count() == 0

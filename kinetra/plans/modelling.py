@@ -264,14 +264,14 @@ def dbscan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ward_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sample = sampling.uniform_sample(vectors(spark, sf_dir, 4), "vec_id", 1_000, 42)
-    return density.sampled_labels(sample, "vec_id", D4, "ward", k=4)
+    """All rows; over density.MAX_SAMPLE rows raise."""
+    return density.sampled_labels(vectors(spark, sf_dir, 4), "vec_id", D4, "ward", k=4)
 
 
 @query()
 def hdbscan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sample = sampling.uniform_sample(vectors(spark, sf_dir, 4), "vec_id", 1_000, 42)
-    return density.sampled_labels(sample, "vec_id", D4, "hdbscan", min_cluster_size=15, min_samples=5)
+    """All rows; over density.MAX_SAMPLE rows raise."""
+    return density.sampled_labels(vectors(spark, sf_dir, 4), "vec_id", D4, "hdbscan", min_cluster_size=15, min_samples=5)
 
 
 @query()

@@ -93,11 +93,15 @@ def silhouette_all(df: DataFrame, id_col: str, columns: Sequence[str], label: st
     import pandas as pd
 
     real = df.where(F.col(label) >= 0).select(F.col(id_col).cast("string").alias("i"), F.col(label).cast("long").alias("label"), F.array(*[F.col(c).cast("double") for c in columns]).alias("v"))
-    n_blocks = max(1, -(-real.count() // block_rows))
+    total = real.count()
+    n_blocks = max(1, -(-total // block_rows))
     packed = real.groupBy(F.pmod(F.xxhash64("i"), F.lit(n_blocks)).alias("b")).agg(F.collect_list(F.struct("i", "label", "v")).alias("rows"))
-    left = packed.select(F.col("rows.i").alias("i"), F.col("rows.label").alias("la"), F.flatten("rows.v").alias("va"))
+    left = packed.select(F.col("rows.i").alias("i"), F.col("rows.label").alias("la"), F.flatten("rows.v").alias("va")).repartition(n_blocks)
     right = packed.select(F.col("rows.label").alias("lb"), F.flatten("rows.v").alias("vb"))
 
+    if total <= 1_000_000:  # else a product of partitions
+        right = F.broadcast(right)
+
     def run(batches):
         for pdf in batches:
             for i, la, va, lb, vb in zip(pdf.i, pdf.la, pdf.va, pdf.lb, pdf.vb, strict=True):

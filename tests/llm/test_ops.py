@@ -1,13 +1,15 @@
 """Corpus operators against plain-Python versions on the small tables and on edge cases."""
 
+import math
 import random
 
 import brute
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
-from kinetra.llm import bpe_codec, column_bwt, decontam, graph, langid, line_dedup, quality_rules, queries, secrets_scan, sharding, simhash_golay, suffix_dedup, url_filter
+from kinetra.llm import bpe_codec, column_bwt, decontam, graph, langid, line_dedup, piece_trie, quality_rules, queries, secrets_scan, sharding, simhash_golay, suffix_dedup, url_filter
 
 HIDDEN = "passage of many bytes that is copied from one document to another, word for word, without a change"
 TEXTS = [
@@ -298,13 +300,79 @@ def test_language(spark, sf_dir, edge, empty):
     assert {r.lang_pred for r in langid.identify(edge, none).collect()} == {"und"}
 
 
-def test_forward_sums_all_segmentations():
-    pieces = ("a", "b", "ab", "ba", "aba")
-    p = np.array([[0.3], [0.2], [0.2], [0.1], [0.2], [1e-7]])
-    m = langid.Model(["x"], pieces, p)
+def brute_language(model, pieces, text):
+    """Language and score by summing every segmentation of every word, letter by letter and language by language."""
+    number = {x: k for k, x in enumerate(pieces)}
+    words = regex.findall(r"\p{L}[\p{L}\p{M}]*", (text or "").lower())
+    if not words or not model.languages:
+        return "und", 0.0
 
-    def total(s):
-        return 1.0 if not s else sum(p[k, 0] * total(s[len(x) :]) for k, x in enumerate(pieces) if s.startswith(x))
+    def word_sum(w, k):
+        ways = [1.0]
+        for end in range(1, len(w) + 1):
+            found = [ways[s] * model.p[number[w[s:end]], k] for s in range(end) if w[s:end] in number]
+            if w[end - 1] not in number:
+                found.append(ways[end - 1] * langid.UNKNOWN)
+            ways.append(sum(found))
+        return ways[-1]
 
-    for word in ("abab", "aabba", "b"):
-        assert np.exp(m.word(word)[0]) == pytest.approx(total(word))
+    plain = [sum(model.letters[model.trie.code[ord(c)]] for c in w) for w in words]
+    totals = [sum(math.log((1 - langid.STRAY) * word_sum("▁" + w, k) + langid.STRAY * math.exp(b)) for w, b in zip(words, plain)) for k in range(len(model.languages))]
+    best = max(range(len(totals)), key=lambda k: totals[k])
+    return model.languages[best], 1 / sum(math.exp(min(t - totals[best], 700)) for t in [*totals, sum(plain)])
+
+
+def test_language_sums_all_segmentations_of_whole_texts(spark, small, sf_dir):
+    pieces = langid.vocabulary(queries.vocabulary_path(queries.PIECE_FILE))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))), pieces, rounds=1)
+    texts = [t for t in small.values() if t and len(t) < 400][:40] + ["½ ② ² Ⅷ", "हिन्दी भाषा", "日本語" * 5, "İstanbul e\u0301te", "x" * 60, "qzx kjw vvq zzk", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.d: (r.lang_pred, r.score) for r in langid.identify(df, model).collect()}
+    for i, t in enumerate(texts):
+        lang, score = brute_language(model, pieces, t)
+        assert got[i][0] == lang and got[i][1] == pytest.approx(score, abs=1e-6), t
+    assert got[texts.index("½ ② ² Ⅷ")] == ("und", 0.0) and langid.text_words("हिन्दी") == ["हिन्दी"]
+    assert got[texts.index("qzx kjw vvq zzk")][1] < 0.5  # like no learned language
+
+
+def test_language_training_follows_expected_counts(spark):
+    pieces = ["▁", "a", "b", "ab", "ba", "▁a"]
+    rows = [("abab b", "x"), ("bab", "x"), ("aab", "y"), (None, "y"), ("ab", None)]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"), pieces, rounds=2)
+    first = [0.02 ** len(x) * 4.0 ** (len(x) - 1) for x in pieces]
+    for k, (lang, texts) in enumerate((("x", ["▁abab", "▁b", "▁bab"]), ("y", ["▁aab"]))):
+        p = first
+        for _ in range(2):
+            counts = [langid.SMOOTH] * len(pieces)
+            for w in texts:
+                ways = []
+                todo = [([], 0)]
+                while todo:
+                    done, at = todo.pop()
+                    if at == len(w):
+                        ways.append(done)
+                    todo += [([*done, i], at + len(x)) for i, x in enumerate(pieces) if w.startswith(x, at) and at < len(w)]
+                mass = [math.prod(p[i] for i in way) for way in ways]
+                for way, m in zip(ways, mass):
+                    for i in way:
+                        counts[i] += m / sum(mass)
+            p = [c / sum(counts) for c in counts]
+        assert model.languages[k] == lang and model.p[:-1, k] == pytest.approx(p, abs=1e-9)
+
+
+def test_forward_sums_of_long_words():
+    pieces = ["a", "b", "ab", "ba", "aba"]
+    trie = piece_trie.PieceTrie.build(["▁", *pieces])
+    p = np.array([[0.5], [0.3], [0.2], [0.2], [0.1], [0.2], [1e-7]])
+    word = "abbaab" * 3_000 + "?"
+    scale = 0.0
+    ways = [1.0]
+    for end in range(1, len(word) + 1):
+        found = sum(ways[-back] * p[i + 1, 0] for i, x in enumerate(pieces) for back in [len(x)] if end >= back and word.startswith(x, end - back))
+        ways.append(found or ways[-1] * 1e-7)
+        if end % 8 == 0:
+            scale += math.log(ways[-1])
+            ways = [w / ways[-1] for w in ways[-4:]]
+    log = math.log(ways[-1]) + scale + math.log(0.5)
+    assert langid.likelihoods(trie, p, [word, "ab"])[0, 0] == pytest.approx(log, rel=1e-9)

@@ -3,7 +3,9 @@
 For each prefix of a piece of text there is one token that a valid encoding of the prefix can end with. An automaton over
 the vocabulary lists, for each end position, the tokens that are suffixes of the prefix; the one whose left neighbour -
 the stored last token of the prefix before it - is compatible is stored. Two neighbouring tokens are compatible if no
-merge would have crossed their border before both were complete. Back-pointers then give the ids.
+merge would have crossed their border before both were complete. Back-pointers then give the ids. A token that its own
+bytes do not merge to can end no valid encoding and is left out of the automaton; a file in which a merge comes before one
+that makes its parts, or whose added tokens strip spaces or need word borders, is refused.
 
 Defined results: null text counts as empty and has no ids; the strings of added tokens in a text become their ids; texts
 of any length are encoded whole; rows that repeat give equal results; an empty table gives no rows; only the id and text
@@ -28,8 +30,8 @@ from kinetra.llm.common import held_once
 #: Fixed value: the published splitting pattern of byte-level BPE.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces and pairs that are kept between texts; a full store is emptied, so memory is bounded.
-MAX_PIECES = 150_000
-MAX_PAIRS = 250_000
+MAX_PIECES = 120_000
+MAX_PAIRS = 200_000
 #: Longer pieces are not stored.
 MAX_PIECE_BYTES = 64
 #: Above every merge rank.
@@ -56,55 +58,64 @@ class BpeCodec:
         model = data["model"]
         if model["type"] != "BPE" or data.get("normalizer") or data["pre_tokenizer"]["type"] != "ByteLevel" or data["pre_tokenizer"].get("add_prefix_space") or model.get("ignore_merges"):
             raise ValueError("only plain byte-level BPE is supported")
-        to_byte = {c: b for b, c in enumerate(byte_letters())}
-        self.bytes_of: dict[int, bytes] = {i: bytes(to_byte[c] for c in s) for s, i in model["vocab"].items()}
-        ids = {s: i for s, i in model["vocab"].items()}
-        self.rank: dict[tuple[int, int], int] = {}
-        made: dict[int, tuple[int, int, int]] = {}
-        for r, m in enumerate(model["merges"]):
-            a, b = m.split(" ") if isinstance(m, str) else m
-            self.rank[ids[a], ids[b]] = r
-            made.setdefault(ids[a + b], (r, ids[a], ids[b]))
-        self.right, self.left = self._spines(made, 2), self._spines(made, 1)
+        if any(t.get(k) for t in data.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens that strip spaces or need word borders are not supported")
         self.added = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
-        self.bytes_of |= {i: s.encode() for s, i in self.added.items()}
-        self.automaton = ahocorasick.Automaton()
+        ids = model["vocab"]
+        top = max([*ids.values(), *self.added.values()]) + 1
+        to_byte = {c: b for b, c in enumerate(byte_letters())}
+        self.bytes_of: list[bytes] = [b""] * top
+        for s, i in ids.items():
+            self.bytes_of[i] = bytes(to_byte[c] for c in s)
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.rank: dict[int, int] = {ids[a] << 32 | ids[b]: r for r, (a, b) in enumerate(merges)}
+        #: By token: its parts, and the rank of the merge that makes it; -1 and -1 for a byte.
+        self.left, self.right, self.made = [-1] * top, [-1] * top, [-1] * top
+        if any(self.rank[ids[a] << 32 | ids[b]] != r for r, (a, b) in enumerate(merges)):
+            raise ValueError("a merge occurs twice")
+        for r, (a, b) in enumerate(merges):
+            x, y, token = ids[a], ids[b], ids[a + b]
+            if any(self.made[t] < 0 and len(self.bytes_of[t]) > 1 for t in (x, y)):
+                if any(a_ + b_ in (a, b) for a_, b_ in merges[r:]):
+                    raise ValueError("a merge comes before one that makes its parts")
+                continue  # a part cannot come about, so neither can this
+            if self.made[token] < 0 and not self._crossed(x, y, r):
+                self.left[token], self.right[token], self.made[token] = x, y, r
+        self.size = [len(b) for b in self.bytes_of]
+        for s, i in self.added.items():
+            self.bytes_of[i] = s.encode()
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         self.whole: dict[bytes, int] = {}
-        self.size = {i: len(b) for i, b in self.bytes_of.items()}
-        for i, b in self.bytes_of.items():
-            if (len(b) == 1 or i in made) and i not in self.added.values():
-                self.automaton.add_word(b.decode("latin-1"), (len(b), i))
-                self.whole[b] = i
+        for i in ids.values():
+            if (self.size[i] == 1 or self.made[i] >= 0) and i not in self.added.values():
+                self.automaton.add_word(self.bytes_of[i].decode("latin-1"), i)
+                self.whole[self.bytes_of[i]] = i
         self.automaton.make_automaton()
         self.split = regex.compile(SPLIT)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pairs: dict[int, bool] = {}
         self.pieces: dict[str, bytes] = {}
 
-    @staticmethod
-    def _spines(made: dict[int, tuple[int, int, int]], side: int) -> dict[int, tuple]:
-        """For each made token the tokens along one side, each with the rank of the merge that uses it up. The list of a token is its own entry and its side child's list, which is shared."""
-        out: dict[int, tuple] = {}
-        for token, parts in made.items():  # in merge order, so a child comes first
-            child, used = parts[side], parts[0]
-            out[token] = (child, used, out.get(child))
-        return out
-
-    @staticmethod
-    def _along(token: int, spine: tuple | None):
-        yield token, NEVER
-        while spine is not None:
-            child, used, spine = spine
-            yield child, used
+    def _crossed(self, a: int, b: int, before: int) -> bool:
+        """Whether a merge of a rank less than `before` joins a right-hand part of a and a left-hand part of b while both are still there. Of equal ranks the left one goes first."""
+        rank, made = self.rank, self.made
+        edge, edge_used = [], NEVER
+        y = b
+        while y >= 0:
+            edge.append((y, edge_used))
+            edge_used, y = made[y], self.left[y]
+        x, x_used = a, NEVER
+        while x >= 0:
+            for y, y_used in edge:
+                r = rank.get(x << 32 | y)
+                if r is not None and r < x_used and r <= y_used and r < before:
+                    return True
+            x_used, x = made[x], self.right[x]
+        return False
 
     def compatible(self, a: int, b: int) -> bool:
-        """Whether a and b stay apart: no merge joins a right-hand part of a and a left-hand part of b while both are still there. Of equal ranks the left one goes first."""
-        left = list(self._along(b, self.left.get(b)))
-        known = not any(
-            (r := self.rank.get((x, y))) is not None and r < x_used and r <= y_used
-            for x, x_used in self._along(a, self.right.get(a))
-            for y, y_used in left
-        )
+        """Whether a and b stay apart."""
+        known = not self._crossed(a, b, NEVER)
         if len(self.pairs) >= MAX_PAIRS:
             self.pairs.clear()
         self.pairs[a << 32 | b] = known
@@ -116,11 +127,12 @@ class BpeCodec:
         if one is not None:
             return [one]
         last: list[int] = [-1] * (len(piece) + 1)
-        pairs = self.pairs
-        for end, (length, token) in self.automaton.iter(piece.decode("latin-1")):
+        pairs, size = self.pairs, self.size
+        for end, token in self.automaton.iter(piece.decode("latin-1")):
             end += 1
             if last[end] >= 0:
                 continue
+            length = size[token]
             if end > length:
                 left = last[end - length]
                 if left < 0:
@@ -171,11 +183,11 @@ def read_spec(path: str) -> str:
         return f.read()
 
 
-def encode_documents(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
-    """(d, n_tokens, ids array<long>, ids_sha256, decoded, decoded_sha256); without keep_ids the ids and the decoded text are left out."""
+def encode_documents(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, keep_decoded: bool = True) -> DataFrame:
+    """(d, n_tokens, ids array<int>, ids_sha256, decoded, decoded_sha256); ids and the decoded text only where they are to be kept."""
     src = docs.select(F.col(id_col).alias("d"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     sent = docs.sparkSession.sparkContext.broadcast(spec)
-    names = ["d", "n_tokens", *["ids"] * keep_ids, "ids_sha256", *["decoded"] * keep_ids, "decoded_sha256"]
+    names = ["d", "n_tokens", *["ids"] * keep_ids, "ids_sha256", *["decoded"] * keep_decoded, "decoded_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = held_once(sent.value, BpeCodec)
@@ -190,13 +202,20 @@ def encode_documents(docs: DataFrame, spec: str, id_col: str = "doc_id", text_co
                 cols["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
                 cols["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
                 if keep_ids:
-                    cols["ids"].append(np.frombuffer(ids, dtype="<u4").astype(np.int64))
+                    cols["ids"].append(ids)
+                if keep_decoded:
                     cols["decoded"].append(decoded)
                 size += len(text)
-                if size > 4_000_000 or k == batch.num_rows - 1:
-                    kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int64())}
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, k + 1 - start), *(pa.array(v, kinds.get(n, pa.string())) for n, v in cols.items())], names)
+                if size > 2_000_000 or k == batch.num_rows - 1:
+                    arrays = {n: _id_lists(v) if n == "ids" else pa.array(v, pa.int64() if n == "n_tokens" else pa.string()) for n, v in cols.items()}
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, k + 1 - start), *arrays.values()], names)
                     cols, start, size = {n: [] for n in names[1:]}, k + 1, 0
 
-    schema = {"n_tokens": "long", "ids": "array<long>"}
+    schema = {"n_tokens": "long", "ids": "array<int>"}
     return src.mapInArrow(run, ", ".join(f"{n} {src.schema['d'].dataType.simpleString() if n == 'd' else schema.get(n, 'string')}" for n in names))
+
+
+def _id_lists(packed: list[bytes]) -> pa.Array:
+    """Lists of 32-bit integers from packed ids, without an object for each id."""
+    ends = np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))

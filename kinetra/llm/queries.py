@@ -51,7 +51,7 @@ def op5_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_codec.encode_documents(table(spark, sf_dir, "documents"), bpe_codec.read_spec(vocabulary_path(BPE_FILE)), keep_ids=False).withColumnRenamed("d", "doc_id")
+    return bpe_codec.encode_documents(table(spark, sf_dir, "documents"), bpe_codec.read_spec(vocabulary_path(BPE_FILE)), keep_ids=False, keep_decoded=False).withColumnRenamed("d", "doc_id")
 
 
 def op7_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:

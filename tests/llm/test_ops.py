@@ -1,5 +1,6 @@
 """Corpus operators against plain-Python versions on the small tables and on edge cases."""
 
+import json
 import math
 import random
 
@@ -210,6 +211,48 @@ def test_bpe(spark, edge, empty, small):
     assert bpe_codec.encode_documents(empty, bpe_codec.read_spec(path)).count() == 0
 
 
+def test_bpe_query_against_the_library(spark, sf_dir, small):
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(queries.vocabulary_path(queries.BPE_FILE))
+    want = {}
+    for d, t in small.items():
+        ids = reference.encode(t or "", add_special_tokens=False).ids
+        want[d] = (len(ids), brute.sha(np.array(ids, dtype="<u4").tobytes()), brute.sha(reference.decode(ids, skip_special_tokens=False)))
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op6_bpe_prefix_dp(spark, sf_dir).collect()} == want
+
+
+def test_bpe_of_made_up_merges_against_the_library():
+    from tokenizers import Tokenizer
+
+    def spec(vocab, merges, **more):
+        level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        model = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": "", "end_of_word_suffix": "", "fuse_unk": False, "byte_fallback": False, "vocab": vocab, "merges": merges}
+        return json.dumps({"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": level, "post_processor": None, "decoder": level, "model": model} | more)
+
+    rng = random.Random(8)
+    cases = [([["a", "b"], ["b", "c"], ["a", "bc"]], ["abc", "aabcbc"])]
+    for _ in range(60):
+        known, merges = list("abcd"), []
+        while len(merges) < rng.randrange(2, 14):
+            a, b = rng.choice(known), rng.choice(known)
+            if len(a + b) <= 6 and [a, b] not in merges:
+                merges.append([a, b])
+                known += [a + b] * (a + b not in known)
+        cases.append((merges, ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 20))) for _ in range(30)]))
+    for merges, texts in cases:
+        vocab = {x: i for i, x in enumerate(dict.fromkeys([*"abcd", *(a + b for a, b in merges)]))}
+        own, library = bpe_codec.BpeCodec(spec(vocab, merges)), Tokenizer.from_str(spec(vocab, merges))
+        for t in texts:
+            assert np.frombuffer(own.encode(t), dtype="<u4").tolist() == library.encode(t).ids, (merges, t)
+    vocab = {"a": 0, "b": 1, "ab": 2, "aba": 3}
+    with pytest.raises(ValueError, match="comes before"):
+        bpe_codec.BpeCodec(spec(vocab, [["ab", "a"], ["a", "b"]]))
+    stripping = {"id": 4, "content": "<x>", "single_word": False, "lstrip": True, "rstrip": False, "normalized": False, "special": True}
+    with pytest.raises(ValueError, match="strip"):
+        bpe_codec.BpeCodec(spec(vocab, [["a", "b"]], added_tokens=[stripping]))
+
+
 def contaminated(df, items):
     found = decontam.contamination(df, items)
     return sorted((str(r.d), r.n_words, r.n_hit, len(r.items), brute.sha(",".join(r.items)), r.n_hit > 0 and 20 * r.n_hit >= r.n_words) for r in found.collect())

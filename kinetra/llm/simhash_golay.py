@@ -18,6 +18,7 @@ empty table gives no rows; only the id and text columns are read.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,6 +85,17 @@ def golay_neighbours() -> list[list[int]]:
     return table
 
 
+@functools.cache
+def _nearest_patterns() -> np.ndarray:
+    """By syndrome, the error pattern of weight 3 or less: the code is perfect, so there is one."""
+    return np.array([min(found, key=int.bit_count) for found in golay_neighbours()], dtype=np.int64)
+
+
+def nearest_codewords(words: np.ndarray) -> np.ndarray:
+    """12-bit index of the codeword within distance 3 of each 23-bit word."""
+    return (words ^ _nearest_patterns()[_syndromes(words)]) >> 11
+
+
 def golay_keys(fps: np.ndarray, table: list[list[int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of all keys of unsigned 64-bit fingerprints. key: 2 bits segment number, the exact segment, 12 bits index of the next segment's codeword."""
     table = table or golay_neighbours()

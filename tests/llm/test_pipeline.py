@@ -4,6 +4,7 @@ import brute
 import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
+from test_simhash_parts import groups
 
 from kinetra.llm import bpe_codec, langid, queries
 
@@ -12,8 +13,8 @@ def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))), langid.vocabulary(queries.vocabulary_path(queries.PIECE_FILE)))
     kept = {}
-    for r in docs.collect():
-        lang, score = model.predict(r.text)
+    rows = docs.collect()
+    for r, lang, score in zip(rows, *model.predict([r.text for r in rows])):
         if lang != langid.UNDECIDED and score >= corpus_pipeline.MIN_LANGUAGE_SCORE:
             kept[r.doc_id] = r.text
     counts = {}
@@ -22,7 +23,7 @@ def test_pipeline(spark, sf_dir):
         for k in {key(x) for x in t.split("\n")}:
             counts[k] = counts.get(k, 0) + 1
     kept = {d: "\n".join(x for x in t.split("\n") if not key(x) or counts[key(x)] < 10) for d, t in kept.items()}
-    parts = brute.components({d: brute.fingerprint(t) for d, t in kept.items()})
+    parts = groups(list(kept.items()))  # five words and a similarity of 0.8, as stages on word shingles take
     kept = {d: t for d, t in kept.items() if parts[d] == d}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     bad = {x[0] for x in brute.contamination(kept.items(), items) if x[5]}
@@ -36,3 +37,21 @@ def test_stages_return_documents(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, empty, sf_dir)
         assert sorted(out.columns) == sorted(corpus_pipeline.COLUMNS) and out.count() == 0
+
+
+def test_stages_with_shared_and_missing_ids(spark, sf_dir):
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("length(text) > 100").first().text
+    clean = "The cat sat on the mat and looked at the river for a very long time before it went home again"
+    rows = [(1, item), (1, clean), (None, item), (None, clean), (None, clean), (2, clean + " today"), (3, clean.upper()), (4, None), (4, ""), (5, clean), (5, clean)]
+    df = spark.createDataFrame([(d, t, "en", "s", 1, "x") for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, d string").withColumn("n_chars", F.lit(1).cast("long"))
+    out = {(r.doc_id, r.text) for r in corpus_pipeline.decontaminate(spark, df, sf_dir).collect()}
+    assert out == {x for x in rows if x[1] != item}
+    near = sorted(((r.doc_id, r.text) for r in corpus_pipeline.keep_one_of_each_group(spark, df, sf_dir).collect()), key=str)
+    assert near in (sorted([(1, item), (1, clean), (4, x)], key=str) for x in (None, ""))
+    nulls = df.where("doc_id IS NULL")
+    assert sorted(r.text for r in corpus_pipeline.keep_one_of_each_group(spark, nulls, sf_dir).collect()) == sorted([item, clean])
+    assert corpus_pipeline.drop_common_lines(spark, df, sf_dir).count() == len(rows)
+    encoded = corpus_pipeline.encode(spark, df, sf_dir).collect()
+    assert len(encoded) == len(rows) and {r.n_tokens for r in encoded if r.doc_id == 4} == {0}
+    same_language = corpus_pipeline.identify_language(spark, df, sf_dir)
+    assert sorted(same_language.columns) == sorted(corpus_pipeline.COLUMNS) and same_language.where("text IS NULL OR text = ''").count() == 0

@@ -7,7 +7,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from kinetra.llm import shingle_sets
+from kinetra.llm import simhash_parts
 
 
 def shingles(text):
@@ -62,7 +62,7 @@ def test_pairs_at_the_threshold_share_a_key():
             a, b = np.unique(pool[:n]), np.unique(pool[lost : n + grown])
             same = len(np.intersect1d(a, b))
             if 5 * same >= 4 * (len(a) + len(b) - same) and len(a) + len(b) > 2 * same:
-                assert set(shingle_sets.part_keys(a)) & set(shingle_sets.part_keys(b))
+                assert set(simhash_parts.part_keys(a)) & set(simhash_parts.part_keys(b))
 
 
 def test_stage_keeps_one_of_each_group(spark, sf_dir, made):
@@ -70,11 +70,11 @@ def test_stage_keeps_one_of_each_group(spark, sf_dir, made):
     by_bits = brute.components({d: brute.fingerprint(t) for d, t in made})
     assert want != by_bits
     df = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in made], "doc_id long, text string, lang string, source string, n_chars long")
-    assert {r.d: r.component for r in shingle_sets.near_duplicates(df).collect()} == want
+    assert {r.d: r.component for r in simhash_parts.near_duplicates(df).collect()} == want
     assert {r.doc_id for r in corpus_pipeline.keep_one_of_each_group(spark, df, sf_dir).collect()} == set(want.values())
 
 
 def test_local_table(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     want = groups([(r.doc_id, r.text) for r in df.collect()])
-    assert {r.d: r.component for r in shingle_sets.near_duplicates(df).collect()} == want
+    assert {r.d: r.component for r in simhash_parts.near_duplicates(df).collect()} == want

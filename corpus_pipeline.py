@@ -1,7 +1,12 @@
-"""A training-data pipeline of five stages over documents: language ID, line dedup, near-dedup by five-word shingles, benchmark decontamination, BPE encoding.
+"""A training-data pipeline of five stages over documents: language ID, line dedup, SimHash near-dedup, benchmark decontamination, BPE encoding.
 
 Each function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. A
 stage takes what its predecessor kept, written as Parquet and read again.
+
+Defined results, for every stage: null text counts as empty; language ID drops it, as a text without letters, and later
+stages would keep it. Verdicts are for (id, text), so rows that share an id but not the text are judged apart, and a null id
+is an id like any other. Rows that repeat in full share a verdict, and near-dedup keeps one of them. Ties: near-dedup keeps the
+smallest id (a null only where a group has no other), then the smallest text hash. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -9,27 +14,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetra.llm import bpe_codec, decontam, langid, line_dedup, shingle_sets
-from kinetra.llm.common import same, written
+from kinetra.llm import bpe_codec, decontam, langid, line_dedup, simhash_parts
+from kinetra.llm.common import same, text_or_empty, written
 from kinetra.llm.queries import BPE_FILE, PIECE_FILE, table, vocabulary_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A document whose best language has less than this share of the posterior is rejected, as is one without a language.
+#: A document whose best language has less than this share of the posterior, beside the other languages and the letter background, is rejected, as is one without a language.
 MIN_LANGUAGE_SCORE = 0.5
 #: No SQL: several stages use functions that DuckDB lacks (XXH64, BPE, a trained model). tests/llm checks run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def _kept(docs: DataFrame, verdicts: DataFrame, keep: str) -> DataFrame:
-    """The documents whose id has a verdict row that satisfies `keep`; a null id is an id like any other. verdicts has a column d."""
-    chosen = verdicts.where(keep).select(F.col("d").alias("doc_id")).distinct()
-    return docs.alias("a").join(chosen.alias("b"), same("a", "b", "doc_id"), "left_semi").select(*COLUMNS)
+def _kept(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The documents whose id and text hash are in chosen (d, h)."""
+    keys = chosen.select(F.col("d").alias("doc_id"), "h").distinct()
+    hashed = docs.select(*COLUMNS, F.xxhash64(text_or_empty("text")).alias("h"))
+    return hashed.alias("a").join(keys.alias("b"), same("a", "b", "doc_id", "h"), "left_semi").select(*COLUMNS)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language or with none that is likely; trained on four folds of the labelled documents."""
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))), langid.vocabulary(vocabulary_path(PIECE_FILE)))
-    scored = langid.annotate(docs, model)
+    scored = langid.annotate(docs.select(*COLUMNS), model)
     return scored.where((F.col("lang_pred") != langid.UNDECIDED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*COLUMNS)
 
 
@@ -40,20 +46,28 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a similarity of 0.8 or more of five-word shingles the document with the smallest id stays."""
-    found = shingle_sets.near_duplicates(docs)
-    return _kept(docs, found, "component IS NULL OR d = component")
+    """One document of each group linked by a similarity of 0.8 or more of five-word shingles stays."""
+    found, _ = written(simhash_parts.near_duplicates(docs), "near-groups")
+    kept = _kept(docs, simhash_parts.first_of_each(found))
+    again, _ = written(found.groupBy("d", "h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("d", "h"), "repeated-rows")
+    if not again.limit(1).count():
+        return kept
+    keys = again.select(F.col("d").alias("doc_id"), "h")
+    hashed = kept.withColumn("h", F.xxhash64(text_or_empty("text")))
+    single = hashed.alias("a").join(keys.alias("b"), same("a", "b", "doc_id", "h"), "left_anti")
+    repeated = hashed.alias("a").join(keys.alias("b"), same("a", "b", "doc_id", "h"), "left_semi").dropDuplicates(["doc_id", "h"])
+    return single.unionByName(repeated).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the benchmark contaminates."""
     found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _kept(docs, found.withColumn("bad", decontam.is_contaminated(F.col("n_hit"), F.col("n_words"))), "NOT bad")
+    return _kept(docs, found.where(~decontam.is_contaminated(F.col("n_hit"), F.col("n_words"))))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of each document."""
-    return bpe_codec.encode_documents(docs, bpe_codec.read_spec(vocabulary_path(BPE_FILE))).select(F.col("d").alias("doc_id"), "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+    return bpe_codec.encode_documents(docs, bpe_codec.read_spec(vocabulary_path(BPE_FILE)), keep_decoded=False).withColumnRenamed("d", "doc_id")
 
 
 STAGES = [

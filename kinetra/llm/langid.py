@@ -43,7 +43,7 @@ UNDECIDED = "und"
 #: Letters of a part of a long word in training; words that a worker keeps scores of; texts that are scored together.
 TRAIN_LETTERS = 32
 MAX_WORDS_KEPT = 150_000
-MAX_LETTERS_AT_ONCE = 2_000_000
+MAX_LETTERS_AT_ONCE = 500_000
 MAX_LANGUAGES = 1_000
 #: Pseudo-count of each piece, and probability of a letter that no piece covers.
 SMOOTH = 0.1
@@ -248,23 +248,23 @@ def train(labelled: DataFrame, pieces: list[str], lang_col: str = "lang", text_c
     return Model(languages, trie, p, background)
 
 
-def annotate(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score appended; docs may have neither name yet."""
+def annotate(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """The kept columns of docs (all, by default) with lang_pred and score appended; docs may have neither name yet."""
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.trie, model.p, model.letters))
-    at = docs.columns.index(text_col)
+    at, kept = docs.columns.index(text_col), [docs.columns.index(c) for c in (docs.columns if keep is None else keep)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held_once(sent.value, _model)  # its word scores serve later tasks
         for whole in batches:
-            for first in range(0, whole.num_rows, 1_000):
-                batch = whole.slice(first, 1_000)
+            for first in range(0, whole.num_rows, 250):
+                batch = whole.slice(first, 250)
                 names, scores = m.predict(batch.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*(batch.schema.names[k] for k in kept), "lang_pred", "score"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*(docs.schema.fields[k] for k in kept), StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(d, lang_pred, score) of each row. The model's size is vocabulary times languages, bounded by MAX_LANGUAGES."""
     src = docs.select(F.col(id_col).alias("d"), F.col(text_col).cast("string").alias("t"))
-    return annotate(src, model, "t").select("d", "lang_pred", "score")
+    return annotate(src, model, "t", keep=("d",))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Cells of one table of words, letters by words; longer words come in smaller tables.
-MAX_CELLS = 400_000
+MAX_CELLS = 120_000
 
 
 @dataclass

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinetra.functions.quantiles import placed
+
 #: The 97.5 % point of the normal distribution.
 Z_95 = 1.959963984540054
 
@@ -28,13 +30,8 @@ def ranked(df: DataFrame, values: Sequence[str], suffix: str = "_rank") -> DataF
     """
     src = df
     for v in values:
-        counts = src.where(F.col(v).isNotNull()).groupBy(v).agg(F.count(F.lit(1)).alias("_n"))
-        parts = counts.repartitionByRange(v).withColumn("_p", F.spark_partition_id())
-        upto = parts.withColumn("_c", F.sum("_n").over(W.partitionBy("_p").orderBy(v)))
-        totals = parts.groupBy("_p").agg(F.sum("_n").alias("_t"))  # a row for each partition
-        before = totals.alias("x").join(F.broadcast(totals.alias("y")), F.col("y._p") < F.col("x._p"), "left").groupBy("x._p").agg(F.coalesce(F.sum("y._t"), F.lit(0)).alias("_before"))
-        ranks = upto.join(F.broadcast(before), "_p").select(v, (F.col("_before") + F.col("_c") - (F.col("_n") - 1) / 2.0).alias(v + suffix))
-        df = df.join(ranks, v, "left")
+        at = placed(src.select(v).where(F.col(v).isNotNull()), [], v)
+        df = df.join(at.select(v, (F.col("before") + (F.col("n") + 1) / 2.0).alias(v + suffix)), v, "left")
     return df
 
 

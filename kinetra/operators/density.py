@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinetra.functions.quantiles import checkpointed
+
 MAX_SAMPLE = 10_000
 
 
@@ -72,17 +74,6 @@ def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
     return parts.withColumn("_r", place).join(offset, "_p").withColumn(name, (F.col("_at") + F.col("_r")).cast("int")).drop("_p", "_at", "_r")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the shared checkpoint folder."""
-    import os
-    import tempfile
-
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints"))
-    return df.checkpoint()
-
-
 def ward_labels(x: np.ndarray, k: int) -> np.ndarray:
     """Labels of k clusters by Ward's criterion, merging reciprocal nearest neighbours along chains; numbered by first row."""
     n = len(x)

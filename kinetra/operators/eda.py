@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinetra.functions.quantiles import checkpointed, medians, percentiles, quantiles
 from kinetra.functions.stats import ranked
 
 PERCENTS = (0.01, 0.05, 0.25, 0.50, 0.75, 0.95, 0.99)
@@ -19,13 +20,13 @@ def _long(row: DataFrame, features: Sequence[str], names: Sequence[str]) -> Data
 
 
 def describe(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """count, mean, std (ddof 1), min, exact percentiles, max of each feature, in one pass."""
+    """count, mean, std (ddof 1), min, exact percentiles, max of each feature."""
     aggs = []
     for f in features:
         c = F.col(f).cast("double")
-        aggs += [F.count(c).alias(f"{f}__count"), F.avg(c).alias(f"{f}__mean"), F.stddev_samp(c).alias(f"{f}__std"), F.min(c).alias(f"{f}__min"), F.percentile(c, list(PERCENTS)).alias(f"{f}__p"), F.max(c).alias(f"{f}__max")]
-    long = _long(df.agg(*aggs), features, ("count", "mean", "std", "min", "p", "max"))
-    return long.select("feature", "count", "mean", "std", "min", *[F.col("p")[k].alias(f"p{int(p * 100):02d}") for k, p in enumerate(PERCENTS)], "max")
+        aggs += [F.count(c).alias(f"{f}__count"), F.avg(c).alias(f"{f}__mean"), F.stddev_samp(c).alias(f"{f}__std"), F.min(c).alias(f"{f}__min"), F.max(c).alias(f"{f}__max")]
+    long = _long(df.agg(*aggs), features, ("count", "mean", "std", "min", "max")).join(quantiles(df, features, PERCENTS), "feature", "left")
+    return long.select("feature", "count", "mean", "std", "min", *[F.col("q")[k].alias(f"p{int(p * 100):02d}") for k, p in enumerate(PERCENTS)], "max")
 
 
 def skewness(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -44,21 +45,19 @@ def zero_percentage(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def iqr_outliers(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Quartiles, the bounds 1.5 IQR beyond them, and how many values lie strictly outside."""
-    quartiles = df.agg(*[F.percentile(F.col(f).cast("double"), [0.25, 0.75]).alias(f"{f}__q") for f in features])
-    # the one-row side is a scalar subquery in effect: one row by construction
-    joined = df.join(F.broadcast(quartiles))
+    found = percentiles(df, features, (0.25, 0.75))
     aggs = []
     for f in features:
-        q1, q3 = F.col(f"{f}__q")[0], F.col(f"{f}__q")[1]
+        q1, q3 = (F.lit(x).cast("double") for x in found.get(f, (None, None)))
         lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
         outside = (F.col(f) < lo) | (F.col(f) > hi)
         aggs += [F.first(q1).alias(f"{f}__q1"), F.first(q3).alias(f"{f}__q3"), F.first(q3 - q1).alias(f"{f}__iqr"), F.first(lo).alias(f"{f}__lower_bound"), F.first(hi).alias(f"{f}__upper_bound"), F.count_if(outside).alias(f"{f}__outlier_count"), (100.0 * F.avg(outside.cast("double"))).alias(f"{f}__outlier_pct")]
-    return _long(joined.agg(*aggs), features, ("q1", "q3", "iqr", "lower_bound", "upper_bound", "outlier_count", "outlier_pct"))
+    return _long(df.agg(*aggs), features, ("q1", "q3", "iqr", "lower_bound", "upper_bound", "outlier_count", "outlier_pct"))
 
 
 def spearman(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Long matrix (feature_a, feature_b, rho) of rank correlations."""
-    table = ranked(df.select(*features).persist(), features)
+    table = ranked(checkpointed(df.select(*features)), features)
     pairs = [(a, b) for a in features for b in features]
     row = table.agg(*[F.corr(f"{a}_rank", f"{b}_rank").alias(f"{a}__{b}") for a, b in pairs])
     items = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"{a}__{b}").alias("rho")) for a, b in pairs]
@@ -67,8 +66,9 @@ def spearman(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def group_statistic(df: DataFrame, groups: Sequence[str], features: Sequence[str], how: str) -> DataFrame:
     """Exact median or mean of each feature by group."""
-    fn = {"median": F.median, "mean": F.avg}[how]
-    return df.groupBy(*groups).agg(*[fn(f).alias(f) for f in features])
+    if how == "median":
+        return medians(df, groups, features)
+    return df.groupBy(*groups).agg(*[F.avg(f).alias(f) for f in features])
 
 
 def group_counts(df: DataFrame, groups: Sequence[str], total_of: Sequence[str] = ()) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinetra.config import CORE_FEATURES
+from kinetra.functions.quantiles import medians as exact_medians
 from kinetra.functions.stats import chi_square_tail, wilson_interval
 from kinetra.operators.selection import percentile_score
 
@@ -92,9 +93,9 @@ def rates(counts: DataFrame, profile: Sequence[str]) -> DataFrame:
 
 
 def profile_summary(table: DataFrame, profile: Sequence[str], features: Sequence[str] = CORE_FEATURES) -> DataFrame:
-    """Count, percentage and medians of each profile, in one aggregation."""
+    """Count, percentage and exact medians of each profile."""
     total = F.sum("trajectory_count").over(W.partitionBy(F.lit(0)))
-    t = table.groupBy(*profile).agg(F.count(F.lit(1)).alias("trajectory_count"), *[F.median(f).alias(f) for f in features])
+    t = table.groupBy(*profile).agg(F.count(F.lit(1)).alias("trajectory_count")).join(exact_medians(table, profile, features), list(profile), "left")
     return t.select(*profile, "trajectory_count", (100.0 * F.col("trajectory_count") / total).alias("percentage"), *features)
 
 

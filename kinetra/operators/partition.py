@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinetra.functions.quantiles import medians, percentiles
 from kinetra.functions.stats import pairs
 
 
@@ -151,9 +152,10 @@ def pairwise_stability(runs: DataFrame, id_col: str = "id", run_col: str = "run"
     return scored.agg(F.avg("ari").alias("mean_ari"), F.min("ari").alias("min_ari"), F.stddev_pop("ari").alias("std_ari"))
 
 
-def robust_profile_scores(df: DataFrame, group: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """(group median - global median) / global IQR, an IQR of 0 counting as 1."""
-    overall = df.agg(*[F.percentile(F.col(f).cast("double"), [0.25, 0.5, 0.75]).alias(f"{f}__g") for f in features])
-    medians = df.groupBy(*group).agg(*[F.median(f).alias(f) for f in features])
-    iqr = lambda f: F.col(f"{f}__g")[2] - F.col(f"{f}__g")[0]
-    return medians.join(F.broadcast(overall)).select(*group, *[((F.col(f) - F.col(f"{f}__g")[1]) / F.when(iqr(f) == 0, 1.0).otherwise(iqr(f))).alias(f) for f in features])
+def robust_profile_scores(df: DataFrame, group: Sequence[str], features: Sequence[str], noise: int | None = -1) -> DataFrame:
+    """(group median - global median) / global IQR, an IQR of 0 counting as 1. Rows whose first group column is `noise` are left out of both."""
+    if noise is not None:
+        df = df.where(~F.col(group[0]).eqNullSafe(F.lit(noise)))
+    overall = percentiles(df, features, (0.25, 0.5, 0.75))
+    score = {f: (F.col(f) - F.lit(q[1])) / F.lit(q[2] - q[0] or 1.0) for f, q in overall.items()}
+    return medians(df, group, features).select(*group, *[score.get(f, F.lit(None).cast("double")).alias(f) for f in features])

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinetra.config import CONTEXT, CORE_FEATURES, TRACK_KEY, QualityConfig
+from kinetra.functions.quantiles import medians
 from kinetra.functions.text import short_number
 from kinetra.operators.kinematics import is_car
 
@@ -62,16 +63,17 @@ def city_processing_summary(by_recording: DataFrame) -> DataFrame:
 
 def frame_quality_audit(frames: DataFrame) -> DataFrame:
     """Repeated (track, frame) and (track, time) rows, tracks of several types, time steps that do not advance, and the median step, for each recording."""
-    w = W.partitionBy(*TRACK_KEY).orderBy("timestamp_ms", "frame_id")
-    dt = F.col("timestamp_ms") - F.lag("timestamp_ms").over(w)
-    rec = ("city", "recording_id")
-    steps = frames.withColumn("dt", dt).groupBy(*rec).agg(F.count_if(F.col("dt") <= 0).alias("non_positive_steps"), F.median(F.when(F.col("dt") > 0, F.col("dt"))).alias("median_step_ms"), F.count(F.lit(1)).alias("rows"))
-
-    def repeats(cols: Sequence[str], name: str) -> DataFrame:
-        return frames.groupBy(*rec, *cols).agg(F.count(F.lit(1)).alias("n")).groupBy(*rec).agg(F.sum(F.col("n") - 1).alias(name))
-
-    types = frames.groupBy(*TRACK_KEY).agg(F.countDistinct("agent_type").alias("n")).groupBy(*rec).agg(F.count_if(F.col("n") > 1).alias("mixed_type_tracks"))
-    return steps.join(repeats(["track_id", "frame_id"], "repeated_frames"), list(rec)).join(repeats(["track_id", "timestamp_ms"], "repeated_times"), list(rec)).join(types, list(rec))
+    rec = ["city", "recording_id"]
+    track = W.partitionBy(*TRACK_KEY)
+    in_time, by_frame = track.orderBy("timestamp_ms", "frame_id"), track.orderBy("frame_id")
+    again = lambda c, w: (F.row_number().over(w) > 1) & F.col(c).eqNullSafe(F.lag(c).over(w))
+    steps = frames.select(*TRACK_KEY, "frame_id", "timestamp_ms", "agent_type", (F.col("timestamp_ms") - F.lag("timestamp_ms").over(in_time)).alias("dt"), again("timestamp_ms", in_time).alias("same_time"))
+    rows = steps.withColumn("same_frame", again("frame_id", by_frame))
+    # windows and both sums by track share the exchange on the track key
+    tracks = rows.groupBy(*TRACK_KEY).agg(F.count_if(F.col("dt") <= 0).alias("steps"), F.count(F.lit(1)).alias("rows"), F.count_if("same_frame").alias("frames"), F.count_if("same_time").alias("times"), (F.min("agent_type") != F.max("agent_type")).alias("mixed"))
+    sums = tracks.groupBy(*rec).agg(F.sum("steps").alias("non_positive_steps"), F.sum("rows").alias("rows"), F.sum("frames").alias("repeated_frames"), F.sum("times").alias("repeated_times"), F.count_if("mixed").alias("mixed_type_tracks"))
+    step = medians(steps.where("dt > 0"), rec, ["dt"]).withColumnRenamed("dt", "median_step_ms")
+    return sums.alias("a").join(step.alias("b"), F.col("a.city").eqNullSafe(F.col("b.city")) & F.col("a.recording_id").eqNullSafe(F.col("b.recording_id")), "left").select("a.city", "a.recording_id", "non_positive_steps", "median_step_ms", "rows", "repeated_frames", "repeated_times", "mixed_type_tracks")
 
 
 def validation_counts(table: DataFrame, key: str, numeric: Sequence[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetra.config import CONTINUOUS_FEATURES, CORE_FEATURES, SPECS
+from kinetra.functions.quantiles import checkpointed
 from kinetra.operators import cluster, density, eda, neighbours, partition, preprocess, sampling
 from kinetra.plans.registry import query, r, rounded
 from kinetra.plans.trajectory import FEAT_SQL, eta_sql, features
@@ -27,14 +28,14 @@ def winsor_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_bounds_sql("SELECT trajectory_uid, " + r(*[f"{f}=least(greatest({f}, {f}_lo), {f}_hi)" for f in CONTINUOUS_FEATURES]) + " FROM feats, b"))
 def winsorized_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = features(spark, sf_dir)
+    t = checkpointed(features(spark, sf_dir))
     p = preprocess.Preprocessor(SPECS[0]).fit(t)
     return rounded(t.select("trajectory_uid", *[p._clipped(f).alias(f) for f in CONTINUOUS_FEATURES]))
 
 
 @query(f"WITH {FEAT_SQL} SELECT trajectory_uid, " + r(*[f"{f}=({f} - (SELECT median({f}) FROM feats)) / (SELECT CASE WHEN quantile_cont({f}, 0.75) - quantile_cont({f}, 0.25) = 0 THEN 1.0 ELSE quantile_cont({f}, 0.75) - quantile_cont({f}, 0.25) END FROM feats)" for f in CORE_FEATURES]) + " FROM feats")
 def robust_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = features(spark, sf_dir)
+    t = checkpointed(features(spark, sf_dir))
     return rounded(preprocess.Preprocessor(SPECS[1]).fit(t).scaled(t).select("trajectory_uid", *CORE_FEATURES))
 
 
@@ -43,7 +44,7 @@ STANDARD_SQL = f"WITH {FEAT_SQL}, b AS (SELECT " + ", ".join(f"quantile_cont({f}
 
 @query(STANDARD_SQL + " SELECT trajectory_uid, " + r(*[f"{f}=({f} - (SELECT avg({f}) FROM w)) / (SELECT CASE WHEN stddev_pop({f}) = 0 THEN 1.0 ELSE stddev_pop({f}) END FROM w)" for f in CORE_FEATURES]) + " FROM w")
 def standard_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = features(spark, sf_dir)
+    t = checkpointed(features(spark, sf_dir))
     return rounded(preprocess.Preprocessor(SPECS[0]).fit(t).scaled(t).select("trajectory_uid", *CORE_FEATURES))
 
 
@@ -54,7 +55,7 @@ def pca_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fitted(spark: SparkSession, sf_dir: str) -> tuple[preprocess.Preprocessor, DataFrame]:
-    t = features(spark, sf_dir).persist()  # one row for each trajectory, read by every pass of the fit
+    t = checkpointed(features(spark, sf_dir))  # one row for each trajectory, read by every pass of the fit
     return preprocess.Preprocessor(SPECS[2]).fit(t), t
 
 

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from kinetra.functions import quantiles
 from kinetra.operators import density, partition
 from kinetra.plans import modelling
 
@@ -56,3 +57,19 @@ def test_ward_and_hdbscan_label_all_rows_or_raise(spark, monkeypatch):
     for f in (modelling.ward_clusters, modelling.hdbscan_clusters):
         with pytest.raises(ValueError):
             f(spark, "")
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, None if rng.random() < 0.1 else float(rng.integers(0, 30)), float(rng.normal())) for g in ("a", "b", None) for _ in range(157)] + [("c", None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, u double, v double").repartition(5)
+    percents = (0.0, 0.01, 0.25, 0.5, 0.9, 1.0)
+    got = {(r.g, r.feature): list(r.q) for r in quantiles.quantiles(df, ["u", "v"], percents, ["g"]).collect()}
+    for g in ("a", "b", None, "c"):
+        for k, f in ((1, "u"), (2, "v")):
+            x = [r[k] for r in rows if r[0] == g and r[k] is not None]
+            assert got.pop((g, f), None) == (pytest.approx(np.quantile(x, percents).tolist()) if x else None)
+    assert not got
+    everything = quantiles.percentiles(df, ["v"], (0.5,))
+    assert everything["v"][0] == pytest.approx(float(np.median([r[2] for r in rows])))
+    assert quantiles.percentiles(df.limit(0), ["v"], (0.5,)) == {} and quantiles.medians(df, ["g"], ["u"]).count() == 3

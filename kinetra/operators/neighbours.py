@@ -47,9 +47,16 @@ def nearest(points: DataFrame, queries: DataFrame, id_col: str, vector_col: str,
     return near.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("distance", "neighbour"))).where(F.col("rank") <= k)
 
 
-def kth_distance(points: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
-    """(query, distance) to the k-th neighbour, the point itself being the first."""
-    return nearest(points, points, id_col, vector_col, k).where(F.col("rank") == k).select("query", "distance")
+def kth_distance(points: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
+    """(query, distance) of each query row to its k-th neighbour among all points, itself being the first; queries go in blocks of at most MAX_QUERIES by hash."""
+    blocks = 1
+    while (queries.groupBy(F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("b")).count().agg(F.max("count")).first()[0] or 0) > MAX_QUERIES:
+        blocks *= 2
+    out = None
+    for b in range(blocks):
+        part = nearest(points, queries.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b), id_col, vector_col, k).where(F.col("rank") == k).select("query", "distance")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def hopkins(points: DataFrame, id_col: str, columns: Sequence[str], sample: int = 1_000, seed: int = 100) -> float:

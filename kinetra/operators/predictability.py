@@ -6,23 +6,24 @@ from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinetra.functions.quantiles import placed
 from kinetra.operators.cluster import vector
 
 
 def city_balanced_accuracy(df: DataFrame, columns: Sequence[str], group: str, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
     """One row (balanced_accuracy_mean, balanced_accuracy_std, chance) over stratified folds.
 
-    Folds are dealt by hash order within each group; weights make every group count the same; the penalty is 1/total weight.
+    Folds are dealt by hash order within each group, keys being distinct and rows without a group left out; weights make every group count the same; the penalty is 1/total weight.
     """
-    names = [r[0] for r in df.select(group).distinct().orderBy(group).collect()]
-    number = F.create_map(*[F.lit(x) for k, n in enumerate(names) for x in (n, float(k))])
-    w = W.partitionBy(group).orderBy(F.xxhash64(key, F.lit(seed)), key)
-    data = vector(df, columns, "features").withColumn("y", number[F.col(group)]).withColumn("fold", F.row_number().over(w) % folds)
-    size = F.count(F.lit(1)).over(W.partitionBy("y"))
-    data = data.withColumn("weight", F.count(F.lit(1)).over(W.partitionBy(F.lit(0))) / (len(names) * size)).select("features", "y", "fold", "weight").persist()
+    sizes = {r[0]: r[1] for r in df.where(F.col(group).isNotNull()).groupBy(group).count().orderBy(group).collect()}
+    names, total = list(sizes), sum(sizes.values())
+    of = lambda values: F.create_map(*[F.lit(x) for n, v in values.items() for x in (n, float(v))])[F.col(group)]
+    order = F.struct(F.xxhash64(key, F.lit(seed)).alias("h"), F.col(key).alias("key"))
+    fold = placed(df.select(F.col(group).alias("_g"), order.alias("_o")), ["_g"], "_o").select("_g", F.col("_o.key").alias("_k"), (F.col("before") % folds).alias("fold"))
+    data = vector(df, columns, "features").join(fold, (F.col(group) == F.col("_g")) & (F.col(key) == F.col("_k")))
+    data = data.select("features", of({g: k for k, g in enumerate(names)}).alias("y"), "fold", of({g: total / (len(names) * n) for g, n in sizes.items()}).alias("weight")).persist()
     n = data.count()
     scores = []
     for k in range(folds):

@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinetra.functions.quantiles import placed
+
 
 def uniform_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """Exactly min(n, rows) rows without replacement, by the order of the key's seeded hash."""
@@ -16,12 +17,13 @@ def uniform_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 
 
 def bootstrap_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """Exactly n rows with replacement: seeded indices joined to a row number over the key; n is a bounded sample size."""
+    """Exactly n rows with replacement: seeded indices meet the places of the keys, which are distinct, in their order; n is a bounded sample size."""
     total = df.count()
     drawn = np.random.default_rng(seed).integers(0, total, n) if total else np.zeros(0, dtype=int)
     idx = df.sparkSession.createDataFrame([(int(i),) for i in drawn], "_i long")
-    ordered = df.withColumn("_i", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(key)).cast("long") - 1)
-    return ordered.join(idx, "_i").drop("_i")
+    places = placed(df.select(F.col(key).alias("_k")), [], "_k").select("_k", F.explode(F.sequence("before", F.col("before") + F.col("n") - 1)).alias("_i"))
+    drawn = places.join(F.broadcast(idx), "_i").groupBy("_k").agg(F.count(F.lit(1)).alias("_times"))  # at most n keys
+    return df.join(F.broadcast(drawn), F.col(key) == F.col("_k")).withColumn("_t", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).drop("_k", "_times", "_t")
 
 
 def quotas(sizes: dict[str, int], n: int) -> dict[str, int]:
@@ -38,11 +40,13 @@ def quotas(sizes: dict[str, int], n: int) -> dict[str, int]:
 
 
 def stratified_sample(df: DataFrame, group: str, key: str, n: int, seed: int) -> DataFrame:
-    """Exactly n rows, each group in proportion."""
-    share = quotas({r[group]: r["count"] for r in df.groupBy(group).count().collect()}, n)
+    """Exactly n rows, a bounded number, each group in proportion; keys are distinct, and rows without a group are not drawn."""
+    share = quotas({r[group]: r["count"] for r in df.where(F.col(group).isNotNull()).groupBy(group).count().collect()}, n)
     table = df.sparkSession.createDataFrame(list(share.items()), f"{group} string, _quota int")
-    w = W.partitionBy(group).orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), key)
-    return df.join(F.broadcast(table), group).withColumn("_r", F.row_number().over(w)).where("_r <= _quota").drop("_r", "_quota")
+    order = F.struct(F.xxhash64(F.col(key).cast("string"), F.lit(seed)).alias("h"), F.col(key).alias("key"))
+    places = placed(df.select(F.col(group).alias("_g"), order.alias("_o")), ["_g"], "_o")
+    chosen = places.join(F.broadcast(table.withColumnRenamed(group, "_g")), "_g").where("before < _quota").select("_g", F.col("_o.key").alias("_k"))  # n rows
+    return df.join(F.broadcast(chosen), (F.col(group) == F.col("_g")) & (F.col(key) == F.col("_k")), "left_semi")
 
 
 def group_subsample(df: DataFrame, group: Sequence[str], fraction: float, seed: int) -> DataFrame:
@@ -50,7 +54,12 @@ def group_subsample(df: DataFrame, group: Sequence[str], fraction: float, seed:
     groups = df.select(*group).distinct()
     n = round(fraction * groups.count())
     kept = groups.orderBy(F.xxhash64(*group, F.lit(seed)), *group).limit(n)
-    return df.join(F.broadcast(kept), list(group), "left_semi")
+    return df.join(_small(kept), list(group), "left_semi")
+
+
+def _small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A broadcast hint where a count proves at most so many rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def hold_out(df: DataFrame, column: str, value: str) -> tuple[DataFrame, DataFrame]:
@@ -61,5 +70,5 @@ def hold_out(df: DataFrame, column: str, value: str) -> tuple[DataFrame, DataFra
 
 def group_slice(df: DataFrame, group: Sequence[str], start: int, end: int) -> DataFrame:
     """Rows of the groups numbered start..end-1 in sorted order."""
-    numbered = df.select(*group).distinct().withColumn("_g", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*group)) - 1)
-    return df.join(F.broadcast(numbered.where((F.col("_g") >= start) & (F.col("_g") < end)).drop("_g")), list(group), "left_semi")
+    places = placed(df.select(F.struct(*group).alias("_g")).distinct(), [], "_g").where((F.col("before") >= start) & (F.col("before") < end))
+    return df.join(_small(places.select("_g.*")), list(group), "left_semi")

@@ -84,15 +84,17 @@ def pca_loadings(spark: SparkSession, sf_dir: str) -> DataFrame:
 V64 = "SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings"
 
 
-@query(f"WITH e AS ({V64}) SELECT query, round(distance, 6) AS distance FROM (SELECT a.vec_id AS query, list_distance(a.v, b.v) AS distance, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS n FROM e a, e b) WHERE n = 5")
+@query(f"WITH e AS ({V64}) SELECT query, round(distance, 6) AS distance FROM (SELECT a.vec_id AS query, list_distance(a.v, b.v) AS distance, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS n FROM e a, e b WHERE a.vec_id % 100 = 0) WHERE n = 5")
 def knn_kth_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(neighbours.kth_distance(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 5))
+    """Queries are the rows whose id is divisible by 100, against all rows."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return rounded(neighbours.kth_distance(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding", 5))
 
 
 @query()
 def hopkins_statistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir).persist()
-    rows = [(seed, float(neighbours.hopkins(v, "vec_id", D10, 200, seed))) for seed in range(100, 103)]
+    rows = [(seed, float(neighbours.hopkins(v, "vec_id", D10, 1_000, seed))) for seed in range(100, 110)]
     v.unpersist()
     return rounded(spark.createDataFrame(rows, "seed int, hopkins_statistic double"))
 
@@ -200,7 +202,7 @@ def lloyd_fixed_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _model_row(spark: SparkSession, df: DataFrame, columns, family: str, name: str, **extra) -> DataFrame:
     """A benchmark row: sizes, silhouette, Davies-Bouldin, Calinski-Harabasz, entropy and feature separation of a labelled table."""
     df = df.persist()
-    one = partition.cluster_sizes(df).join(F.broadcast(partition.davies_bouldin_calinski(df, columns))).join(F.broadcast(partition.silhouette(df, "vec_id", columns, sample=1_000))).join(F.broadcast(partition.normalized_entropy(df)))
+    one = partition.cluster_sizes(df).join(F.broadcast(partition.davies_bouldin_calinski(df, columns))).join(F.broadcast(partition.silhouette(df, "vec_id", columns, sample=1_500))).join(F.broadcast(partition.normalized_entropy(df)))
     eta = eda.eta_squared(df.where("label >= 0"), "label", columns).agg(F.avg("eta_squared").alias("mean_eta_squared"), F.max("eta_squared").alias("max_eta_squared"), F.count_if(F.col("eta_squared") >= 0.10).alias("separated_features"))
     full = one.join(F.broadcast(eta)).select(F.lit(family).alias("model_family"), F.lit(name).alias("config_name"), "*", *[F.lit(v).alias(k) for k, v in extra.items()])
     out = spark.createDataFrame(full.collect(), full.schema)  # one row
@@ -211,7 +213,7 @@ def _model_row(spark: SparkSession, df: DataFrame, columns, family: str, name: s
 @query()
 def kmeans_multistart(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir, 4)
-    model = cluster.kmeans(v, D4, 4, restarts=3)
+    model = cluster.kmeans(v, D4, 4, restarts=50)
     return rounded(_model_row(spark, model.predict(v.drop("label")), D4, "KMeans", "kmeans_k4", inertia=model.inertia))
 
 
@@ -219,8 +221,9 @@ def kmeans_multistart(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kmeans_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir, 4).persist()
     out = []
-    for k in range(2, 6):
-        runs = [cluster.kmeans(v, D4, k, restarts=1, seed=s) for s in (42, 43, 44)]
+    found = cluster.kmeans_runs(v, D4, range(2, 9), 8, (42, 43, 44))
+    for k in range(2, 9):
+        runs = [found[k, s] for s in (42, 43, 44)]
         labelled = [m.predict(v.drop("label")).select(F.col("vec_id").alias("id"), F.lit(s).alias("run"), "label") for s, m in enumerate(runs)]
         stab = partition.pairwise_stability(labelled[0].unionByName(labelled[1]).unionByName(labelled[2])).first()
         best = min(runs, key=lambda m: m.inertia)
@@ -240,7 +243,7 @@ def minibatch_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gaussian_mixture_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir, 4)
     rows = []
-    for k in (2, 3):
+    for k in range(2, 7):
         m = cluster.gaussian_mixture(v, D4, k)
         rows.append((k, m.log_likelihood, m.aic, m.bic))
     return spark.createDataFrame(rows, "k int, log_likelihood double, aic double, bic double").select("k", *[F.round(x, 2).alias(x) for x in ("log_likelihood", "aic", "bic")])
@@ -281,14 +284,14 @@ def stratified_sample_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.stratified_sample(features(spark, sf_dir), "city", "trajectory_uid", 60, 42).groupBy("city").agg(F.count(F.lit(1)).alias("sampled"))
 
 
-def _stability(spark: SparkSession, sf_dir: str, train_of, repeats: int) -> DataFrame:
+def _stability(spark: SparkSession, sf_dir: str, train_of, repeats: int, restarts: int) -> DataFrame:
     """Fits on train_of(scores, repeat), predicts all rows, ARI against the reference partition."""
     p, t = _fitted(spark, sf_dir)
     scores = p.transform(t).persist()
-    reference = cluster.kmeans(scores, p.score_columns, 4, restarts=2)
+    reference = cluster.kmeans(scores, p.score_columns, 4, restarts=50)
     rows = []
     for k, train in train_of(scores, repeats):
-        model = cluster.kmeans(train, p.score_columns, 4, restarts=2, seed=100)
+        model = cluster.kmeans(train, p.score_columns, 4, restarts=restarts, seed=100)
         both = model.predict(reference.predict(scores, "a"), "b").select("a", "b")
         shares = both.groupBy("b").count().agg(F.min("count")).first()[0]
         rows.append((str(k), float(partition.adjusted_rand(both, "a", "b").first()[0]), int(shares)))
@@ -298,17 +301,17 @@ def _stability(spark: SparkSession, sf_dir: str, train_of, repeats: int) -> Data
 
 @query()
 def bootstrap_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stability(spark, sf_dir, lambda df, n: ((s, sampling.bootstrap_sample(df, "trajectory_uid", round(0.8 * df.count()), s)) for s in range(n)), 3)
+    return _stability(spark, sf_dir, lambda df, n: ((s, sampling.bootstrap_sample(df, "trajectory_uid", round(0.8 * df.count()), s)) for s in range(n)), 3, 1)
 
 
 @query()
 def leave_city_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stability(spark, sf_dir, lambda df, n: ((r_[0], sampling.hold_out(df, "city", r_[0])[0]) for r_ in df.select("city").distinct().orderBy("city").collect()), 4)
+    return _stability(spark, sf_dir, lambda df, n: ((r_[0], sampling.hold_out(df, "city", r_[0])[0]) for r_ in df.select("city").distinct().orderBy("city").collect()), 4, 3)
 
 
 @query()
 def recording_subsample_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stability(spark, sf_dir, lambda df, n: ((s, sampling.group_subsample(df, ["city", "recording_id"], 0.8, s)) for s in range(n)), 3)
+    return _stability(spark, sf_dir, lambda df, n: ((s, sampling.group_subsample(df, ["city", "recording_id"], 0.8, s)) for s in range(n)), 3, 3)
 
 
 @query()

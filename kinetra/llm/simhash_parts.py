@@ -14,9 +14,14 @@ parts of a pair in reach are equal, two of them not empty unless both leave `sla
 emit their empty parts as keys too. Beyond, the first MOST_PARTS parts are keys: each is free of errors with a
 probability of e^-0.89 = 0.41 at least, so a pair in reach shares fewer than two of the 56 with a probability below 1e-11.
 
-Equal sets are one class. Within a key every class is compared with the least; components follow, and only pairs that share
-a key and are not connected yet are compared after that. In keys of over `crowd` such classes only pairs that share two
-crowded keys are, since a pair in reach shares two keys at least. Nothing is capped or sampled.
+Equal sets are one class. The hub of a key is its most central class: the one whose keys have the most members (of near
+copies of one text that is the text itself). Within a key every class is compared with the hub; components follow, and only
+pairs that share a key and are not connected yet are compared after that: all of them in keys of at most `crowd` such
+classes. In a crowded key with the hub b the edits of a class c are the symmetric difference E(c) of c and b. For two classes r
+and m, r and m differ in |E(r)| + |E(m)| - 2 |E(r) & E(m)| shingles, and two classes are near if they differ in at most a ninth
+of their summed sizes. So if r is not near b but near m, they share more than (|E(m)| + (|b| - |m|) / 9) / 2 edits, and the
+edits of m less so many, rarest first, hold one of r. Such pairs meet on (hub, edit): copies that were edited in different
+places never do. Nothing is capped or sampled.
 
 Defined results: null text counts as empty; texts without words are one class; texts of fewer words than a shingle are one
 shingle; rows that repeat, or share an id, are rows of their own; a null id never becomes a component id unless the whole
@@ -31,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinetra.llm.common import broadcast_if_small, remove_table, same, text_or_empty, written
@@ -149,18 +155,22 @@ class _Scratch:
             remove_table(spark, path)
 
 
+def _sets_of(wanted: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, scratch: _Scratch) -> DataFrame:
+    """(c, v): the whole sets of the wanted classes c, from one document each."""
+    wanted = broadcast_if_small(scratch.put(wanted, "simhash-wanted"), MAX_BROADCAST)
+    ids = rows.select("c", "d").join(wanted, "c", "left_semi").groupBy("c").agg(F.min("d").alias("d")).select(F.col("d").alias(id_col)).distinct()
+    own = docs.select(id_col, text_col).alias("x").join(broadcast_if_small(scratch.put(ids, "simhash-ids"), MAX_BROADCAST).alias("y"), same("x", "y", id_col), "left_semi")
+    sets = _mapped(own, id_col, text_col, width, lambda s: s).select("c", "v").join(wanted, "c", "left_semi").dropDuplicates(["c"])
+    return scratch.put(sets, "simhash-sets")
+
+
 def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, scratch: _Scratch) -> DataFrame:
     """(a, b): of pairs (a, b, n, o) of classes those with a Jaccard similarity of 0.8 or more. Large sets are first compared by their keys, of which they share two at least, then by their whole contents."""
     large = (F.col("n") >= LARGE) & (F.col("o") >= LARGE)
     keys = rows.select("c", "v").join(broadcast_if_small(pairs.where(large).select(F.explode(F.array("a", "b")).alias("c")).distinct(), MAX_BROADCAST), "c", "left_semi").dropDuplicates(["c"])
     likely = _with_both(pairs.where(large).select("a", "b"), keys).where(_same("va", "vb") >= 2).select("a", "b")
     left = scratch.put(likely.unionByName(pairs.where(~large).select("a", "b")), "simhash-likely")
-    wanted = left.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    wanted = broadcast_if_small(scratch.put(wanted, "simhash-wanted"), MAX_BROADCAST)
-    ids = rows.select("c", "d").join(wanted, "c", "left_semi").groupBy("c").agg(F.min("d").alias("d")).select(F.col("d").alias(id_col)).distinct()
-    own = docs.select(id_col, text_col).alias("x").join(broadcast_if_small(scratch.put(ids, "simhash-ids"), MAX_BROADCAST).alias("y"), same("x", "y", id_col), "left_semi")
-    sets = _mapped(own, id_col, text_col, width, lambda s: s).select("c", "v").join(wanted, "c", "left_semi").dropDuplicates(["c"])
-    sets = scratch.put(sets, "simhash-sets")
+    sets = _sets_of(left.select(F.explode(F.array("a", "b")).alias("c")).distinct(), rows, docs, id_col, text_col, width, scratch)
     both = _with_both(left, sets)
     return both.where(9 * _same("va", "vb") >= 4 * (F.size("va") + F.size("vb"))).select("a", "b")
 
@@ -171,30 +181,62 @@ def _keyed_pairs(members: DataFrame) -> DataFrame:
     return _in_reach(members.withColumnRenamed("c", "a").join(right, "key").where("a < b AND root <> other").select("a", "b", "n", "o"))
 
 
-def unconnected_pairs(members: DataFrame, crowd: int, scratch: _Scratch) -> DataFrame:
-    """(a, b, n, o): pairs of classes that share a key of at most `crowd` members, or two larger keys, and have different roots."""
+def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (a, b, n, root, va, vb) to (hub, c, n, root, far, most, edit): the edits of class b against hub a; far if they are not near; most: how many of the rarest edits are to be probed."""
+    for whole in batches:
+        for row in range(whole.num_rows):
+            hub, c, n, root, va, vb = (whole.column(k)[row] for k in range(6))
+            x, y = (v.values.to_numpy(zero_copy_only=False) for v in (va, vb))
+            e = np.setxor1d(x, y, assume_unique=True)
+            shared = int((9 * len(e) + len(x) - len(y)) // 18) + 1
+            size = len(e)
+            same_ = lambda v: pa.array(np.full(size, v.as_py(), np.int64))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([same_(hub), same_(c), same_(n), same_(root), pa.array(np.full(size, 9 * size > len(x) + len(y))), pa.array(np.full(size, max(size - shared + 1, 0), np.int64)), pa.array(e)], ["hub", "c", "n", "root", "far", "most", "edit"])
+
+
+def edited_pairs(crowded: DataFrame, sets: DataFrame, scratch: _Scratch) -> DataFrame:
+    """(a, b, n, o): of (hub, c, n, root) the pairs of classes of one hub that may be near though one of them is not near the hub, and have different roots."""
+    pairs = crowded.where("c <> hub").select(F.col("hub").alias("a"), F.col("c").alias("b"), "n", "root")
+    both = pairs.join(sets.select(F.col("c").alias("a"), F.col("v").alias("va")), "a").join(sets.select(F.col("c").alias("b"), F.col("v").alias("vb")), "b")
+    edits = scratch.put(both.select("a", "b", "n", "root", "va", "vb").mapInArrow(_edits, "hub long, c long, n long, root long, far boolean, most long, edit long"), "simhash-edits")
+    counts = edits.groupBy("hub", "edit").agg(F.count(F.lit(1)).alias("k"), F.max("far").alias("any_far")).where("k > 1 AND any_far")
+    alone = F.coalesce("k", F.lit(1))  # an edit that nobody shares, or nobody far from the hub, is a probe that finds nothing
+    order = W.partitionBy("hub", "c").orderBy(alone, "edit")  # the edits of one class
+    ranked = edits.join(counts, ["hub", "edit"], "left").withColumn("r", F.row_number().over(order)).where("r <= most AND k IS NOT NULL").select("hub", "edit", F.col("c").alias("a"), "n", F.col("root").alias("mine"))
+    full = edits.where("far").select("hub", "edit", F.col("c").alias("b"), F.col("n").alias("o"), "root")
+    met = ranked.join(full, ["hub", "edit"]).where("a <> b AND mine <> root")
+    return _in_reach(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("n")).otherwise(F.col("o")).alias("n"), F.when(F.col("a") < F.col("b"), F.col("o")).otherwise(F.col("n")).alias("o")))
+
+
+def unconnected_pairs(members: DataFrame, crowd: int, sets_of, scratch: _Scratch) -> DataFrame:
+    """(a, b, n, o): pairs of classes of (key, hub, c, n, root) that share a key, have different roots and may be near."""
     split = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi").select("key", (F.col("k") > crowd).alias("crowded"))
     left = scratch.put(members.join(split, "key"), "simhash-split")
     few = _keyed_pairs(left.where("NOT crowded"))
-    many = left.where("crowded").groupBy("c", "n", "root").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # at most two schemes of MOST_PARTS keys
-    twos = many.select("c", "n", "root", "keys", F.posexplode("keys").alias("i", "x")).select("c", "n", "root", "x", F.explode(F.slice("keys", F.col("i") + 2, F.size("keys"))).alias("y"))
-    return few.unionByName(_keyed_pairs(twos.select(F.xxhash64("x", "y").alias("key"), "c", "n", "root"))).distinct()
+    crowded = scratch.put(left.where("crowded").select("hub", "c", "n", "root").distinct(), "simhash-crowded")
+    sets = sets_of(crowded.select(F.explode(F.array("hub", "c")).alias("c")).distinct())
+    return few.unionByName(edited_pairs(crowded, sets, scratch)).select("a", "b", "n", "o").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, crowd: int = 100) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, crowd: int = 16) -> DataFrame:
     """(d, h, root, component) of each row: h is its text's hash, root names its group, component is the smallest id reachable over pairs of texts at a similarity of 0.8 or more."""
     scratch = _Scratch()
     rows, _ = written(_mapped(docs, id_col, text_col, width, part_keys), "simhash-keys")
     keys = rows.select("c", "n", F.explode("v").alias("key"))
-    shared = scratch.put(keys.groupBy("key").agg(F.min("c").alias("hub"), F.max("c").alias("top")).where("hub <> top").select("key", "hub"), "simhash-shared")
-    members = scratch.put(keys.join(broadcast_if_small(shared, MAX_BROADCAST), "key").select("key", "hub", "c", "n").distinct(), "simhash-members")
+    shared = scratch.put(keys.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi").select("key", "k"), "simhash-shared")
+    found = scratch.put(keys.join(broadcast_if_small(shared, MAX_BROADCAST), "key").select("key", "k", "c", "n").distinct(), "simhash-found")
+    weight = found.groupBy("c").agg(F.sum(F.log2("k")).alias("w"))
+    hubs = found.join(weight, "c").groupBy("key").agg(F.max(F.struct("w", "c")).alias("x")).select("key", F.col("x.c").alias("hub"))
+    members = scratch.put(found.join(hubs, "key").select("key", "hub", "c", "n"), "simhash-members")
     size = members.select(F.col("c").alias("a"), F.col("n").alias("o")).distinct()
     first = scratch.put(_in_reach(members.where("c <> hub").select(F.col("hub").alias("a"), F.col("c").alias("b"), "n").distinct().join(size, "a")).select("a", "b", "n", "o"), "simhash-pairs")
     links = scratch.put(verified(first, rows, docs, id_col, text_col, width, scratch), "simhash-links")
     roots = connected_components(links)
 
-    rooted = members.join(roots.withColumnRenamed("node", "c"), "c", "left").select("key", "c", "n", F.coalesce("root", "c").alias("root"))
-    rest = scratch.put(unconnected_pairs(rooted, crowd, scratch).join(first.select("a", "b"), ["a", "b"], "left_anti"), "simhash-rest")
+    rooted = members.join(roots.withColumnRenamed("node", "c"), "c", "left").select("key", "hub", "c", "n", F.coalesce("root", "c").alias("root"))
+    sets_of = lambda wanted: _sets_of(wanted, rows, docs, id_col, text_col, width, scratch)
+    compared = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = scratch.put(unconnected_pairs(rooted, crowd, sets_of, scratch).join(compared, ["a", "b"], "left_anti"), "simhash-rest")
     more = scratch.put(verified(rest, rows, docs, id_col, text_col, width, scratch), "simhash-more")
     if more.limit(1).count():
         roots = connected_components(links.unionByName(more))

@@ -70,7 +70,8 @@ def test_stage_keeps_one_of_each_group(spark, sf_dir, made):
     by_bits = brute.components({d: brute.fingerprint(t) for d, t in made})
     assert want != by_bits
     df = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in made], "doc_id long, text string, lang string, source string, n_chars long")
-    assert {r.d: r.component for r in simhash_parts.near_duplicates(df).collect()} == want
+    for crowd in (1, 16):  # also with every key as a crowded one
+        assert {r.d: r.component for r in simhash_parts.near_duplicates(df, crowd=crowd).collect()} == want
     assert {r.doc_id for r in corpus_pipeline.keep_one_of_each_group(spark, df, sf_dir).collect()} == set(want.values())
 
 
@@ -78,3 +79,24 @@ def test_local_table(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     want = groups([(r.doc_id, r.text) for r in df.collect()])
     assert {r.d: r.component for r in simhash_parts.near_duplicates(df).collect()} == want
+
+
+def test_large_group_of_edited_copies(spark):
+    """Copies of one text with their own edits, on both sides of the threshold to it and to each other; some share edits that the text lacks."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(5_000)]
+    base = [rng.choice(words) for _ in range(120)]
+    texts = []
+    for k in range(90):
+        t = list(base)
+        for _ in range(rng.randrange(0, 6)):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        if k % 5 == 0:
+            t[:14] = words[100 : 114]  # a block that several copies share
+        if k % 7 == 0:
+            t = t[: rng.randrange(85, 110)]
+        texts.append((k, " ".join(t)))
+    want = groups(texts)
+    assert len(set(want.values())) > 3
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r.d: r.component for r in simhash_parts.near_duplicates(df).collect()} == want

@@ -26,9 +26,11 @@ def text_or_empty(name: str) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: `spark.checkpoint.dir`, or a folder of our own where that is unset (tests)."""
+    """The folder that all executors share: `spark.checkpoint.dir`, or on a local master without that setting (tests) a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "kinetra")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -28,10 +28,25 @@ def key_hash(key: Column) -> Column:
 
 
 class LineRuns:
-    """Levelled runs of (k binary, n long)."""
-
-    def __init__(self, spark: SparkSession, fanout: int = 4):
-        self.spark, self.fanout, self.levels = spark, fanout, [[]]
+    """Levelled runs of (k binary, n long). With a manifest folder, the list of runs is stored there after every batch, and `reopen` goes on from it in another session."""
+
+    def __init__(self, spark: SparkSession, fanout: int = 4, manifest: str | None = None):
+        self.spark, self.fanout, self.levels, self.manifest, self.version = spark, fanout, [[]], manifest, 0
+
+    @classmethod
+    def reopen(cls, spark: SparkSession, manifest: str) -> LineRuns:
+        row = spark.read.json(f"{manifest}/*").orderBy(F.desc("version")).first()
+        out = cls(spark, row.fanout, manifest)
+        out.version, out.levels = row.version, [[(spark.read.schema("k binary, n long").parquet(p), p) for p in level.paths] for level in row.levels]
+        return out
+
+    def _note(self) -> None:
+        """A new version of the manifest; the last whole one counts, and runs that it no longer names are deleted after it is written."""
+        if self.manifest:
+            self.version += 1
+            levels = [([p for _, p in level],) for level in self.levels]
+            row = self.spark.createDataFrame([(self.version, self.fanout, levels)], "version long, fanout int, levels array<struct<paths:array<string>>>")
+            row.coalesce(1).write.json(f"{self.manifest}/{self.version:09d}")
 
     def runs(self) -> list[DataFrame]:
         return [df for level in self.levels for df, _ in level]
@@ -56,13 +71,15 @@ class LineRuns:
         """
         batch = self.fresh(batch.groupBy("k").agg(F.sum("n").alias("n")), settled)
         self._store(batch, 0)
-        level = 0
+        level, gone = 0, []
         while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
             self._store(self._summed([df for df, _ in full]), level + 1)
-            for _, path in full:
-                remove_table(self.spark, path)
+            gone += [path for _, path in full]
             level += 1
+        self._note()
+        for path in gone:
+            remove_table(self.spark, path)
 
     @staticmethod
     def _summed(runs: list[DataFrame]) -> DataFrame:

@@ -7,7 +7,7 @@ repositories of one owner hold looks live; one that many owners hold is a copied
 of the kind `owned`.
 
 Defined results: null text counts as empty; a null owner or repository is one owner or repository of its own; rows that
-repeat a document give the same result row each; an empty table gives no rows; only the named columns are read.
+repeat a document give the same result row each; texts of any length are scanned whole; an empty table gives no rows; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ BASE = (
 )
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}"
 ADDED = "owned"
+CHUNK = 256
 KINDS = [*(k for k, *_ in BASE), ADDED]
 
 
@@ -42,8 +43,12 @@ def _found(text: Column, kind: int, pattern: str, group: int, least: int) -> Col
         one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value")))
         return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind_of).alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(zipped, zero, step)["out"]).otherwise(F.array().cast(kind_of))
+    # matches go in chunks, so that a text of very many matches takes time in proportion to them
+    chunks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(zipped) / CHUNK).cast("int") - 1), lambda i: F.slice(zipped, i * CHUNK + 1, F.lit(CHUNK)))
+    widths = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda acc, x: acc + F.length(x["before"]) + F.length(x["whole"])))
+    offsets = F.aggregate(widths, F.array(F.lit(0)), lambda acc, w: F.concat(acc, F.array(F.element_at(acc, -1) + w)))
+    parts = F.transform(F.arrays_zip(chunks.alias("chunk"), offsets.alias("at")), lambda c: F.aggregate(F.coalesce(c["chunk"], F.slice(zipped, 1, 0)), F.struct(c["at"].alias("at"), F.array().cast(kind_of).alias("out")), step)["out"])
+    return F.when(text.rlike(pattern), F.flatten(parts)).otherwise(F.array().cast(kind_of))
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col: str) -> DataFrame:

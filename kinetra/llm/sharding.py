@@ -5,7 +5,7 @@ table is small and of fixed size, so it is broadcast, and each row is placed in
 shard leaves, few slots of the others change hands.
 
 Defined results: a null key has a slot like any other key; rows that repeat go to one shard; an empty table gives no
-rows; shards of weight w claim w slots a turn; shards are named by distinct strings and at least one is needed.
+rows; columns of df that are named like the new ones are replaced (other extra columns stay); shards of weight w claim w slots a turn; shards are named by distinct strings and at least one is needed.
 """
 
 from __future__ import annotations
@@ -57,5 +57,7 @@ def slot_of(key: Column, size: int = TABLE_SIZE) -> Column:
 def place(df: DataFrame, key_col: str, shards: list[str], size: int = TABLE_SIZE, weights: dict[str, int] | None = None, slot_col: str = "slot", shard_col: str = "shard") -> DataFrame:
     """df with the columns slot and shard (a number). No shuffle: the broadcast side has exactly `size` rows."""
     table = lookup_table(shards, size, weights)
-    slots = df.sparkSession.createDataFrame([(k, int(s)) for k, s in enumerate(table)], f"{slot_col} long, {shard_col} int")
-    return df.withColumn(slot_col, slot_of(F.col(key_col), size)).join(F.broadcast(slots), slot_col)
+    slots = df.sparkSession.createDataFrame([(k, int(s)) for k, s in enumerate(table)], "_slot long, _shard int")
+    kept = [c for c in df.columns if c not in (slot_col, shard_col)]
+    placed = df.select(*kept, slot_of(F.col(key_col), size).alias("_slot")).join(F.broadcast(slots), "_slot")
+    return placed.select(*kept, F.col("_slot").alias(slot_col), F.col("_shard").alias(shard_col))

@@ -7,13 +7,14 @@ through the column-wise construction (column_bwt), at most 76 rounds, and rows w
 are the places of one repeated string; the least document id among them owns it.
 
 Before that, anchors are counted in packed blocks, five bytes of hash each: a segment whose anchor is in one document
-only can repeat in no other and is left out. A collision can only let a segment in, never keep one out. Anchors in more
-than `crowd` segments never meet in one task: their segments are grouped by whole content with partial sums, and the
-windows of the distinct ones likewise.
+only can repeat in no other and is left out. A collision can only let a segment in, never keep one out. The numbers of an
+anchor's places (12 bytes each, no text) meet in one task while anchors are counted. The segments of an anchor in more than
+`crowd` places never do: they are grouped by whole content with partial sums, and the windows of the distinct ones likewise.
 
 Defined results: matches never cross documents; null text is empty; a null id is larger than every other id; rows that
 share an id never remove each other's bytes; texts shorter than the window keep all bytes; an empty table gives no
-rows; only the id and text columns are read. Ids are integers. The state of a part is bounded by `part_bytes` (and
+rows; only the id and text columns are read, so others cannot clash. Ids of other types than integers go by their order,
+through ranks. A text of any length is cut whole, as one step of its own. The state of a part is bounded by `part_bytes` (and
 the crowd rule), is held in memory and read in order; no machine-local file is used.
 """
 
@@ -28,8 +29,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinetra.functions.quantiles import placed
 from kinetra.llm.column_bwt import least_owner_of_windows
-from kinetra.llm.common import same, text_or_empty, written
+from kinetra.llm.common import broadcast_if_small, same, text_or_empty, written
 
 WINDOW = 50
 ANCHOR = 24
@@ -142,6 +144,11 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = text_or_empty(text_col)
+    if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        ids = docs.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct()
+        ranks, _ = written(placed(ids, [], "_id").select("_id", F.col("before").alias("_rank")), "id-ranks")
+        docs = docs.select(id_col, text_col).join(broadcast_if_small(ranks, 3_000_000), F.col(id_col) == F.col("_id"), "left")
+        return docs.select(F.coalesce("_rank", F.lit(int(NO_ID))).alias("k"), F.col(id_col).alias("d"), F.xxhash64(text).alias("h"), text.cast("binary").alias("t"))
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("k"), F.col(id_col).alias("d"), F.xxhash64(text).alias("h"), text.cast("binary").alias("t"))
 
 

@@ -1,8 +1,10 @@
 """Corpus operators against plain-Python versions on the small tables and on edge cases."""
 
+import hashlib
 import json
 import math
 import random
+import re
 
 import brute
 import numpy as np
@@ -70,6 +72,41 @@ def test_secret_ownership(spark):
     assert got == sorted([*[(str(i), "") for i in range(4)], ("9", "owned:4:27"), ("9", "owned:4:27"), ("None", "owned:2:25")])
 
 
+def brute_ownership(rows):
+    """{id: (spans, live, copied)} of (id, text, source), by plain regular expressions and counts over all rows."""
+    held, repos, owners = {}, {}, {}
+    patterns = [(k, re.compile(p), g, n) for k, (_, p, g, n) in enumerate(secrets_scan.BASE)] + [(3, re.compile(secrets_scan.CANDIDATE), 0, 20)]
+    for d, text, source in rows:
+        found = [(m.start(), k, m.end(), m.group(g)) for k, p, g, n in patterns for m in p.finditer(text or "") if len(m.group(g)) >= n]
+        base = [x for x in found if x[1] < 3]
+        more = [x for x in found if x[1] == 3 and re.search("[A-Za-z]", x[3]) and not any(x[0] < y[2] and y[0] < x[2] for y in base)]
+        held[d] = base, more
+        for *_, v in base + more:
+            repos.setdefault(v, set()).add((d, source))
+            owners.setdefault(v, set()).add(source)
+    live = lambda v: len(owners[v]) == 1 and len(repos[v]) <= 3
+    out = {}
+    for d, (base, more) in held.items():
+        spans = sorted(x[:3] for x in base + [x for x in more if live(x[3])])
+        n_live = len({x[:3] for x in base if live(x[3])})
+        out[d] = ",".join(f"{secrets_scan.KINDS[k]}:{s}:{e}" for s, k, e in spans), n_live, len({x[:3] for x in base}) - n_live
+    return out
+
+
+def test_secret_spans_of_whole_tables(spark, sf_dir):
+    rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    assert {r.doc_id: (r.spans, r.n_live, r.n_copied) for r in queries.op1_secret_ownership(spark, sf_dir).collect()} == brute_ownership(rows)
+    rng = random.Random(9)
+    keys = ["".join(rng.choice("abcXYZ0189_") for _ in range(24)) + "7q" for _ in range(12)]
+    made = [(i, " ".join(f"{rng.choice(['key', 'id:', 'token=', ''])} {rng.choice(keys)}" for _ in range(rng.randrange(6))), f"s{rng.randrange(3)}") for i in range(60)]
+    made += [(60 + i, f"only {k}", "s9") for i, k in enumerate(["".join(rng.choice("mnop5678") for _ in range(30)) for _ in range(5)])]
+    made.append((99, " x ".join("%024x" % rng.getrandbits(96) for _ in range(1_500)), "s0"))  # more matches than one chunk
+    df = spark.createDataFrame(made, "doc_id long, text string, source string")
+    got = {r.d: (r.s, r.n_live, r.n_copied) for r in secrets_scan.find_secrets(df).select("d", secrets_scan.joined(F.col("spans")).alias("s"), "n_live", "n_copied").collect()}
+    want = brute_ownership(made)
+    assert got == want and sum("owned" in x[0] for x in want.values()) >= 5
+
+
 def removal(df, **kw):
     return {r.d: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df, **kw).collect()}
 
@@ -88,6 +125,13 @@ def test_repeats_of_shared_ids(spark):
     assert got == [("3", 0), ("3", 0), ("3", 0), ("None", n), ("None", n)]
 
 
+def test_repeats_of_text_ids(spark):
+    docs = {"b": HIDDEN, "a": "x" + HIDDEN, "c": "none of it"}
+    df = spark.createDataFrame([*docs.items(), (None, HIDDEN)], "doc_id string, text string")
+    got = {r.d: r.n_removed for r in suffix_dedup.remove_repeats(df).collect()}
+    assert got == {"a": 0, "b": len(HIDDEN), "c": 0, None: len(HIDDEN)}
+
+
 def test_many_crowded_segments(spark):
     rng = random.Random(3)
     docs = {i: "".join(rng.choice("abcdefgh ") for _ in range(40)) + HIDDEN + "".join(rng.choice("abcdefgh ") for _ in range(40)) for i in range(60)}
@@ -193,6 +237,18 @@ def test_sharding(spark, edge, empty):
             sharding.lookup_table(*bad)
 
 
+def test_sharding_query_and_clashing_columns(spark, sf_dir):
+    shards = list(queries.SHARDS)
+    table = sharding.lookup_table(shards)
+    slot = lambda key: int(hashlib.md5(key.encode()).hexdigest()[:15], 16) % sharding.TABLE_SIZE
+    got = queries.op5_lookup_sharding(spark, sf_dir).collect()
+    assert len(got) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    assert all(r.slot == slot(str(r.doc_id)) and r.shard == table[r.slot] for r in got)
+    df = spark.createDataFrame([("a", "x", 1, "stays"), (None, "y", 2, "too")], "k string, shard string, slot int, extra string")
+    rows = {r.k: r for r in sharding.place(df, "k", shards).collect()}
+    assert {k: (r.slot, r.extra) for k, r in rows.items()} == {"a": (slot("a"), "stays"), None: (slot("null"), "too")} and len(rows["a"]) == 4
+
+
 def test_bpe(spark, edge, empty, small):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -297,6 +353,17 @@ def test_line_runs_are_levelled(spark):
     assert {bytes(r.k): r.n for r in runs.counts().collect()} == {b"x": 1, **{bytes([k]): 1 for k in range(5)}}
 
 
+def test_line_runs_reopen(spark, tmp_path):
+    manifest = f"file://{tmp_path}/runs"
+    runs = line_dedup.LineRuns(spark, fanout=2, manifest=manifest)
+    for k in range(3):
+        runs.add(spark.createDataFrame([(bytes([k]), 1)], "k binary, n long"))
+    again = line_dedup.LineRuns.reopen(spark, manifest)
+    assert len(again.runs()) == len(runs.runs())
+    again.add(spark.createDataFrame([(bytes([1]), 1), (bytes([9]), 1)], "k binary, n long"))
+    assert {bytes(r.k): r.n for r in line_dedup.LineRuns.reopen(spark, manifest).counts().collect()} == {bytes([k]): 1 for k in (0, 1, 2, 9)}
+
+
 def test_url_rules(spark):
     rules = queries.URL_RULES
     cases = {

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetra.config import CONTINUOUS_FEATURES, CORE_FEATURES, SPECS
-from kinetra.functions.quantiles import checkpointed
+from kinetra.functions.quantiles import checkpointed, quantiles
 from kinetra.operators import cluster, density, eda, neighbours, partition, preprocess, sampling
 from kinetra.plans.registry import query, r, rounded
 from kinetra.plans.trajectory import FEAT_SQL, eta_sql, features
@@ -91,6 +91,17 @@ def knn_kth_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(neighbours.kth_distance(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding", 5))
 
 
+@query(
+    f"WITH e AS ({V64}), k AS (SELECT distance FROM (SELECT list_distance(a.v, b.v) AS distance, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS n FROM e a, e b WHERE a.vec_id % 100 = 0) WHERE n = 5) "
+    + " UNION ALL ".join(f"SELECT {q}::DOUBLE AS quantile, round(quantile_cont(distance, {q}), 6) AS eps FROM k" for q in (0.8, 0.9, 0.95))
+)
+def eps_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Radii for DBSCAN: quantiles of the distances to the fifth neighbour, from the rows whose id is divisible by 100 to all rows."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = quantiles(neighbours.kth_distance(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding", 5), ["distance"], (0.8, 0.9, 0.95))
+    return rounded(found.select(F.explode(F.arrays_zip(F.array(F.lit(0.8), F.lit(0.9), F.lit(0.95)).alias("quantile"), F.col("q").alias("eps"))).alias("x")).select("x.*"))
+
+
 @query()
 def hopkins_statistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir).persist()
@@ -119,7 +130,7 @@ def _sq(a: str, b: str, cols=D4) -> str:
     db AS (SELECT avg(m) AS v FROM (SELECT a.label, max((sa.s + sb.s) / sqrt({_sq('a', 'b')})) AS m FROM c a, c b, s sa, s sb WHERE a.label <> b.label AND sa.label = a.label AND sb.label = b.label GROUP BY a.label)),
     g AS (SELECT {', '.join(f'avg({d}) AS {d}' for d in D4)} FROM vectors),
     ch AS (SELECT (sum(c.n * ({_sq('c', 'g')})) / (count(*) - 1)) / ((SELECT sum(w) FROM s) / (sum(c.n) - count(*))) AS v FROM c, g)
-    SELECT CAST(sum(n) AS BIGINT) AS n, CAST(sum(n) AS BIGINT) AS n_clustered, 100.0 + 0.0::DOUBLE AS coverage_pct, 0.0::DOUBLE AS noise_pct, count(*) AS n_clusters, min(n) AS min_size, max(n) AS max_size, round(100.0 * min(n) / sum(n), 6) AS min_pct, round(100.0 * max(n) / sum(n), 6) AS max_pct,
+    SELECT CAST(sum(n) AS BIGINT) AS n, CAST(sum(CASE WHEN label >= 0 THEN n ELSE 0 END) AS BIGINT) AS n_clustered, round(100.0 * sum(CASE WHEN label >= 0 THEN n ELSE 0 END) / sum(n), 6) AS coverage_pct, round(100.0 * sum(CASE WHEN label < 0 THEN n ELSE 0 END) / sum(n), 6) + 0.0 AS noise_pct, count(CASE WHEN label >= 0 THEN 1 END) AS n_clusters, min(n) AS min_size, max(n) AS max_size, round(100.0 * min(n) / sum(n), 6) AS min_pct, round(100.0 * max(n) / sum(n), 6) AS max_pct,
       (SELECT round(v, 6) FROM db) AS davies_bouldin, (SELECT round(v, 6) FROM ch) AS calinski_harabasz FROM c"""
 )
 def partition_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,7 +289,11 @@ def hdbscan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return density.sampled_labels(vectors(spark, sf_dir, 4), "vec_id", D4, "hdbscan", min_cluster_size=15, min_samples=5)
 
 
-@query()
+@query(
+    f"""WITH {FEAT_SQL}, g AS (SELECT city, count(*) AS s FROM feats GROUP BY city), e AS (SELECT city, least(60, sum(s) OVER ()) AS n, least(60, sum(s) OVER ()) * s / sum(s) OVER () AS x FROM g),
+    p AS (SELECT city, CAST(floor(x) AS BIGINT) AS base, n - sum(floor(x)) OVER () AS spare, row_number() OVER (ORDER BY floor(x) - x, city) AS turn FROM e)
+    SELECT city, base + CASE WHEN turn <= spare THEN 1 ELSE 0 END AS sampled FROM p WHERE base + CASE WHEN turn <= spare THEN 1 ELSE 0 END > 0"""
+)
 def stratified_sample_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sampling operator: exactly 60 rows, each city in proportion."""
     return sampling.stratified_sample(features(spark, sf_dir), "city", "trajectory_uid", 60, 42).groupBy("city").agg(F.count(F.lit(1)).alias("sampled"))

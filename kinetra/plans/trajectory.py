@@ -166,7 +166,7 @@ def frame_quality_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(quality.frame_quality_audit(frames(spark, sf_dir)))
 
 
-@query(f"WITH {FEAT_SQL} SELECT count(*) AS rows, count(DISTINCT trajectory_uid) AS distinct_keys, {c('null_cells=0', 'infinite_cells=0')} FROM feats")
+@query(f"WITH {FEAT_SQL} SELECT count(*) AS rows, count(DISTINCT trajectory_uid) AS distinct_keys, {c('null_cells=' + ' + '.join(f'count(CASE WHEN {f} IS NULL THEN 1 END)' for f in ('trajectory_uid', *CORE_FEATURES)), 'infinite_cells=' + ' + '.join(f'count(CASE WHEN isnan(CAST({f} AS DOUBLE)) OR isinf(CAST({f} AS DOUBLE)) THEN 1 END)' for f in CORE_FEATURES))} FROM feats")
 def feature_table_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.validation_counts(features(spark, sf_dir), "trajectory_uid", CORE_FEATURES)
 

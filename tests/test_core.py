@@ -133,7 +133,8 @@ def test_published_rates_and_attention(spark):
 
 def test_published_gate(spark):
     got = {r.pipeline: (r.passes_gate, r.gated_score) for r in plans.stability_gate(spark, "").collect()}
-    assert got["C_winsor_robust"] == (True, pytest.approx(0.7)) or got["C_winsor_robust"][0]
+    passed, score = got["C_winsor_robust"]
+    assert passed and 0 < score <= 1
     assert got["B_raw_robust"] == (False, -1.0)
 
 

@@ -42,10 +42,21 @@ def _path(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+#: Tables of this session that `written` has made and nobody has removed.
+_made: dict[str, None] = {}
+
+
 def remove_table(spark: SparkSession, path: str) -> None:
     """Deletes a folder made by `written` through Spark's own file-system layer."""
     fs, p = _path(spark, path)
     fs.delete(p, True)
+    _made.pop(path, None)
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Deletes all tables that operators of this session have written and left: to be called when their results are stored."""
+    for path in list(_made):
+        remove_table(spark, path)
 
 
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> tuple[DataFrame, str]:
@@ -55,6 +66,7 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> tuple[
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
+    _made[path] = None
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -117,9 +117,9 @@ p AS (SELECT page_id, url, LOWER_HOST AS host, regexp_extract(coalesce(rest, '')
 q AS (SELECT page_id, host, path, CASE RULES END AS rule FROM p),
 lab AS (SELECT doc_id, max(quality = 0 OR toxic = 1) AS bad FROM labels WHERE doc_id IS NOT NULL AND (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY doc_id),
 o AS (SELECT p.host, lab.bad FROM p LEFT JOIN lab ON lab.doc_id = TRY_CAST(regexp_extract(url, '://[^/?#]*/[a-z]+/([0-9]+)', 1) AS BIGINT)),
-h AS (SELECT host, count(bad) AS n, coalesce(sum(CAST(bad AS INTEGER)), 0) AS k, CASE WHEN len(string_split(host, '.')) <= 2 THEN host
-  WHEN len(string_split(host, '.')[-1]) = 2 AND string_split(host, '.')[-2] IN (SECOND) THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS domain FROM o GROUP BY host),
-h2 AS (SELECT *, CASE WHEN instr(domain, '.') > 0 THEN regexp_replace(domain, '^[^.]*\\.', '') ELSE domain END AS suffix FROM h),
+h AS (SELECT host, count(bad) AS n, coalesce(sum(CAST(bad AS INTEGER)), 0) AS k, any_value(CASE WHEN len(string_split(bare, '.')) <= 2 OR regexp_matches(bare, '^[0-9]+(\\.[0-9]+){3}$') THEN bare
+  WHEN len(string_split(bare, '.')[-1]) = 2 AND string_split(bare, '.')[-2] IN (SECOND) THEN array_to_string(string_split(bare, '.')[-3:], '.') ELSE array_to_string(string_split(bare, '.')[-2:], '.') END) AS domain FROM (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS bare FROM o) GROUP BY host),
+h2 AS (SELECT *, CASE WHEN instr(domain, '.') > 0 AND NOT regexp_matches(domain, '^[0-9]+(\\.[0-9]+){3}$') THEN regexp_replace(domain, '^[^.]*\\.', '') ELSE domain END AS suffix FROM h),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h2 GROUP BY domain, suffix), s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY suffix),
 lv AS (SELECT 1 AS level, n, k FROM h2 UNION ALL SELECT 2, n, k FROM d UNION ALL SELECT 3, n, k FROM s),
 mo AS (SELECT level, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(k) AS DOUBLE) AS bad, sum(n * (k / n) * (k / n)) AS np2, count(*) AS c, CAST(sum(n * n) AS DOUBLE) AS n2 FROM lv WHERE n > 0 GROUP BY level),

@@ -6,7 +6,8 @@ moments from how far the rates of one level spread. A page without a rule is blo
 its host's rate of bad pages passes the threshold.
 
 Defined results: a null url or one without `://` has an empty host and path; hosts without labelled pages take the
-shrunk rate of their domain; labels that repeat count once, the worst of them; empty tables give no rows or no labels.
+shrunk rate of their domain; labels that repeat count once, the worst of them; pages that repeat give a row each, and each
+counts its label; extra columns are not read, so they cannot clash; empty tables give no rows or no labels.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from kinetra.llm.common import ascii_lower, written
 
 #: Second-level names under which two-letter country suffixes register domains.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
+PORT, ADDRESS = r":[0-9]*$", r"^[0-9]+(\.[0-9]+){3}$"
 DEFAULT_STRENGTH = 10.0
 
 
@@ -40,15 +42,17 @@ def rule_columns(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
     return rule, verdict
 
 
-def registered_domain(host: Column) -> Column:
-    labels = F.split(host, r"\.")
+def registered_domain(host: Column, second_level: Sequence[str] = SECOND_LEVEL) -> Column:
+    """The host without its port: an address of numbers whole, else its last two labels, or three below a second-level name."""
+    bare = F.regexp_replace(host, PORT, "")
+    labels = F.split(bare, r"\.")
     n = F.size(labels)
-    deep = (n >= 3) & (F.length(F.element_at(labels, -1)) == 2) & F.get(labels, n - 2).isin(*SECOND_LEVEL)
-    return F.when(n <= 2, host).otherwise(F.array_join(F.slice(labels, F.when(deep, -3).otherwise(-2), F.when(deep, 3).otherwise(2)), "."))
+    deep = (n >= 3) & (F.length(F.element_at(labels, -1)) == 2) & F.get(labels, n - 2).isin(*second_level)
+    return F.when((n <= 2) | bare.rlike(ADDRESS), bare).otherwise(F.array_join(F.slice(labels, F.when(deep, -3).otherwise(-2), F.when(deep, 3).otherwise(2)), "."))
 
 
 def suffix(domain: Column) -> Column:
-    return F.when(F.instr(domain, ".") > 0, F.regexp_replace(domain, r"^[^.]*\.", "")).otherwise(domain)
+    return F.when((F.instr(domain, ".") > 0) & ~domain.rlike(ADDRESS), F.regexp_replace(domain, r"^[^.]*\.", "")).otherwise(domain)
 
 
 def _strength(level: DataFrame) -> list[Column]:
@@ -70,12 +74,12 @@ def fit_strength(n: float, bad: float, np2: float, k: int, n2: float) -> float:
     return min(1000.0, max(1.0, within / between - 1))
 
 
-def host_reputation(counts: DataFrame, z: float = 1.6448536269514722) -> DataFrame:
+def host_reputation(counts: DataFrame, z: float = 1.6448536269514722, second_level: Sequence[str] = SECOND_LEVEL) -> DataFrame:
     """(host, rate, low): shrunk rate of bad pages and its lower bound. counts: (host, n, bad), a row for each host, n may be 0.
 
     Three sets of five sums come to the driver; all else stays distributed.
     """
-    levels = counts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix(F.col("domain")))
+    levels = counts.withColumn("domain", registered_domain(F.col("host"), second_level)).withColumn("suffix", suffix(F.col("domain")))
     domains = levels.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     fitted = []
@@ -94,7 +98,7 @@ def host_reputation(counts: DataFrame, z: float = 1.6448536269514722) -> DataFra
     return levels.join(domains, "domain").select("host", mean.alias("rate"), (mean - z * F.sqrt(mean * (1 - mean) / (total_ab + 1))).alias("low"))
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame | None, rules: Sequence[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", block_above: float = 0.5) -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame | None, rules: Sequence[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", block_above: float = 0.5, second_level: Sequence[str] = SECOND_LEVEL) -> DataFrame:
     """(page_id, host, path, rule, verdict, bad_rate, bad_low). outcomes: (page, bad boolean) of labelled pages, page being a value of id_col."""
     src = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
     host, path = url_parts(F.col("url"))
@@ -107,6 +111,6 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame | None, rules: Sequence[tup
         known = known.drop("bad").join(worst, known.page_id == worst.page, "left").select("page_id", "host", "bad")
     # a row for each host, written once: the three fits and the join below read it
     counts, _ = written(known.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad")), "hosts")
-    reputation = host_reputation(counts)
+    reputation = host_reputation(counts, second_level=second_level)
     judged = parts.join(reputation, "host", "left")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("low") > block_above, "block").otherwise("allow")).alias("verdict"), F.col("rate").alias("bad_rate"), F.col("low").alias("bad_low"))

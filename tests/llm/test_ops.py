@@ -393,8 +393,34 @@ def test_host_reputation_shrinks(spark):
     out = spark.createDataFrame([(100 + i, True) for i in range(60)], "page long, bad boolean")
     got = {x.host: x.verdict for x in url_filter.judge_urls(df.unionByName(many), out, ()).collect()}
     assert got["bad.spam.com"] == "block"
-    domains = spark.createDataFrame([("a.b.co.uk",), ("a.b.com",), ("b.com",), ("com",), ("",)], "h string").select(url_filter.registered_domain(F.col("h")).alias("d"))
-    assert [x.d for x in domains.collect()] == ["b.co.uk", "b.com", "b.com", "com", ""]
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "a.b.com": ("b.com", "com"), "b.com": ("b.com", "com"), "com": ("com", "com"), "": ("", ""), "1.2.3.4": ("1.2.3.4", "1.2.3.4"), "x.example.com:8080": ("example.com", "com"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1")}
+    domain = url_filter.registered_domain(F.col("h"))
+    got = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", domain.alias("d"), url_filter.suffix(domain).alias("s")).collect()
+    assert {x.h: (x.d, x.s) for x in got} == hosts
+    listed = spark.createDataFrame([("a.b.ne.jp",)], "h string").select(url_filter.registered_domain(F.col("h"), ("ne",)).alias("d")).first().d
+    assert listed == "b.ne.jp"
+
+
+def test_reputation_against_plain_python(spark):
+    """Levels whose rates differ: shrinkage by moments and levels, recomputed in plain Python."""
+    rng = random.Random(12)
+    hosts = {f"h{i}.d{i % 7}.{'com' if i % 7 < 3 else 'net' if i % 7 < 5 else 'org'}": (n := rng.randrange(0, 40), sum(rng.random() < (0.05, 0.9, 0.4, 0.1, 0.7, 0.2, 0.95)[i % 7] for _ in range(n))) for i in range(60)}
+
+    def level(table):
+        rows = [(n, k) for n, k in table.values() if n]
+        n, k = sum(r[0] for r in rows), sum(r[1] for r in rows)
+        return n, url_filter.fit_strength(n, k, sum(a * (b / a) ** 2 for a, b in rows), len(rows), sum(a * a for a, _ in rows)), k
+
+    up = lambda table, key: {g: tuple(map(sum, zip(*[v for h, v in table.items() if key(h) == g]))) for g in {key(h) for h in table}}
+    domains = up(hosts, lambda h: h.partition(".")[2])
+    suffixes = up(domains, lambda d: d.partition(".")[2])
+    (n, s1, k), (_, s2, _), (_, s3, _) = level(hosts), level(domains), level(suffixes)
+    m3 = {s: (s3 * (k + 1) / (n + 2) + b) / (s3 + a) for s, (a, b) in suffixes.items()}
+    m2 = {d: (s2 * m3[d.partition(".")[2]] + b) / (s2 + a) for d, (a, b) in domains.items()}
+    want = {h: (s1 * m2[h.partition(".")[2]] + b) / (s1 + a) for h, (a, b) in hosts.items()}
+    got = {r.host: r for r in url_filter.host_reputation(spark.createDataFrame([(h, *v) for h, v in hosts.items()], "host string, n long, bad long")).collect()}
+    assert {h: r.rate for h, r in got.items()} == pytest.approx(want)
+    assert any(r.low > 0.5 for r in got.values()) and any(r.low < 0.5 < r.rate for r in got.values())
 
 
 def test_language(spark, sf_dir, edge, empty):
@@ -486,3 +512,12 @@ def test_forward_sums_of_long_words():
             ways = [w / ways[-1] for w in ways[-4:]]
     log = math.log(ways[-1]) + scale + math.log(0.5)
     assert langid.likelihoods(trie, p, [word, "ab"])[0, 0] == pytest.approx(log, rel=1e-9)
+
+
+def test_written_tables_can_be_removed(spark):
+    from kinetra.llm import common
+
+    df, path = common.written(spark.range(3), "some")
+    assert df.count() == 3 and path in common._made
+    common.remove_written(spark)
+    assert not common._made and not common._path(spark, path)[0].exists(common._path(spark, path)[1])

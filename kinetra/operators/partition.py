@@ -33,7 +33,7 @@ def davies_bouldin_calinski(df: DataFrame, columns: Sequence[str], label: str =
     real = df.where(F.col(label) >= 0).select(F.col(label).alias("label"), *[F.col(c).cast("double").alias(c) for c in columns])
     cent = centroids(real, columns)
     sq = sum(((F.col(c) - F.col(f"{c}__c")) * (F.col(c) - F.col(f"{c}__c")) for c in columns), F.lit(0.0))
-    spread = real.join(F.broadcast(cent), "label").withColumn("sq", sq).groupBy("label").agg(F.first("size").alias("size"), F.avg(F.sqrt("sq")).alias("s"), F.sum("sq").alias("within"), *[F.first(f"{c}__c").alias(f"{c}__c") for c in columns])
+    spread = real.join(cent, "label").withColumn("sq", sq).groupBy("label").agg(F.first("size").alias("size"), F.avg(F.sqrt("sq")).alias("s"), F.sum("sq").alias("within"), *[F.first(f"{c}__c").alias(f"{c}__c") for c in columns])
     a, b = spread.alias("a"), spread.alias("b")
     gap = F.sqrt(sum((((F.col(f"a.{c}__c") - F.col(f"b.{c}__c")) * (F.col(f"a.{c}__c") - F.col(f"b.{c}__c"))) for c in columns), F.lit(0.0)))
     worst = a.join(F.broadcast(b), F.col("a.label") != F.col("b.label")).groupBy("a.label").agg(F.max(F.try_divide(F.col("a.s") + F.col("b.s"), gap)).alias("r"))
@@ -66,20 +66,19 @@ def silhouette(df: DataFrame, id_col: str, columns: Sequence[str], label: str =
         labels_, x = sent.value
         names, at = np.unique(labels_, return_inverse=True)
         sizes = np.bincount(at)
+        member = np.eye(len(names))[at]
         for pdf in batches:
-            out = []
-            for lab, v in zip(pdf.label, pdf.v, strict=True):
-                d = np.sqrt(((x - np.array(v)) ** 2).sum(axis=1))
-                sums = np.bincount(at, weights=d, minlength=len(names))
-                own = int(np.searchsorted(names, lab))
-                if sizes[own] == 1:
-                    out.append(0.0)
-                    continue
-                a = sums[own] / (sizes[own] - 1)
-                others = np.delete(sums / sizes, own)
-                b = others.min()
-                out.append(0.0 if max(a, b) == 0 else (b - a) / max(a, b))
-            yield pd.DataFrame({"s": out})
+            v, own = np.array(pdf.v.tolist(), dtype=float), np.searchsorted(names, pdf.label.to_numpy())
+            for lo in range(0, len(v), 256):
+                part, mine = v[lo : lo + 256], own[lo : lo + 256]
+                sums = np.sqrt(sum((part[:, None, c] - x[None, :, c]) ** 2 for c in range(x.shape[1]))) @ member
+                each = np.arange(len(part))
+                inner = sums[each, mine] / np.maximum(sizes[mine] - 1, 1)
+                other = sums / sizes
+                other[each, mine] = np.inf
+                outer = other.min(axis=1)
+                top = np.maximum(inner, outer)
+                yield pd.DataFrame({"s": np.where((sizes[mine] == 1) | (top == 0), 0.0, (outer - inner) / np.where(top == 0, 1.0, top))})
 
     parts = spark.createDataFrame(rows, real.schema).repartition(8)
     return parts.mapInPandas(run, "s double").agg(F.avg("s").alias("silhouette"))

@@ -26,6 +26,9 @@ def test_silhouette_exact_takes_all_rows(spark, monkeypatch):
         total += ((b - a) / np.maximum(a, b)).sum()
     monkeypatch.setattr(modelling, "vectors", lambda *_: df)
     assert modelling.silhouette_exact(spark, "").first().silhouette == pytest.approx(total / n, abs=1e-6)
+    small = df.where("vec_id < 400")
+    sampled = partition.silhouette(small, "vec_id", ["d0", "d1", "d2", "d3"]).first().silhouette
+    assert sampled == pytest.approx(partition.silhouette_all(small, "vec_id", ["d0", "d1", "d2", "d3"]).first().silhouette)
     few = spark.createDataFrame([(0, 0, 0.0), (1, 1, 1.0)], "vec_id long, label long, d double")
     assert partition.silhouette_all(few, "vec_id", ["d"]).first().silhouette is None
 

@@ -21,7 +21,10 @@ classes. In a crowded key with the hub b the edits of a class c are the symmetri
 and m, r and m differ in |E(r)| + |E(m)| - 2 |E(r) & E(m)| shingles, and two classes are near if they differ in at most a ninth
 of their summed sizes. So if r is not near b but near m, they share more than (|E(m)| + (|b| - |m|) / 9) / 2 edits, and the
 edits of m less so many, rarest first, hold one of r. Such pairs meet on (hub, edit): copies that were edited in different
-places never do. Nothing is capped or sampled.
+places never do. Classes at a distance of over 0.6 from the hub (texts with a passage in common, say) have too many edits; from
+0.4 on a class also has a prefix: near classes share four fifths of each, so a fifth and one of the shingles of each, those
+that the hub lacks first and then by hash, have one in common. Distances to the hub of near classes differ by 0.2 at most, so
+both have edits or both prefixes. Nothing is capped or sampled.
 
 Defined results: null text counts as empty; texts without words are one class; texts of fewer words than a shingle are one
 shingle; rows that repeat, or share an id, are rows of their own; a null id never becomes a component id unless the whole
@@ -182,30 +185,51 @@ def _keyed_pairs(members: DataFrame) -> DataFrame:
 
 
 def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (a, b, n, root, va, vb) to (hub, c, n, root, far, most, edit): the edits of class b against hub a; far if they are not near; most: how many of the rarest edits are to be probed."""
+    """From (a, b, n, root, va, vb) to (hub, c, n, root, far, most, x): what class b is looked up by against hub a.
+
+    most > 0: its edits x, of which the `most` rarest are probed; far if the two are not near. most = 0: its prefix x.
+    """
     for whole in batches:
         for row in range(whole.num_rows):
             hub, c, n, root, va, vb = (whole.column(k)[row] for k in range(6))
             x, y = (v.values.to_numpy(zero_copy_only=False) for v in (va, vb))
             e = np.setxor1d(x, y, assume_unique=True)
-            shared = int((9 * len(e) + len(x) - len(y)) // 18) + 1
-            size = len(e)
-            same_ = lambda v: pa.array(np.full(size, v.as_py(), np.int64))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([same_(hub), same_(c), same_(n), same_(root), pa.array(np.full(size, 9 * size > len(x) + len(y))), pa.array(np.full(size, max(size - shared + 1, 0), np.int64)), pa.array(e)], ["hub", "c", "n", "root", "far", "most", "edit"])
+            union = (len(x) + len(y) + len(e)) // 2
+            out = []
+            if 10 * len(e) <= 6 * union:
+                shared = int((9 * len(e) + len(x) - len(y)) // 18) + 1
+                out.append((e, 9 * len(e) > len(x) + len(y), max(len(e) - shared + 1, 1)))
+            if 10 * len(e) >= 4 * union:
+                own = np.setdiff1d(y, x, assume_unique=True)
+                order = np.concatenate([np.sort(own), np.intersect1d(y, x, assume_unique=True)])
+                out.append((order[: len(y) - -(-4 * len(y) // 5) + 1], True, 0))
+            for values, far, most in out:
+                size = len(values)
+                same_ = lambda v: pa.array(np.full(size, v.as_py(), np.int64))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([same_(hub), same_(c), same_(n), same_(root), pa.array(np.full(size, far)), pa.array(np.full(size, most, np.int64)), pa.array(values)], ["hub", "c", "n", "root", "far", "most", "x"])
 
 
 def edited_pairs(crowded: DataFrame, sets: DataFrame, scratch: _Scratch) -> DataFrame:
     """(a, b, n, o): of (hub, c, n, root) the pairs of classes of one hub that may be near though one of them is not near the hub, and have different roots."""
     pairs = crowded.where("c <> hub").select(F.col("hub").alias("a"), F.col("c").alias("b"), "n", "root")
     both = pairs.join(sets.select(F.col("c").alias("a"), F.col("v").alias("va")), "a").join(sets.select(F.col("c").alias("b"), F.col("v").alias("vb")), "b")
-    edits = scratch.put(both.select("a", "b", "n", "root", "va", "vb").mapInArrow(_edits, "hub long, c long, n long, root long, far boolean, most long, edit long"), "simhash-edits")
-    counts = edits.groupBy("hub", "edit").agg(F.count(F.lit(1)).alias("k"), F.max("far").alias("any_far")).where("k > 1 AND any_far")
-    alone = F.coalesce("k", F.lit(1))  # an edit that nobody shares, or nobody far from the hub, is a probe that finds nothing
-    order = W.partitionBy("hub", "c").orderBy(alone, "edit")  # the edits of one class
-    ranked = edits.join(counts, ["hub", "edit"], "left").withColumn("r", F.row_number().over(order)).where("r <= most AND k IS NOT NULL").select("hub", "edit", F.col("c").alias("a"), "n", F.col("root").alias("mine"))
-    full = edits.where("far").select("hub", "edit", F.col("c").alias("b"), F.col("n").alias("o"), "root")
-    met = ranked.join(full, ["hub", "edit"]).where("a <> b AND mine <> root")
-    return _in_reach(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("n")).otherwise(F.col("o")).alias("n"), F.when(F.col("a") < F.col("b"), F.col("o")).otherwise(F.col("n")).alias("o")))
+    found = scratch.put(both.select("a", "b", "n", "root", "va", "vb").mapInArrow(_edits, "hub long, c long, n long, root long, far boolean, most long, x long"), "simhash-edits")
+    mine = [F.col("c").alias("a"), "n", F.col("root").alias("mine")]
+    theirs = [F.col("c").alias("b"), F.col("n").alias("o"), "root"]
+
+    prefixes = found.where("most = 0")
+    twice = prefixes.groupBy("hub", "x").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("hub", "x")
+    few = scratch.put(prefixes.join(twice, ["hub", "x"]), "simhash-prefixes")
+    met = few.select("hub", "x", *mine).join(few.select("hub", "x", *theirs), ["hub", "x"]).where("a < b AND mine <> root").select("a", "b", "n", "o")
+
+    edits = found.where("most > 0")
+    counts = edits.groupBy("hub", "x").agg(F.count(F.lit(1)).alias("k"), F.max("far").alias("any_far")).where("k > 1 AND any_far")
+    # an edit that nobody shares, or nobody far from the hub, is a probe that finds nothing
+    order = W.partitionBy("hub", "c").orderBy(F.coalesce("k", F.lit(1)), "x")  # the edits of one class
+    probes = edits.join(counts, ["hub", "x"], "left").withColumn("r", F.row_number().over(order)).where("r <= most AND k IS NOT NULL").select("hub", "x", *mine)
+    hits = probes.join(edits.where("far").select("hub", "x", *theirs), ["hub", "x"]).where("a <> b AND mine <> root")
+    hits = hits.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("n")).otherwise(F.col("o")).alias("n"), F.when(F.col("a") < F.col("b"), F.col("o")).otherwise(F.col("n")).alias("o"))
+    return _in_reach(met.unionByName(hits))
 
 
 def unconnected_pairs(members: DataFrame, crowd: int, sets_of, scratch: _Scratch) -> DataFrame:

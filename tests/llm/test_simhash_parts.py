@@ -100,3 +100,22 @@ def test_large_group_of_edited_copies(spark):
     assert len(set(want.values())) > 3
     df = spark.createDataFrame(texts, "doc_id long, text string")
     assert {r.d: r.component for r in simhash_parts.near_duplicates(df).collect()} == want
+
+
+def test_passages_in_unlike_texts(spark):
+    """Texts around one long passage, near each other in small groups that the passage alone does not make near."""
+    rng = random.Random(13)
+    words = [f"w{k}" for k in range(9_000)]
+    passage = [rng.choice(words) for _ in range(90)]
+    texts = []
+    for _ in range(25):
+        own = [rng.choice(words) for _ in range(rng.choice((20, 60, 150)))]
+        for _ in range(rng.randrange(1, 5)):
+            t = list(own)
+            for _ in range(rng.randrange(0, 3)):
+                t[rng.randrange(len(t))] = rng.choice(words)
+            texts.append((len(texts), " ".join(t + passage)))
+    want = groups(texts)
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for crowd in (1, 16):
+        assert {r.d: r.component for r in simhash_parts.near_duplicates(df, crowd=crowd).collect()} == want

@@ -30,8 +30,8 @@ from kinetra.llm.common import held_once
 #: Fixed value: the published splitting pattern of byte-level BPE.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces and pairs that are kept between texts; a full store is emptied, so memory is bounded.
-MAX_PIECES = 120_000
-MAX_PAIRS = 200_000
+MAX_PIECES = 350_000
+MAX_PAIRS = 400_000
 #: Longer pieces are not stored.
 MAX_PIECE_BYTES = 64
 #: Above every merge rank.

@@ -70,8 +70,7 @@ def test_stage_keeps_one_of_each_group(spark, sf_dir, made):
     by_bits = brute.components({d: brute.fingerprint(t) for d, t in made})
     assert want != by_bits
     df = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in made], "doc_id long, text string, lang string, source string, n_chars long")
-    for crowd in (1, 16):  # also with every key as a crowded one
-        assert {r.d: r.component for r in simhash_parts.near_duplicates(df, crowd=crowd).collect()} == want
+    assert {r.d: r.component for r in simhash_parts.near_duplicates(df, crowd=1).collect()} == want  # every key is a crowded one
     assert {r.doc_id for r in corpus_pipeline.keep_one_of_each_group(spark, df, sf_dir).collect()} == set(want.values())
 
 
@@ -117,5 +116,4 @@ def test_passages_in_unlike_texts(spark):
             texts.append((len(texts), " ".join(t + passage)))
     want = groups(texts)
     df = spark.createDataFrame(texts, "doc_id long, text string")
-    for crowd in (1, 16):
-        assert {r.d: r.component for r in simhash_parts.near_duplicates(df, crowd=crowd).collect()} == want
+    assert {r.d: r.component for r in simhash_parts.near_duplicates(df, crowd=1).collect()} == want

@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -76,6 +77,41 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def dense_index(df: DataFrame, order: list[Column], index: str, name: str) -> tuple[DataFrame, str]:
+    """df as a written table whose column `index` numbers the rows 0, 1, ... in the order given.
+
+    Rows are dealt into range partitions, sorted there and numbered as they are written, so no task orders all rows; the
+    number of rows of each partition (one number for each task) makes the numbers continuous.
+    """
+    spark = df.sparkSession
+    parts, path = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()), name)
+    return numbered(spark, parts, index)[0], path
+
+
+def _offsets(spark: SparkSession, parts: DataFrame, value: Column, first: int = 0) -> tuple[DataFrame, int]:
+    """(_p, _o): for each task that wrote rows of parts the sum of value over the tasks before it, and the sum of all."""
+    sums = sorted((r.p, r.n) for r in parts.groupBy(F.shiftright("_m", 33).alias("p")).agg(F.sum(value).alias("n")).collect())
+    offsets, at = [], first
+    for p, n in sums:
+        offsets.append((p, at))
+        at += n
+    return F.broadcast(spark.createDataFrame(offsets, "_p long, _o long")), at  # a row for each task that wrote
+
+
+def numbered(spark: SparkSession, parts: DataFrame, index: str, first: int = 0) -> tuple[DataFrame, int]:
+    """A written table with a column _m of monotonically_increasing_id(): `index`, consecutive from `first`, takes its place. Beside it the next free number."""
+    table, after = _offsets(spark, parts, F.lit(1), first)
+    joined = parts.join(table, F.shiftright("_m", 33) == F.col("_p"))
+    return joined.select(*[c for c in parts.columns if c != "_m"], (F.col("_o") + F.col("_m").bitwiseAND((1 << 33) - 1)).alias(index)), after
+
+
+def summed_before(spark: SparkSession, parts: DataFrame, value: str, out: str) -> DataFrame:
+    """A written table with a column _m that follows the wanted order: `out`, the sum of value over all rows before, takes its place. A task sums the rows that one task wrote."""
+    table, _ = _offsets(spark, parts, F.col(value))
+    here = F.sum(value).over(W.partitionBy("_p").orderBy("_m")) - F.col(value)
+    return parts.join(table, F.shiftright("_m", 33) == F.col("_p")).select(*[c for c in parts.columns if c != "_m"], (here + F.col("_o")).alias(out))
+
+
 def same(left: str, right: str, *names: str) -> Column:
     """Null-safe equality of the named columns of two aliased tables."""
     out = F.lit(True)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetra.llm import bpe_codec, decontam, langid, line_dedup, quality_rules, secrets_scan, sharding, simhash_golay, suffix_dedup, url_filter
+from kinetra.llm import bpe_codec, conversation_trie, decontam, html_extract, langid, line_dedup, quality_rules, secrets_scan, sharding, simhash_golay, suffix_dedup, url_filter, variants
+from kinetra.llm.sql import OP12_SQL, OP13_SQL, UPPER_SQL
 
 #: Places of the public vocabulary files; both are parameters of the operators.
 BPE_FILE = "byte_bpe_50k.json"
@@ -81,13 +82,24 @@ def op10_unigram_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("d").alias("doc_id"), langid.held_out(F.col("d")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_block_lstm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract_text(pages, html_extract.train(pages))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_wildcard_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(variants.count_words(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_secret_ownership, op2_column_bwt_dedup, op3_simhash_golay, op4_suffix_repetition, op5_lookup_sharding, op6_bpe_prefix_dp, op7_positional_index, op8_levelled_line_dedup, op9_host_reputation, op10_unigram_language)
+    ops = (op1_secret_ownership, op2_column_bwt_dedup, op3_simhash_golay, op4_suffix_repetition, op5_lookup_sharding, op6_bpe_prefix_dp, op7_positional_index, op8_levelled_line_dedup, op9_host_reputation, op10_unigram_language, op11_block_lstm, op12_prefix_trie, op13_wildcard_variants)
     return {f.__name__: f for f in ops}
 
 
-UPPER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-
 OP7_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(LOWER_TEXT, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(LOWER_TEXT, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -144,4 +156,4 @@ def _op9_sql() -> str:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that SQL can express; the others are tested against plain-Python versions in tests/llm."""
-    return {"op7_positional_index": OP7_SQL, "op8_levelled_line_dedup": OP8_SQL, "op9_host_reputation": _op9_sql()}
+    return {"op7_positional_index": OP7_SQL, "op8_levelled_line_dedup": OP8_SQL, "op9_host_reputation": _op9_sql(), "op12_prefix_trie": OP12_SQL, "op13_wildcard_variants": OP13_SQL}

@@ -88,18 +88,21 @@ class Store:
         return self._exists(f"{self.root}/config/{name}/_SUCCESS")
 
 
+def _read_whole(store: Store, name: str) -> DataFrame:
+    return store.table(name).where("status = 'ok'").drop("status", "error")
+
+
 def read_recordings(store: Store, config: RunConfig, source: str) -> None:
-    """Frames and metadata of all archives; recordings that fail are listed and end the run."""
-    found = archives.discover_archives(store.spark, source)
-    store.put("archive_audit", archives.audit(found), report=True)
-    frames, failed = archives.read_frames(found)
-    archives.raise_failures(failed, f"{store.root}/reports/failed_recordings")
-    store.put("frames", frames)
-    store.put("metadata", archives.read_metadata(found))
+    """Frames and metadata of all archives, each parsed once; members that fail are listed together and end the run."""
+    store.put("archive_audit", archives.audit_members(store.spark, source), report=True)
+    frames = store.put("frames", archives.read_rows(store.spark, source, archives.VEHICLE_MEMBER, archives.FRAME_SCHEMA))
+    metadata_rows = store.put("metadata", archives.read_rows(store.spark, source, archives.METADATA_MEMBER, archives.METADATA_SCHEMA, required=False))
+    failed = [t.where("status = 'failed'").select(F.lit(m).alias("member"), "city", "recording_id", "source_archive", "error") for t, m in ((frames, archives.VEHICLE_MEMBER), (metadata_rows, archives.METADATA_MEMBER))]
+    archives.raise_failures(failed[0].unionByName(failed[1]), f"{store.root}/reports/failed_recordings")
 
 
 def build_features(store: Store, config: RunConfig, source: str) -> None:
-    frames = store.table("frames")
+    frames = _read_whole(store, "frames")
     recordings = store.put("recording_inventory", quality.recording_inventory(frames), report=True)
     store.put("city_inventory", quality.city_inventory(recordings), report=True)
     tracks = kinematics.trajectories(kinematics.frame_kinematics(kinematics.car_frames(frames, config.quality.stop_speed_mps)))
@@ -266,7 +269,7 @@ def _association(store: Store, t: DataFrame, column: str, name: str) -> None:
 
 def interpret_profiles(store: Store, config: RunConfig, source: str) -> None:
     assigned = store.table("assignments")
-    meta = store.table("metadata")
+    meta = _read_whole(store, "metadata")
     t = store.put("interpretation", metadata.clean_metadata(metadata.attach_metadata(assigned, meta.withColumn("_row", F.monotonically_increasing_id()), "_row")))
     store.put("metadata_availability", metadata.availability(t), report=True)
     summary = store.put("profile_summary", interpret.profile_summary(assigned, list(PROFILE)), report=True)
@@ -280,7 +283,7 @@ def interpret_profiles(store: Store, config: RunConfig, source: str) -> None:
     labelled = scores.select(KEY, *pre.score_columns).join(assigned.select(KEY, "profile_id"), KEY)
     best = store.put("representatives", interpret.representatives(labelled, "profile_id", KEY, pre.score_columns, config.representatives), report=True)
     wanted = best.where("representative_rank = 1").join(assigned.select(KEY, "city", "recording_id", "track_id"), KEY)
-    series = [kinematics.track_series(store.table("frames"), r.city, r.recording_id, r.track_id).withColumn("profile_id", F.lit(r.profile_id)) for r in wanted.orderBy("profile_id").limit(1_000).collect()]  # one for each profile
+    series = [kinematics.track_series(_read_whole(store, "frames"), r.city, r.recording_id, r.track_id).withColumn("profile_id", F.lit(r.profile_id)) for r in wanted.orderBy("profile_id").limit(1_000).collect()]  # one for each profile
     store.put("representative_series", functools.reduce(DataFrame.unionByName, series), report=True)
 
 

@@ -1,4 +1,8 @@
-"""Recording archives: discovery, name rules, CSV members of ZIP files, header checks and the archive audit."""
+"""Recording archives: name rules, CSV members of ZIP files, header checks and the archive audit.
+
+`read_rows` and `audit_members` go through the data sources of `zip_source`. The functions over `discover_archives` are for stores that only
+Spark reaches: there a whole archive, of 2 GB at most, comes as one row.
+"""
 
 from __future__ import annotations
 
@@ -9,10 +13,12 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
-from pyarrow import csv
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinetra.functions.quantiles import checkpointed
+from kinetra.sources.zip_source import HEAD, NAME_RULES, check_columns, decode_csv, is_reachable, member_of, register
+
 #: Names of archive members.
 VEHICLE_MEMBER, METADATA_MEMBER, PEDESTRIAN_MEMBER = "Veh_smoothed_tracks.csv", "Veh_tracks_meta.csv", "Ped_smoothed_tracks.csv"
 #: The required columns of vehicle frames and their types.
@@ -23,11 +29,30 @@ METADATA_SCHEMA = "trackId long, class string, CrossType string, Signal_Violatio
 def archive_name_rules(df: DataFrame, name_col: str) -> DataFrame:
     """df with city and recording_id from file names; both null where no rule fits. The rules are tried in order."""
     stem = F.replace(F.regexp_replace(F.col(name_col), r"\.[^.]*$", ""), F.lit("(1)"), F.lit(""))
-    low = F.lower(stem)
-    city = F.when(low.startswith("changchun_"), "Changchun").when(low.contains("_nr_"), "Chongqing").when(low.startswith("xian_"), "Xi'an").when(stem.rlike(r"^[0-9]+_[0-9]+_[0-9]+\z"), "Tianjin")
+    city = F.coalesce(*[F.when(stem.rlike(pattern), city) for pattern, city in NAME_RULES])
     return df.withColumn("city", city).withColumn("recording_id", F.when(F.col("city").isNotNull(), stem))
 
 
+def read_rows(spark: SparkSession, root: str, member: str, schema: str, required: bool = True) -> DataFrame:
+    """(city, recording_id, source_archive, status, error, columns of schema): the rows of one CSV member of all archives below root, a task for each member.
+
+    A member that cannot be read to its end gives a row with status `failed` after the rows before the fault; `split_failures` voids those.
+    """
+    if not is_reachable(root):
+        return read_members(discover_archives(spark, root), member, schema, required)
+    register(spark)
+    names = [f.name for f in spark.createDataFrame([], schema).schema.fields]
+    rows = spark.read.format("archive_rows").schema(", ".join(f"{h} string" for h in HEAD) + ", " + schema)
+    return rows.option("member", member).option("required", ",".join(names) if required else "").option("optional", not required).load(root)
+
+
+def split_failures(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of the members that were read whole, failures). The rows are written once to the checkpoint folder, so nothing is parsed twice."""
+    rows = checkpointed(rows)
+    failures = rows.where("status = 'failed'").select("city", "recording_id", "source_archive", "error")
+    return rows.where("status = 'ok'").drop("status", "error").join(failures, ["city", "recording_id", "source_archive"], "left_anti"), failures
+
+
 def discover_archives(spark: SparkSession, root: str) -> DataFrame:
     """(path, content, city, recording_id) of all ZIP files below root whose names fit a rule. One row, and one task at most, for each archive."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(root)
@@ -35,20 +60,6 @@ def discover_archives(spark: SparkSession, root: str) -> DataFrame:
     return archive_name_rules(named, "name").where("city IS NOT NULL").select("path", "content", "city", "recording_id")
 
 
-def _member(z: zipfile.ZipFile, name: str) -> str | None:
-    """The first member, in any folder, whose base name is `name`."""
-    return next((m for m in z.namelist() if posixpath.basename(m) == name), None)
-
-
-def check_columns(found: Sequence[str], required: Sequence[str]) -> list[str]:
-    """Stripped names; raises with the list of what is missing. Unnamed export-index columns are ignored."""
-    names = [n.strip() for n in found]
-    missing = [c for c in required if c not in names]
-    if missing:
-        raise ValueError(f"missing columns: {', '.join(missing)}")
-    return names
-
-
 def normalize_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:
     """Stripped column names without export-index columns; raises if a required one is missing."""
     df = df.toDF(*[c.strip() for c in df.columns])
@@ -68,17 +79,13 @@ def read_members(archives: DataFrame, member: str, schema: str, required: bool =
 
     kinds = archives.sparkSession.createDataFrame([], schema).schema
     wanted = [f.name for f in kinds.fields]
-    head = ["city", "recording_id", "source_archive", "status", "error"]
-    full = StructType([*(StructField(n, StringType()) for n in head), *kinds.fields])
-    arrow = to_arrow_schema(full)
+    full = StructType([*(StructField(n, StringType()) for n in HEAD), *kinds.fields])
+    arrow, inner = to_arrow_schema(full), to_arrow_schema(kinds)
 
-    def block(first: dict, rows: pa.Table | None) -> pa.RecordBatch:
+    def block(first: dict, rows: pa.RecordBatch | None) -> pa.RecordBatch:
         n = 1 if rows is None else rows.num_rows
-        cols = [pa.array([first[h]] * n, pa.string()) for h in head]
-        for f in list(arrow)[len(head) :]:
-            found = rows is not None and f.name in rows.column_names
-            cols.append(rows.column(f.name).combine_chunks().cast(f.type) if found else pa.nulls(n, f.type))
-        return pa.RecordBatch.from_arrays(cols, schema=arrow)
+        cols = [pa.array([first[h]] * n, pa.string()) for h in HEAD]
+        return pa.RecordBatch.from_arrays(cols + [pa.nulls(n, f.type) if rows is None else rows.column(f.name) for f in inner], schema=arrow)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,17 +93,14 @@ def read_members(archives: DataFrame, member: str, schema: str, required: bool =
                 first = {"city": row["city"], "recording_id": row["recording_id"], "source_archive": posixpath.basename(row["path"]), "status": "ok", "error": None}
                 try:
                     with zipfile.ZipFile(io.BytesIO(row["content"])) as z:
-                        name = _member(z, member)
+                        name = member_of(z, member)
                         if name is None:
                             if required:
                                 raise FileNotFoundError(f"{member} is not in the archive")
                             continue
                         with z.open(name) as f:
-                            for part in csv.open_csv(f, convert_options=csv.ConvertOptions(strings_can_be_null=True)):
-                                names = [str(c).strip() for c in part.schema.names]
-                                if required:
-                                    check_columns(names, wanted)
-                                yield block(first, pa.Table.from_batches([part]).rename_columns(names))
+                            for part in decode_csv(f, inner, wanted if required else ()):
+                                yield block(first, part)
                 except Exception as e:  # a failure is a row, so that all of them are reported together
                     yield block({**first, "status": "failed", "error": f"{type(e).__name__}: {e}"}, None)
 
@@ -105,12 +109,16 @@ def read_members(archives: DataFrame, member: str, schema: str, required: bool =
 
 def read_frames(archives: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(frames, failures) of the vehicle member."""
-    rows = read_members(archives, VEHICLE_MEMBER, FRAME_SCHEMA)
-    return rows.where("status = 'ok'").drop("status", "error"), rows.where("status = 'failed'").select("city", "recording_id", "source_archive", "error")
+    return split_failures(read_members(archives, VEHICLE_MEMBER, FRAME_SCHEMA))
 
 
 def read_metadata(archives: DataFrame) -> DataFrame:
-    return read_members(archives, METADATA_MEMBER, METADATA_SCHEMA, required=False).where("status = 'ok'").drop("status", "error")
+    """The rows of the metadata member; raises if one cannot be read whole."""
+    rows, failures = split_failures(read_members(archives, METADATA_MEMBER, METADATA_SCHEMA, required=False))
+    failed = failures.orderBy("source_archive").limit(20).collect()
+    if failed:
+        raise RuntimeError("metadata failed: " + "; ".join(f"{r.source_archive}: {r.error}" for r in failed))
+    return rows
 
 
 def raise_failures(failures: DataFrame, path: str) -> None:
@@ -123,6 +131,24 @@ def raise_failures(failures: DataFrame, path: str) -> None:
     failures.unpersist()
 
 
+def audit_members(spark: SparkSession, root: str) -> DataFrame:
+    """The audit of all archives below root with a task for each member, so that no archive is held whole."""
+    if not is_reachable(root):
+        return audit(discover_archives(spark, root))
+    register(spark)
+    base = F.regexp_replace("member", r"^.*/", "")
+    has = lambda name: F.coalesce(F.max(F.col("base") == name), F.lit(False))
+    members = spark.read.format("archive_members").load(root).withColumn("base", base)
+    return members.groupBy("city", "recording_id", "source_archive").agg(
+        F.min("ok").alias("zip_ok"),
+        has(VEHICLE_MEMBER).alias("has_vehicle"),
+        has(METADATA_MEMBER).alias("has_metadata"),
+        has(PEDESTRIAN_MEMBER).alias("has_pedestrian"),
+        F.coalesce(F.sum(F.lower("base").contains("traffic").cast("int")), F.lit(0)).cast("int").alias("traffic_members"),
+        F.count("member").cast("int").alias("member_count"),
+    ).drop("source_archive")
+
+
 def audit(archives: DataFrame) -> DataFrame:
     """(city, recording_id, zip_ok, has_vehicle, has_metadata, has_pedestrian, traffic_members, member_count) of each archive."""
 

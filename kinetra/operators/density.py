@@ -11,67 +11,13 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinetra.functions.quantiles import checkpointed
-
-MAX_SAMPLE = 10_000
+from kinetra.operators.dbscan import dbscan, numbered
 
+__all__ = ["dbscan", "hdbscan_labels", "numbered", "sampled_labels", "ward_labels"]
 
-def range_pairs(points: DataFrame, id_col: str, columns: Sequence[str], eps: float, grid_dims: int = 3) -> DataFrame:
-    """(i, j) with distance <= eps, i = j included: points meet only within neighbouring cells of the first grid dimensions."""
-    dims = list(columns)[:grid_dims]
-    base = points.select(F.col(id_col).cast("long").alias("i"), F.array(*[F.col(c).cast("double") for c in columns]).alias("v"), *[F.floor(F.col(c).cast("double") / eps).alias(f"g{k}") for k, c in enumerate(dims)])
-    spread = base
-    for k in range(len(dims)):
-        spread = spread.withColumn(f"g{k}", F.explode(F.array(*[F.col(f"g{k}") + s for s in (-1, 0, 1)])))
-    cells = [f"g{k}" for k in range(len(dims))]
-    other = spread.select(F.col("i").alias("j"), F.col("v").alias("w"), *cells)
-    dist = F.sqrt(F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b))
-    return base.join(other, cells).where(dist <= eps).select("i", "j")
-
-
-def dbscan(points: DataFrame, id_col: str, columns: Sequence[str], eps: float, min_samples: int, max_rounds: int | None = None) -> DataFrame:
-    """(id, label): components of core points numbered from 0 by their least id; a border point takes the least core neighbour's; -1 is noise.
-
-    Rounds go on until no label changes; more than max_rounds, where given, raise.
-    """
-    near = range_pairs(points, id_col, columns, eps).persist()
-    core = near.groupBy("i").count().where(F.col("count") >= min_samples).select("i").persist()
-    links = near.join(core, "i").join(core.select(F.col("i").alias("j")), "j").select("i", "j").persist()
-    labels = core.select("i", F.col("i").alias("root"))
-    changed = 1
-    rounds = 0
-    while changed:
-        if rounds == max_rounds:
-            raise RuntimeError(f"labels did not settle in {max_rounds} rounds")
-        rounds += 1
-        least = links.join(labels.select(F.col("i").alias("j"), "root"), "j").groupBy("i").agg(F.min("root").alias("m"))
-        hop = labels.select(F.col("i").alias("m"), F.col("root").alias("up"))
-        new = least.join(hop, "m", "left").select("i", F.least("m", "up").alias("root"))
-        joined = new.join(labels.withColumnRenamed("root", "before"), "i").persist()
-        changed = joined.where("root <> before").limit(1).count()
-        labels = checkpointed(joined.select("i", "root"))
-        joined.unpersist()
-    table = numbered(labels.select("root").distinct(), "root", "label")
-    border = near.join(labels.select(F.col("i").alias("j"), "root"), "j").groupBy("i").agg(F.min("root").alias("least"))
-    rooted = border.join(labels, "i", "left").select("i", F.coalesce("root", "least").alias("root")).join(table, "root").select("i", "label")
-    out = points.select(F.col(id_col).cast("long").alias("i")).join(rooted, "i", "left")
-    return out.select(F.col("i").alias(id_col), F.coalesce("label", F.lit(-1)).alias("label"))
-
-
-def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
-    """df with `name`: 0, 1, ... in the order of a column of distinct values, by range partitions and their offsets."""
-    parts = checkpointed(df.repartitionByRange(column).withColumn("_p", F.spark_partition_id()))
-    sizes = {r["_p"]: r["count"] for r in parts.groupBy("_p").count().collect()}  # one row for each partition
-    offsets, total = [], 0
-    for p in sorted(sizes):
-        offsets.append((p, total))
-        total += sizes[p]
-    offset = F.broadcast(df.sparkSession.createDataFrame(offsets, "_p int, _at long"))
-    place = F.row_number().over(W.partitionBy("_p").orderBy(column)) - 1
-    return parts.withColumn("_r", place).join(offset, "_p").withColumn(name, (F.col("_at") + F.col("_r")).cast("int")).drop("_p", "_at", "_r")
+MAX_SAMPLE = 10_000
 
 
 def ward_labels(x: np.ndarray, k: int) -> np.ndarray:

@@ -297,8 +297,9 @@ def train(pages: DataFrame, html_col: str = "html", max_train_pages: int = 400,
     """A labeller from pages that mark their article and from made layouts; None if the table has no row to judge."""
     if not pages.limit(1).count():
         return None
-    page = F.col(html_col).cast("string")
-    sample = pages.select(page.alias("t")).where((F.length("t") <= max_train_chars) & F.col("t").rlike(r"(?i)<(article|main)\b|role=.?main|articlebody")).orderBy(F.xxhash64("t"), "t").limit(max_train_pages)
+    usable = pages.select(F.col(html_col).cast("string").alias("t")).where((F.length("t") <= max_train_chars) & F.col("t").rlike(r"(?i)<(article|main)\b|role=.?main|articlebody")).withColumn("h", F.xxhash64("t"))
+    chosen = [r.h for r in usable.select("h").distinct().orderBy("h").limit(max_train_pages).collect()]  # hashes only: no task sends pages that are not used
+    sample = usable.where(F.col("h") <= max(chosen, default=0)).groupBy("h").agg(F.min("t").alias("t")).orderBy("h")
     labelled = [[(b, marked(b)) for b in blocks_of(r.t)] for r in sample.collect()]  # at most max_train_pages * max_train_chars characters
     layouts = _Layouts([b.text for blocks in labelled for b, y in blocks if y], [b.text for blocks in labelled for b, y in blocks if not y])
     features, ready = Features(), []

@@ -17,14 +17,12 @@ probability of e^-0.89 = 0.41 at least, so a pair in reach shares fewer than two
 Equal sets are one class. The hub of a key is its most central class: the one whose keys have the most members (of near
 copies of one text that is the text itself). Within a key every class is compared with the hub; components follow, and only
 pairs that share a key and are not connected yet are compared after that: all of them in keys of at most `crowd` such
-classes. In a crowded key with the hub b the edits of a class c are the symmetric difference E(c) of c and b. For two classes r
-and m, r and m differ in |E(r)| + |E(m)| - 2 |E(r) & E(m)| shingles, and two classes are near if they differ in at most a ninth
-of their summed sizes. So if r is not near b but near m, they share more than (|E(m)| + (|b| - |m|) / 9) / 2 edits, and the
-edits of m less so many, rarest first, hold one of r. Such pairs meet on (hub, edit): copies that were edited in different
-places never do. Classes at a distance of over 0.6 from the hub (texts with a passage in common, say) have too many edits; from
-0.4 on a class also has a prefix: near classes share four fifths of each, so a fifth and one of the shingles of each, those
-that the hub lacks first and then by hash, have one in common. Distances to the hub of near classes differ by 0.2 at most, so
-both have edits or both prefixes. Nothing is capped or sampled.
+classes. Classes of crowded keys meet on rare shingles: of two near sets of sizes n and o at least 4 (n + o) / 9 shingles are shared, so in
+any one order of all shingles the first n - 4 (n + o) / 9 + 1 of one and the like of the other have one in common. The order is by
+frequency among the crowded classes, so texts that share a passage, or two, and have their own text besides meet nobody: their
+first shingles are their own. Frequencies only choose the order, which is right whatever they are, so a table of the most frequent
+shingles with a bound of MAX_FREQUENT serves any input: shingles beyond it are rarer than all in it. On a shared shingle the classes of
+the largest component are compared with the others, not among themselves. Nothing is capped or sampled.
 
 Defined results: null text counts as empty; texts without words are one class; texts of fewer words than a shingle are one
 shingle; rows that repeat, or share an id, are rows of their own; a null id never becomes a component id unless the whole
@@ -39,7 +37,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinetra.llm.common import broadcast_if_small, remove_table, same, text_or_empty, written
@@ -54,6 +51,9 @@ MOST_PARTS = 56
 #: From this size on both schemes of a set have more than MOST_PARTS parts.
 LARGE = 6 * MOST_PARTS
 MAX_BROADCAST = 3_000_000
+#: Shingles whose frequency is known when classes of crowded keys meet: 16 bytes each in every executor.
+MAX_FREQUENT = 1_000_000
+FREQUENCY_SHIFT = 24
 #: Odd factors that mix hashes.
 MIX, SALT = np.uint64(0xD6E8FEB86659FD93), 0x9E3779B97F4A7C15
 
@@ -184,62 +184,67 @@ def _keyed_pairs(members: DataFrame) -> DataFrame:
     return _in_reach(members.withColumnRenamed("c", "a").join(right, "key").where("a < b AND root <> other").select("a", "b", "n", "o"))
 
 
-def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (a, b, n, root, va, vb) to (hub, c, n, root, far, most, x): what class b is looked up by against hub a.
-
-    most > 0: its edits x, of which the `most` rarest are probed; far if the two are not near. most = 0: its prefix x.
-    """
-    for whole in batches:
-        for row in range(whole.num_rows):
-            hub, c, n, root, va, vb = (whole.column(k)[row] for k in range(6))
-            x, y = (v.values.to_numpy(zero_copy_only=False) for v in (va, vb))
-            e = np.setxor1d(x, y, assume_unique=True)
-            union = (len(x) + len(y) + len(e)) // 2
-            out = []
-            if 10 * len(e) <= 6 * union:
-                shared = int((9 * len(e) + len(x) - len(y)) // 18) + 1
-                out.append((e, 9 * len(e) > len(x) + len(y), max(len(e) - shared + 1, 1)))
-            if 10 * len(e) >= 4 * union:
-                own = np.setdiff1d(y, x, assume_unique=True)
-                order = np.concatenate([np.sort(own), np.intersect1d(y, x, assume_unique=True)])
-                out.append((order[: len(y) - -(-4 * len(y) // 5) + 1], True, 0))
-            for values, far, most in out:
-                size = len(values)
-                same_ = lambda v: pa.array(np.full(size, v.as_py(), np.int64))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([same_(hub), same_(c), same_(n), same_(root), pa.array(np.full(size, far)), pa.array(np.full(size, most, np.int64)), pa.array(values)], ["hub", "c", "n", "root", "far", "most", "x"])
-
-
-def edited_pairs(crowded: DataFrame, sets: DataFrame, scratch: _Scratch) -> DataFrame:
-    """(a, b, n, o): of (hub, c, n, root) the pairs of classes of one hub that may be near though one of them is not near the hub, and have different roots."""
-    pairs = crowded.where("c <> hub").select(F.col("hub").alias("a"), F.col("c").alias("b"), "n", "root")
-    both = pairs.join(sets.select(F.col("c").alias("a"), F.col("v").alias("va")), "a").join(sets.select(F.col("c").alias("b"), F.col("v").alias("vb")), "b")
-    found = scratch.put(both.select("a", "b", "n", "root", "va", "vb").mapInArrow(_edits, "hub long, c long, n long, root long, far boolean, most long, x long"), "simhash-edits")
-    mine = [F.col("c").alias("a"), "n", F.col("root").alias("mine")]
-    theirs = [F.col("c").alias("b"), F.col("n").alias("o"), "root"]
-
-    prefixes = found.where("most = 0")
-    twice = prefixes.groupBy("hub", "x").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("hub", "x")
-    few = scratch.put(prefixes.join(twice, ["hub", "x"]), "simhash-prefixes")
-    met = few.select("hub", "x", *mine).join(few.select("hub", "x", *theirs), ["hub", "x"]).where("a < b AND mine <> root").select("a", "b", "n", "o")
-
-    edits = found.where("most > 0")
-    counts = edits.groupBy("hub", "x").agg(F.count(F.lit(1)).alias("k"), F.max("far").alias("any_far")).where("k > 1 AND any_far")
-    # an edit that nobody shares, or nobody far from the hub, is a probe that finds nothing
-    order = W.partitionBy("hub", "c").orderBy(F.coalesce("k", F.lit(1)), "x")  # the edits of one class
-    probes = edits.join(counts, ["hub", "x"], "left").withColumn("r", F.row_number().over(order)).where("r <= most AND k IS NOT NULL").select("hub", "x", *mine)
-    hits = probes.join(edits.where("far").select("hub", "x", *theirs), ["hub", "x"]).where("a <> b AND mine <> root")
-    hits = hits.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("n")).otherwise(F.col("o")).alias("n"), F.when(F.col("a") < F.col("b"), F.col("o")).otherwise(F.col("n")).alias("o"))
-    return _in_reach(met.unionByName(hits))
+def _frequent(sets: DataFrame, scratch: _Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """The MAX_FREQUENT, at most, most frequent shingles of the sets (by the upper 40 bits of their hashes), sorted, and how many sets have each."""
+    upper = sets.select(F.explode(F.transform("v", lambda x: F.shiftrightunsigned(x, FREQUENCY_SHIFT))).alias("t"))
+    counts = scratch.put(upper.groupBy("t").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "simhash-frequencies")
+    least, total = None, 0
+    for k, n in sorted(((r.k, r.n) for r in counts.groupBy("k").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("k")).limit(100_000).collect()), reverse=True):
+        total += n
+        if total > MAX_FREQUENT:
+            break
+        least = k
+    if least is None:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    found = counts.where(F.col("k") >= least).orderBy("t").toArrow()
+    return found.column("t").to_numpy().view(np.uint64), found.column("k").to_numpy()
+
+
+def crowded_pairs(classes: DataFrame, sets: DataFrame, scratch: _Scratch) -> DataFrame:
+    """(a, b, n, o): pairs of classes (c, n, root) with different roots that may be near, by the rarest shingles of their sets (c, v)."""
+    sent = classes.sparkSession.sparkContext.broadcast(_frequent(sets, scratch))
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = sent.value
+        for whole in batches:
+            for start in range(0, whole.num_rows, 200):
+                batch = whole.slice(start, 200)
+                found, places, sizes = [], [], []
+                for v in batch.column(3):
+                    x = v.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                    seen = np.zeros(len(x), dtype=np.int64)
+                    if len(keys):
+                        upper = x >> np.uint64(FREQUENCY_SHIFT)
+                        at = np.minimum(np.searchsorted(keys, upper), len(keys) - 1)
+                        seen = np.where(keys[at] == upper, counts[at], 0)
+                    first = np.lexsort((x, seen))[: len(x) - -(-4 * len(x) // 5) + 1]
+                    found.append(x[first].view(np.int64))
+                    places.append(np.arange(1, len(first) + 1))
+                    sizes.append(len(first))
+                owner = np.repeat(np.arange(batch.num_rows), sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(places)), *(pa.array(batch.column(k).to_numpy(zero_copy_only=False)[owner]) for k in range(3))], ["x", "place", "c", "n", "root"])
+
+    rows = classes.join(sets, "c").where("n > 0").select("c", "n", "root", "v").mapInArrow(firsts, "x long, place long, c long, n long, root long")
+    rows = scratch.put(rows, "simhash-firsts")
+    of_roots = rows.groupBy("x", "root").agg(F.count(F.lit(1)).alias("k"))
+    open_ = of_roots.groupBy("x").agg(F.max_by("root", F.struct("k", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("x", "top")
+    few = scratch.put(rows.join(open_, "x"), "simhash-open")
+    left = few.where("root <> top").select("x", F.col("c").alias("a"), "n", F.col("root").alias("mine"), F.col("place").alias("place_a"))
+    right = few.select("x", F.col("c").alias("b"), F.col("n").alias("o"), "root", "top", F.col("place").alias("place_b"))
+    met = left.join(right, "x").where("mine <> root AND (root = top OR a < b) AND 4 * (n + o) <= 9 * (n - place_a + 1) AND 4 * (n + o) <= 9 * (o - place_b + 1)")
+    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("n")).otherwise(F.col("o")).alias("n"), F.when(F.col("a") < F.col("b"), F.col("o")).otherwise(F.col("n")).alias("o")]
+    return _in_reach(met.select(*ordered))
 
 
 def unconnected_pairs(members: DataFrame, crowd: int, sets_of, scratch: _Scratch) -> DataFrame:
-    """(a, b, n, o): pairs of classes of (key, hub, c, n, root) that share a key, have different roots and may be near."""
+    """(a, b, n, o): pairs of classes of (key, c, n, root) that have different roots and may be near, every near pair that shares a key among them."""
     split = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi").select("key", (F.col("k") > crowd).alias("crowded"))
     left = scratch.put(members.join(split, "key"), "simhash-split")
     few = _keyed_pairs(left.where("NOT crowded"))
-    crowded = scratch.put(left.where("crowded").select("hub", "c", "n", "root").distinct(), "simhash-crowded")
-    sets = sets_of(crowded.select(F.explode(F.array("hub", "c")).alias("c")).distinct())
-    return few.unionByName(edited_pairs(crowded, sets, scratch)).select("a", "b", "n", "o").distinct()
+    crowded = scratch.put(left.where("crowded").select("c", "n", "root").distinct(), "simhash-crowded")
+    if not crowded.limit(1).count():
+        return few.distinct()
+    return few.unionByName(crowded_pairs(crowded, sets_of(crowded.select("c")), scratch)).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, crowd: int = 16) -> DataFrame:
@@ -257,7 +262,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = scratch.put(verified(first, rows, docs, id_col, text_col, width, scratch), "simhash-links")
     roots = connected_components(links)
 
-    rooted = members.join(roots.withColumnRenamed("node", "c"), "c", "left").select("key", "hub", "c", "n", F.coalesce("root", "c").alias("root"))
+    rooted = members.join(roots.withColumnRenamed("node", "c"), "c", "left").select("key", "c", "n", F.coalesce("root", "c").alias("root"))
     sets_of = lambda wanted: _sets_of(wanted, rows, docs, id_col, text_col, width, scratch)
     compared = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = scratch.put(unconnected_pairs(rooted, crowd, sets_of, scratch).join(compared, ["a", "b"], "left_anti"), "simhash-rest")

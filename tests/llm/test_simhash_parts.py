@@ -117,3 +117,51 @@ def test_passages_in_unlike_texts(spark):
     want = groups(texts)
     df = spark.createDataFrame(texts, "doc_id long, text string")
     assert {r.d: r.component for r in simhash_parts.near_duplicates(df, crowd=1).collect()} == want
+
+
+def unlike_round_passages(n):
+    """Sets that share a passage with all others, half of them a second one, and are unlike besides."""
+    rng = np.random.default_rng(n)
+    one, two = rng.integers(1, 1 << 62, 200), rng.integers(1, 1 << 62, 150)
+    sets = [np.unique(np.concatenate([one, two if k % 2 else one[:0], rng.integers(1, 1 << 62, 150)])) for k in range(n)]
+    return [(k, len(v), k, v.tolist()) for k, v in enumerate(sets)]
+
+
+@pytest.mark.parametrize("known", [0, 1_000_000])
+def test_candidates_grow_with_the_texts(spark, monkeypatch, known):
+    """No pair of unlike texts round two passages is a candidate; without frequencies the pairs that are near are found all the same."""
+    monkeypatch.setattr(simhash_parts, "MAX_FREQUENT", known)
+    counts = {}
+    for n in (200, 400):
+        rows = unlike_round_passages(n)
+        near = [(n + k, len(r[3]), n + k, r[3][:-2]) for k, r in enumerate(rows[:5])]
+        df = spark.createDataFrame(rows + near, "c long, n long, root long, v array<long>").selectExpr("c", "size(v) AS n", "root", "v").selectExpr("c", "CAST(n AS bigint) AS n", "root", "v")
+        scratch = simhash_parts._Scratch()
+        found = {(r.a, r.b) for r in simhash_parts.crowded_pairs(df.drop("v"), df.select("c", "v"), scratch).collect()}
+        scratch.drop()
+        assert {(k, n + k) for k in range(5)} <= found
+        counts[n] = len(found)
+    if known:
+        assert counts[400] <= 2 * counts[200] + 5 and counts[400] < 40
+
+
+def test_recall_on_long_texts(spark):
+    """Pairs on both sides of the threshold among texts of over 335 shingles, most of them beyond MOST_PARTS parts."""
+    rng = random.Random(17)
+    words = [f"w{k}" for k in range(20_000)]
+    texts = []
+    for n in (400, 700, 1_500, 4_000):
+        for _ in range(4):
+            t = [rng.choice(words) for _ in range(n)]
+            texts.append(" ".join(t))
+            for share in (0.01, 0.02, 0.03, 0.04, 0.05):
+                u = list(t)
+                for k in rng.sample(range(n), int(share * n * rng.uniform(0.5, 1))):
+                    u[k] = rng.choice(words)
+                texts.append(" ".join(u))
+    rows = list(enumerate(texts))
+    want = groups(rows)
+    assert 16 < len(set(want.values())) < len(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for crowd in (1, 16):
+        assert {r.d: r.component for r in simhash_parts.near_duplicates(df, crowd=crowd).collect()} == want

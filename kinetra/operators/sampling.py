@@ -5,25 +5,73 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinetra.functions.quantiles import placed
 
 
+#: Counts of rows that a pass brings to the driver at most, and rows of the last cell that may follow them.
+HASH_CELLS, LAST_CELL = 65_536, 10_000
+
+
+def _within_first(df: DataFrame, h: Column, tie: Column, n: int) -> Column:
+    """A condition that holds for the first n rows in the order of (h, tie), h a 64-bit hash and the pairs distinct.
+
+    A pass counts rows by the next 16 bits of h within the cell that holds the n-th row, so at most four passes over two columns
+    narrow it down; no row is sorted or moved, but for those of a last cell of at most LAST_CELL rows (or of one equal hash).
+    """
+    keyed = df.select(h.alias("h"), tie.alias("t"))
+    shift, cell, left = 64, None, n
+    while shift:
+        shift -= 16
+        inside = keyed if cell is None else keyed.where(F.shiftright("h", shift + 16) == cell)
+        counts = {r.c: r.n for r in inside.groupBy(F.shiftright("h", shift).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most HASH_CELLS
+        if left >= sum(counts.values()):
+            return F.lit(True) if cell is None else F.shiftright(h, shift + 16) <= cell
+        for c in sorted(counts):
+            if left < counts[c]:
+                cell = c
+                break
+            left -= counts[c]
+        if not left:
+            return F.shiftright(h, shift) < cell
+        if counts[cell] <= LAST_CELL:
+            break
+    here = keyed.where(F.shiftright("h", shift) == cell)
+    last = here.orderBy("h", "t").limit(left).agg(F.max(F.struct("h", "t")).alias("x")).first().x
+    return (h < last.h) | ((h == last.h) & (tie <= F.lit(last.t)))
+
+
 def uniform_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """Exactly min(n, rows) rows without replacement, by the order of the key's seeded hash."""
-    return df.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.col(key)).limit(n)
+    """Exactly min(n, rows) rows without replacement, the first by the key's seeded hash, as a filter on df. Keys are distinct."""
+    return df.where(_within_first(df, F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.col(key), n))
 
 
 def bootstrap_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """Exactly n rows with replacement: seeded indices meet the places of the keys, which are distinct, in their order; n is a bounded sample size."""
+    """Exactly n rows with replacement; keys are distinct. An empty table gives none.
+
+    Keys fall into at most HASH_CELLS cells by hash. The draws of each cell are one multinomial split of n by the cells' sizes, on the driver; a task
+    then draws from the rows of a cell, in the order of their keys, with a generator of its own that seed and cell name.
+    """
     total = df.count()
-    drawn = np.random.default_rng(seed).integers(0, total, n) if total else np.zeros(0, dtype=int)
-    idx = df.sparkSession.createDataFrame([(int(i),) for i in drawn], "_i long")
-    places = placed(df.select(F.col(key).alias("_k")), [], "_k").select("_k", F.explode(F.sequence("before", F.col("before") + F.col("n") - 1)).alias("_i"))
-    drawn = places.join(F.broadcast(idx), "_i").groupBy("_k").agg(F.count(F.lit(1)).alias("_times"))  # at most n keys
-    return df.join(F.broadcast(drawn), F.col(key) == F.col("_k")).withColumn("_t", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).drop("_k", "_times", "_t")
+    if not total:
+        return df
+    cells = min(HASH_CELLS, -(-total // 1_000))
+    keyed = df.select(F.col(key).alias("_k"), F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(cells)).alias("_c"))
+    sizes = sorted((r["_c"], r["count"]) for r in keyed.groupBy("_c").count().collect())  # at most HASH_CELLS
+    drawn = np.random.default_rng(seed).multinomial(n, np.array([m for _, m in sizes]) / total)
+    table = F.broadcast(df.sparkSession.createDataFrame([(c, int(d)) for (c, _), d in zip(sizes, drawn, strict=True) if d], "_c long, _d long"))
+
+    def draw(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values("_k")
+        rng = np.random.default_rng([seed, int(group[0])])
+        times = np.bincount(rng.integers(0, len(rows), int(rows["_d"].iloc[0])), minlength=len(rows))
+        return pd.DataFrame({"_k": rows["_k"].to_numpy()[times > 0], "_times": times[times > 0]})
+
+    times = keyed.join(table, "_c").groupBy("_c").applyInPandas(draw, f"_k {df.schema[key].dataType.simpleString()}, _times int")
+    return df.join(times, F.col(key) == F.col("_k")).withColumn("_t", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_k", "_times", "_t")
 
 
 def quotas(sizes: dict[str, int], n: int) -> dict[str, int]:
@@ -53,7 +101,7 @@ def group_subsample(df: DataFrame, group: Sequence[str], fraction: float, seed:
     """All rows of a fraction of the groups, drawn without replacement."""
     groups = df.select(*group).distinct()
     n = round(fraction * groups.count())
-    kept = groups.orderBy(F.xxhash64(*group, F.lit(seed)), *group).limit(n)
+    kept = groups.where(_within_first(groups, F.xxhash64(*group, F.lit(seed)), F.struct(*group), n))
     return df.join(_small(kept), list(group), "left_semi")
 
 

@@ -184,20 +184,21 @@ def _keyed_pairs(members: DataFrame) -> DataFrame:
     return _in_reach(members.withColumnRenamed("c", "a").join(right, "key").where("a < b AND root <> other").select("a", "b", "n", "o"))
 
 
-def _frequent(sets: DataFrame, scratch: _Scratch) -> tuple[np.ndarray, np.ndarray]:
-    """The MAX_FREQUENT, at most, most frequent shingles of the sets (by the upper 40 bits of their hashes), sorted, and how many sets have each."""
+def _frequent(sets: DataFrame, scratch: _Scratch) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The MAX_FREQUENT, at most, most frequent shingles of the sets (by the upper 40 bits of their hashes), sorted, how many sets have each, and whether these are all that two sets have."""
     upper = sets.select(F.explode(F.transform("v", lambda x: F.shiftrightunsigned(x, FREQUENCY_SHIFT))).alias("t"))
     counts = scratch.put(upper.groupBy("t").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "simhash-frequencies")
-    least, total = None, 0
+    least, total, every = None, 0, True
     for k, n in sorted(((r.k, r.n) for r in counts.groupBy("k").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("k")).limit(100_000).collect()), reverse=True):
         total += n
         if total > MAX_FREQUENT:
+            every = False
             break
         least = k
     if least is None:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), every
     found = counts.where(F.col("k") >= least).orderBy("t").toArrow()
-    return found.column("t").to_numpy().view(np.uint64), found.column("k").to_numpy()
+    return found.column("t").to_numpy().view(np.uint64), found.column("k").to_numpy(), every and least == 2
 
 
 def crowded_pairs(classes: DataFrame, sets: DataFrame, scratch: _Scratch) -> DataFrame:
@@ -205,7 +206,7 @@ def crowded_pairs(classes: DataFrame, sets: DataFrame, scratch: _Scratch) -> Dat
     sent = classes.sparkSession.sparkContext.broadcast(_frequent(sets, scratch))
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = sent.value
+        keys, counts, every = sent.value
         for whole in batches:
             for start in range(0, whole.num_rows, 200):
                 batch = whole.slice(start, 200)
@@ -218,9 +219,10 @@ def crowded_pairs(classes: DataFrame, sets: DataFrame, scratch: _Scratch) -> Dat
                         at = np.minimum(np.searchsorted(keys, upper), len(keys) - 1)
                         seen = np.where(keys[at] == upper, counts[at], 0)
                     first = np.lexsort((x, seen))[: len(x) - -(-4 * len(x) // 5) + 1]
-                    found.append(x[first].view(np.int64))
-                    places.append(np.arange(1, len(first) + 1))
-                    sizes.append(len(first))
+                    met = np.flatnonzero(seen[first] > 0) if every else np.arange(len(first))  # a shingle that no other set has meets nobody
+                    found.append(x[first[met]].view(np.int64))
+                    places.append(met + 1)
+                    sizes.append(len(met))
                 owner = np.repeat(np.arange(batch.num_rows), sizes)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(places)), *(pa.array(batch.column(k).to_numpy(zero_copy_only=False)[owner]) for k in range(3))], ["x", "place", "c", "n", "root"])
 

@@ -87,7 +87,7 @@ def _spread(table: DataFrame, grid: list[str]) -> DataFrame:
     return table
 
 
-def _components(cells: DataFrame, links: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def components(cells: DataFrame, links: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(cell, root): the least `root` of the cells that are linked, by rounds of least labels with hops. cells: (cell, root); links: (a, b), both ways."""
     labels, rounds = checkpointed(cells.select("cell", "root")), 0
     links = checkpointed(links)
@@ -171,13 +171,13 @@ def dbscan(points: DataFrame, id_col: str, columns: Sequence[str], eps: float, m
     meets = (space.far("l", "r") <= eps) | space.edges_meet("l", "r", eps)
     met = checkpointed(neighbours(core_boxes, core_boxes).where((F.col("l.cell") < F.col("r.cell")) & (space.near("l", "r") <= eps)).select(F.col("l.cell").alias("a"), F.col("r.cell").alias("b"), meets.alias("meets")))
     both = lambda links: links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = _components(core_boxes, both(met.where("meets")), max_rounds)
+    labels = components(core_boxes, both(met.where("meets")), max_rounds)
     undecided = met.where("NOT meets").join(labels.select(F.col("cell").alias("a"), F.col("root").alias("ra")), "a").join(labels.select(F.col("cell").alias("b"), F.col("root").alias("rb")), "b").where("ra <> rb")
     undecided = checkpointed(undecided.select("a", "b"))
     if undecided.limit(1).count():
         involved = undecided.select(F.col("a").alias("cell")).unionByName(undecided.select(F.col("b").alias("cell"))).distinct()
         links = _split_links(space, cores.join(involved, "cell"), undecided, eps)
-        labels = _components(core_boxes, both(met.where("meets").select("a", "b").unionByName(links)), max_rounds)
+        labels = components(core_boxes, both(met.where("meets").select("a", "b").unionByName(links)), max_rounds)
     table_of = numbered(labels.select("root").distinct(), "root", "label")
     rooted = cores.select("i", "cell").join(labels, "cell").select("i", "root")
     edge = sparse.where("NOT core")

@@ -1,33 +1,37 @@
 """Density and hierarchical clustering.
 
-DBSCAN is distributed: a grid-bucketed range join finds neighbours, components of core points spread by least labels.
-Ward and HDBSCAN run on a stated sample of bounded size in one Python worker, as the methods need all distances.
+DBSCAN (`dbscan`) works on a graph of cells, Ward merges in rounds of reciprocal nearest neighbours. HDBSCAN runs on a stated sample of
+bounded size in one Python worker.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetra.operators.dbscan import dbscan, numbered
+from kinetra.functions.quantiles import checkpointed
+from kinetra.operators.dbscan import components, dbscan, numbered
+from kinetra.operators.voronoi import nearest_join
 
-__all__ = ["dbscan", "hdbscan_labels", "numbered", "sampled_labels", "ward_labels"]
+__all__ = ["dbscan", "hdbscan_labels", "numbered", "sampled_labels", "ward", "ward_labels"]
+#: So many clusters merge on the driver: a matrix of their distances.
+WARD_SMALL = 2_000
 
 MAX_SAMPLE = 10_000
 
 
-def ward_labels(x: np.ndarray, k: int) -> np.ndarray:
-    """Labels of k clusters by Ward's criterion, merging reciprocal nearest neighbours along chains; numbered by first row."""
+def ward_merges(x: np.ndarray, size: np.ndarray) -> list[tuple[float, int, int]]:
+    """All merges (increase of the sum of squares, a, b) of clusters with centres x by Ward's criterion, along chains of nearest neighbours; the merged cluster keeps the lower number."""
     n = len(x)
-    if n <= k:
-        return np.arange(n)
-    d = ((x[:, None] - x[None]) ** 2).sum(axis=2) / 2 if n <= 2_000 else np.array([((x - r) ** 2).sum(axis=1) / 2 for r in x])
+    size = size.astype(float)
+    d = np.array([((x - r) ** 2).sum(axis=1) * (size * s / (size + s)) for r, s in zip(x, size, strict=True)]).reshape(n, n)
     np.fill_diagonal(d, np.inf)
-    size, alive, chain, merges = np.ones(n), np.ones(n, dtype=bool), [], []
+    alive, chain, merges = np.ones(n, dtype=bool), [], []
     while len(merges) < n - 1:
         if not chain:
             chain = [int(np.flatnonzero(alive)[0])]
@@ -38,7 +42,7 @@ def ward_labels(x: np.ndarray, k: int) -> np.ndarray:
             best = chain[-2]
         if len(chain) > 1 and best == chain[-2]:
             a, b = sorted((chain.pop(), chain.pop()))
-            merges.append((d[a, b], a, b))
+            merges.append((float(d[a, b]), a, b))
             new = ((size[a] + size) * d[a] + (size[b] + size) * d[b] - size * d[a, b]) / (size[a] + size[b] + size)
             d[a], d[:, a] = new, new
             d[a, a] = np.inf
@@ -46,6 +50,12 @@ def ward_labels(x: np.ndarray, k: int) -> np.ndarray:
             alive[b] = False
         else:
             chain.append(best)
+    return merges
+
+
+def ward_labels(x: np.ndarray, k: int) -> np.ndarray:
+    """Labels of k clusters by Ward's criterion, numbered by first row; of a table that fits in memory."""
+    n = len(x)
     root = list(range(n))
 
     def find(i: int) -> int:
@@ -54,11 +64,48 @@ def ward_labels(x: np.ndarray, k: int) -> np.ndarray:
             i = root[i]
         return i
 
-    for _, a, b in sorted(merges, key=lambda m: m[0])[: n - k]:
+    for _, a, b in sorted(ward_merges(x, np.ones(n)), key=lambda m: m[0])[: max(0, n - k)]:
         root[find(b)] = find(a)
     return np.unique([find(i) for i in range(n)], return_inverse=True)[1]
 
 
+def ward(points: DataFrame, id_col: str, columns: Sequence[str], k: int) -> DataFrame:
+    """(id, label): k clusters of all rows by Ward's criterion, numbered by least id; rows with a null coordinate are -1.
+
+    Equal rows merge first. In each round every cluster finds its nearest other by the increase of the sum of squares (a Voronoi join,
+    `voronoi`), and all pairs that are each other's nearest merge; they would merge in any order, so the tree is that of one merge at a
+    time. The last WARD_SMALL clusters merge on the driver. Of all merges the k - 1 largest are left out, the others are links.
+    """
+    v = F.array(*[F.col(c).cast("double") for c in columns])
+    ids = points.select(F.col(id_col).cast("long").alias("i"), F.when(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns]), v).alias("v"))
+    rows = checkpointed(ids)
+    equal = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("i").alias("q"), F.count(F.lit(1)).cast("double").alias("w"))
+    now = checkpointed(equal.select("q", "v", "w", F.col("q").alias("c")))
+    same = rows.join(equal.select("v", "q"), "v").where("i <> q").select(F.lit(0.0).alias("h"), F.col("q").alias("a"), F.col("i").alias("b"))
+    merges = [checkpointed(same)]
+    while now.limit(WARD_SMALL + 1).count() > WARD_SMALL:
+        near = checkpointed(nearest_join(now, now.withColumn("m", F.lit(1).cast("long")), 1, "ward"))
+        back = near.select(F.col("q").alias("p"), F.col("p").alias("q"))
+        pairs = checkpointed(near.where("q < p").join(back, ["q", "p"]).select(F.col("distance").alias("h"), F.col("q").alias("a"), F.col("p").alias("b")))
+        merges.append(pairs)
+        left, right = (now.select(F.col("q").alias(s), F.col("v").alias(f"v{s}"), F.col("w").alias(f"w{s}")) for s in "ab")
+        mean = F.zip_with("va", "vb", lambda x, y: (F.col("wa") * x + F.col("wb") * y) / (F.col("wa") + F.col("wb")))
+        merged = pairs.join(left, "a").join(right, "b").select(F.col("a").alias("q"), mean.alias("v"), (F.col("wa") + F.col("wb")).alias("w"), F.col("a").alias("c"))
+        gone = pairs.select(F.explode(F.array("a", "b")).alias("q"))
+        now = checkpointed(now.join(gone, "q", "left_anti").unionByName(merged))
+    last = sorted(((r.q, list(r.v), r.w) for r in now.collect()), key=lambda r: r[0])  # at most WARD_SMALL
+    few = ward_merges(np.array([r[1] for r in last]).reshape(len(last), len(columns)), np.array([r[2] for r in last]))
+    spark = points.sparkSession
+    tail = spark.createDataFrame([(h, last[a][0], last[b][0]) for h, a, b in few], "h double, a long, b long")
+    every = checkpointed(reduce(DataFrame.unionByName, [*merges, tail]))
+    top = every.orderBy(F.desc("h"), F.desc("a"), F.desc("b")).limit(k - 1)  # k - 1 rows
+    links = every.join(F.broadcast(top), ["h", "a", "b"], "left_anti")
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    found = components(rows.where("v IS NOT NULL").select(F.col("i").alias("cell"), F.col("i").alias("root")), both)
+    labels = found.join(numbered(found.select("root").distinct(), "root", "label"), "root").select(F.col("cell").alias("i"), "label")
+    return rows.select("i").join(labels, "i", "left").select(F.col("i").alias(id_col), F.coalesce("label", F.lit(-1)).alias("label"))
+
+
 def hdbscan_labels(x: np.ndarray, min_cluster_size: int, min_samples: int) -> np.ndarray:
     """Labels by HDBSCAN: mutual-reachability spanning tree, condensed by least cluster size, clusters of greatest stability; -1 is noise. The whole set is no cluster."""
     n = len(x)

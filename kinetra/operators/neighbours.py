@@ -1,7 +1,7 @@
 """Nearest neighbours by Euclidean distance and the Hopkins statistic.
 
-Points are compared in blocks: the query set is a stated, bounded sample that is broadcast as one matrix, and every
-partition of the table is compared with it in numpy, keeping k candidates for each query before the shuffle.
+A bounded query set (`nearest`) is broadcast as one matrix and compared with every partition of the table in numpy, keeping k candidates for
+each query before the shuffle. Query sets without a bound (`kth_distance`) go through the Voronoi cells of `voronoi`.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinetra.operators.voronoi import kth_distances
+
 MAX_QUERIES = 20_000
 
 
@@ -48,15 +50,8 @@ def nearest(points: DataFrame, queries: DataFrame, id_col: str, vector_col: str,
 
 
 def kth_distance(points: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
-    """(query, distance) of each query row to its k-th neighbour among all points, itself being the first; queries go in blocks of at most MAX_QUERIES by hash."""
-    blocks = 1
-    while (queries.groupBy(F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("b")).count().agg(F.max("count")).first()[0] or 0) > MAX_QUERIES:
-        blocks *= 2
-    out = None
-    for b in range(blocks):
-        part = nearest(points, queries.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b), id_col, vector_col, k).where(F.col("rank") == k).select("query", "distance")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """(query, distance) of each query row, however many there are, to its k-th neighbour among all points, itself being the first: each visits only the cells that it must."""
+    return kth_distances(points, queries, id_col, vector_col, k).select(F.col(id_col).alias("query"), "distance")
 
 
 def hopkins(points: DataFrame, id_col: str, columns: Sequence[str], sample: int = 1_000, seed: int = 100) -> float:

@@ -279,8 +279,8 @@ def dbscan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ward_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rows; over density.MAX_SAMPLE rows raise."""
-    return density.sampled_labels(vectors(spark, sf_dir, 4), "vec_id", D4, "ward", k=4)
+    """All rows, whatever their number."""
+    return density.ward(vectors(spark, sf_dir, 4), "vec_id", D4, 4)
 
 
 @query()

@@ -68,16 +68,20 @@ def with_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.attach_metadata(features(spark, sf_dir), adapters.metadata(spark, sf_dir), "row")
 
 
-NAMES = ("changchun_pudong_507_009.zip", "Changchun_x.zip", "city_NR_12.zip", "xian_a_1.zip", "8_2_1.zip", "8_2_1(1).zip", "unrelated_report.zip", "8_2.zip", "a_nr_changchun_.zip")
+#: File names of the kinds that archives have, two that no rule fits among them, around the keys of a table.
+NAME_KINDS = (("changchun_", ".zip"), ("site_NR_", ".zip"), ("Xian_", ".v2.zip"), ("", "_2_1.zip"), ("", "_2_1(1).zip"), ("unrelated_report_", ".zip"), ("", "_2.zip"))
 
 
 @query(
-    f"""WITH names AS (SELECT unnest({list(NAMES)!r}) AS name), stems AS (SELECT name, replace(regexp_replace(name, '\\.[^.]*$', ''), '(1)', '') AS stem FROM names)
+    f"""WITH names AS (SELECT CASE s_suppkey % {len(NAME_KINDS)} {' '.join(f"WHEN {k} THEN '{a}' || s_suppkey || '{z}'" for k, (a, z) in enumerate(NAME_KINDS))} END AS name FROM supplier), stems AS (SELECT name, replace(regexp_replace(name, '\\.[^.]*$', ''), '(1)', '') AS stem FROM names)
     SELECT name, CASE WHEN lower(stem) LIKE 'changchun\\_%' ESCAPE '\\' THEN 'Changchun' WHEN lower(stem) LIKE '%\\_nr\\_%' ESCAPE '\\' THEN 'Chongqing' WHEN lower(stem) LIKE 'xian\\_%' ESCAPE '\\' THEN 'Xi''an' WHEN regexp_full_match(stem, '[0-9]+_[0-9]+_[0-9]+') THEN 'Tianjin' END AS city,
       CASE WHEN lower(stem) LIKE 'changchun\\_%' ESCAPE '\\' OR lower(stem) LIKE '%\\_nr\\_%' ESCAPE '\\' OR lower(stem) LIKE 'xian\\_%' ESCAPE '\\' OR regexp_full_match(stem, '[0-9]+_[0-9]+_[0-9]+') THEN stem END AS recording_id FROM stems"""
 )
 def archive_name_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return name_rules(spark.createDataFrame([(n,) for n in NAMES], "name string"), "name")
+    """The name rules over file names made from the supplier keys."""
+    key = F.col("s_suppkey")
+    names = F.coalesce(*[F.when(key % len(NAME_KINDS) == k, F.concat(F.lit(a), key.cast("string"), F.lit(z))) for k, (a, z) in enumerate(NAME_KINDS)])
+    return name_rules(table(spark, sf_dir, "supplier").select(names.alias("name")), "name")
 
 
 @query("WITH " + CARS_SQL + (f" SELECT city, recording_id, track_id, frame_id, stopped, {r('speed', 'speed_sq=speed * speed', 'a_lon_sq=a_lon * a_lon')} FROM cars"))

@@ -20,6 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from kinetra.functions.quantiles import checkpointed
 
@@ -27,6 +28,8 @@ from kinetra.functions.quantiles import checkpointed
 GRID_DIMS = 3
 #: Pairs of parts with at most so many pairs of points are compared point by point.
 SMALL_PRODUCT = 1_024
+#: Links that the driver unites at once.
+FEW_LINKS = 50_000
 
 
 def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -87,10 +90,38 @@ def _spread(table: DataFrame, grid: list[str]) -> DataFrame:
     return table
 
 
+def _few_components(cells: DataFrame, links: DataFrame) -> DataFrame:
+    """`components` for at most FEW_LINKS links, which the driver unites."""
+    rows = links.join(cells.select(F.col("cell").alias("a"), "root"), "a").select("a", "b", "root").collect()
+    up = {r.a: r.a for r in rows}
+
+    def top(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for r in rows:
+        if top(r.a) != top(r.b):
+            up[top(r.a)] = top(r.b)
+    least: dict = {}
+    for r in rows:
+        t = top(r.a)
+        least[t] = min(least.get(t, r.root), r.root)
+    kinds = StructType([StructField("cell", cells.schema["cell"].dataType), StructField("_least", cells.schema["root"].dataType)])
+    table = cells.sparkSession.createDataFrame([(c, least[top(c)]) for c in up], kinds)
+    return cells.join(F.broadcast(table), "cell", "left").select("cell", F.coalesce("_least", "root").alias("root"))
+
+
 def components(cells: DataFrame, links: DataFrame, max_rounds: int | None = None) -> DataFrame:
-    """(cell, root): the least `root` of the cells that are linked, by rounds of least labels with hops. cells: (cell, root); links: (a, b), both ways."""
-    labels, rounds = checkpointed(cells.select("cell", "root")), 0
+    """(cell, root): the least `root` of the cells that are linked. cells: (cell, root); links: (a, b), both ways.
+
+    Rounds of least labels with hops; at most FEW_LINKS links, where no number of rounds is asked for, need none.
+    """
     links = checkpointed(links)
+    if max_rounds is None and links.limit(FEW_LINKS + 1).count() <= FEW_LINKS:
+        return _few_components(cells, links)
+    labels, rounds = checkpointed(cells.select("cell", "root")), 0
     while True:
         if rounds == max_rounds:
             raise RuntimeError(f"labels did not settle in {max_rounds} rounds")

@@ -44,6 +44,8 @@ def made(kind, dims, rng):
 @pytest.mark.parametrize(("kind", "dims", "eps", "least"), [("blobs", 2, 0.5, 5), ("grid", 2, 1.0, 3), ("repeats", 3, 1.2, 10), ("rings", 2, 0.5, 4), ("rings", 2, 0.905, 40), ("blobs", 4, 0.9, 8)])
 def test_cells_label_as_plain_dbscan(spark, monkeypatch, kind, dims, eps, least):
     monkeypatch.setattr(cells, "SMALL_PRODUCT", 4)  # so that parts are halved, too
+    if kind == "blobs":
+        monkeypatch.setattr(cells, "FEW_LINKS", 0)  # and labels spread in rounds
     x = made(kind, dims, np.random.default_rng(dims))
     assert labels(spark, x, eps, least) == plain(x, eps, least)
 

@@ -32,7 +32,7 @@ SMALL_PRODUCT = 1_024
 FEW_LINKS = 50_000
 
 
-def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
+def numbered(df: DataFrame, column: str, name: str, kind: str = "int") -> DataFrame:
     """df with `name`: 0, 1, ... in the order of a column of distinct values, by range partitions and their offsets."""
     parts = checkpointed(df.repartitionByRange(column).withColumn("_p", F.spark_partition_id()))
     sizes = {r["_p"]: r["count"] for r in parts.groupBy("_p").count().collect()}  # one row for each partition
@@ -42,7 +42,7 @@ def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
         total += sizes[p]
     offset = F.broadcast(df.sparkSession.createDataFrame(offsets, "_p int, _at long"))
     place = F.row_number().over(W.partitionBy("_p").orderBy(column)) - 1
-    return parts.withColumn("_r", place).join(offset, "_p").withColumn(name, (F.col("_at") + F.col("_r")).cast("int")).drop("_p", "_at", "_r")
+    return parts.withColumn("_r", place).join(offset, "_p").withColumn(name, (F.col("_at") + F.col("_r")).cast(kind)).drop("_p", "_at", "_r")
 
 
 def _norm(parts: list[Column]) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinetra.functions.quantiles import placed
+from kinetra.functions.quantiles import checkpointed, placed
 
 #: The 97.5 % point of the normal distribution.
 Z_95 = 1.959963984540054
@@ -22,17 +22,27 @@ def average_rank(value: str, partition: Sequence[str] = ()) -> Column:
     return F.rank().over(base.orderBy(value)) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
 
 
-def ranked(df: DataFrame, values: Sequence[str], suffix: str = "_rank") -> DataFrame:
-    """df with the average rank of each value column, for tables of any size.
+def rank_rows(df: DataFrame, values: Sequence[str], suffix: str = "_rank") -> tuple[DataFrame, DataFrame]:
+    """(df with a number `_row`, `_row` and the average rank of each numeric value column as a double), for tables of any size.
 
-    Distinct values are counted first; ranks follow from running sums inside range partitions plus the totals of the
-    partitions before, so no single task sees all rows. Nulls rank as null.
+    All columns share one layout of (column, value) counts, so the number of exchanges does not grow with the columns. Ranks come
+    back to the rows by a join; values that hold over a thousandth of a column, under a thousand of them, are sent to the rows
+    instead, so no task sees all copies of a frequent value. Nulls rank as null.
     """
-    src = df
-    for v in values:
-        at = placed(src.select(v).where(F.col(v).isNotNull()), [], v)
-        df = df.join(at.select(v, (F.col("before") + (F.col("n") + 1) / 2.0).alias(v + suffix)), v, "left")
-    return df
+    table = checkpointed(df.withColumn("_row", F.monotonically_increasing_id()))  # written, so that a retried task numbers no row anew
+    items = F.array(*[F.struct(F.lit(k).alias("_f"), F.col(v).cast("double").alias("_v")) for k, v in enumerate(values)])
+    long = table.select("_row", F.explode(items).alias("x")).select("_row", "x.*").where("_v IS NOT NULL")
+    at = checkpointed(placed(long, ["_f"], "_v").select("_f", "_v", (F.col("n") * 1_000 > F.col("total")).alias("_hot"), (F.col("before") + (F.col("n") + 1) / 2.0).alias("_r")))
+    marked = long.join(F.broadcast(at.where("_hot").select("_f", "_v", "_r")), ["_f", "_v"], "left")
+    rare = marked.where("_r IS NULL").drop("_r").join(at.where("NOT _hot").select("_f", "_v", "_r"), ["_f", "_v"])
+    ranks = marked.where("_r IS NOT NULL").unionByName(rare).groupBy("_row").agg(*[F.max(F.when(F.col("_f") == k, F.col("_r"))).alias(v + suffix) for k, v in enumerate(values)])
+    return table, ranks
+
+
+def ranked(df: DataFrame, values: Sequence[str], suffix: str = "_rank") -> DataFrame:
+    """df with the average rank of each value column, as in `rank_rows`."""
+    table, ranks = rank_rows(df, values, suffix)
+    return table.join(ranks, "_row", "left").drop("_row")
 
 
 def percentile_rank(value: str, lower_is_better: bool = False) -> Column:

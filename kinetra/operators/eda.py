@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetra.functions.quantiles import checkpointed, medians, percentiles, quantiles
-from kinetra.functions.stats import ranked
+from kinetra.functions.quantiles import medians, percentiles, quantiles
+from kinetra.functions.stats import rank_rows
 
 PERCENTS = (0.01, 0.05, 0.25, 0.50, 0.75, 0.95, 0.99)
 
@@ -57,7 +57,7 @@ def iqr_outliers(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def spearman(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Long matrix (feature_a, feature_b, rho) of rank correlations."""
-    table = ranked(checkpointed(df.select(*features)), features)
+    _, table = rank_rows(df.select(*features), features)
     pairs = [(a, b) for a in features for b in features]
     row = table.agg(*[F.corr(f"{a}_rank", f"{b}_rank").alias(f"{a}__{b}") for a, b in pairs])
     items = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"{a}__{b}").alias("rho")) for a, b in pairs]

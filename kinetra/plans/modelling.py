@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinetra.config import CONTINUOUS_FEATURES, CORE_FEATURES, SPECS
 from kinetra.functions.quantiles import checkpointed, quantiles
 from kinetra.operators import cluster, density, eda, neighbours, partition, preprocess, sampling
+from kinetra.operators.mixture import gaussian_mixtures
 from kinetra.plans.registry import query, r, rounded
 from kinetra.plans.trajectory import FEAT_SQL, eta_sql, features
 from kinetra.sources.adapters import table, vectors, vectors_sql
@@ -253,11 +254,8 @@ def minibatch_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def gaussian_mixture_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir, 4)
-    rows = []
-    for k in range(2, 7):
-        m = cluster.gaussian_mixture(v, D4, k)
-        rows.append((k, m.log_likelihood, m.aic, m.bic))
-    return spark.createDataFrame(rows, "k int, log_likelihood double, aic double, bic double").select("k", *[F.round(x, 2).alias(x) for x in ("log_likelihood", "aic", "bic")])
+    rows = [(k, m.log_likelihood, m.aic, m.bic, m.converged) for k, m in gaussian_mixtures(v, D4, range(2, 7), restarts=2).items()]
+    return spark.createDataFrame(rows, "k int, log_likelihood double, aic double, bic double, converged boolean").select("k", *[F.round(x, 2).alias(x) for x in ("log_likelihood", "aic", "bic")], "converged")
 
 
 EPS, MIN_SAMPLES = 0.12, 5

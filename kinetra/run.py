@@ -22,6 +22,7 @@ from kinetra.config import CORE_FEATURES, SPECS, EvaluationConfig, QualityConfig
 from kinetra.functions.quantiles import medians
 from kinetra.functions.text import slug
 from kinetra.operators import cluster, density, eda, interpret, kinematics, metadata, neighbours, partition, predictability, quality, sampling, selection, validation
+from kinetra.operators.mixture import gaussian_mixtures
 from kinetra.operators.preprocess import Preprocessor
 from kinetra.sources import archives
 
@@ -186,16 +187,15 @@ def compare_models(store: Store, config: RunConfig, source: str) -> None:
         df = store.put("labels_now", df)
         q = _quality(df, columns, config.benchmark_silhouette)
         eta = eda.eta_squared(df.where("label >= 0").select(KEY, "label").join(store.table("features").select(KEY, *CORE_FEATURES), KEY), "label", CORE_FEATURES).agg(F.avg("eta_squared"), F.max("eta_squared"), F.count_if(F.col("eta_squared") >= 0.10)).first() if q["n_clusters"] else (None, None, 0)
-        rows.append((family, name, q["n_clusters"], q["silhouette"], q["davies_bouldin"], q["calinski_harabasz"], q["entropy"], q["coverage_pct"], q["noise_pct"], q["minimum_cluster_share"], *eta, more.get("inertia"), more.get("bic"), more.get("aic")))
+        rows.append((family, name, q["n_clusters"], q["silhouette"], q["davies_bouldin"], q["calinski_harabasz"], q["entropy"], q["coverage_pct"], q["noise_pct"], q["minimum_cluster_share"], *eta, more.get("inertia"), more.get("bic"), more.get("aic"), more.get("converged")))
 
     for (k, _), model in cluster.kmeans_runs(scores, columns, config.ks, config.restarts, [42]).items():
         add("KMeans", f"kmeans_k{k}", model.predict(scores), inertia=model.inertia)
     for k in config.ks:
         model = cluster.minibatch_kmeans(scores, columns, k)
         add("MiniBatchKMeans", f"minibatch_k{k}", model.predict(scores), inertia=model.inertia)
-    for k in config.mixture_ks:
-        model = cluster.gaussian_mixture(scores, columns, k)
-        add("GaussianMixture", f"gmm_k{k}", model.predict(scores), bic=model.bic, aic=model.aic)
+    for k, model in gaussian_mixtures(scores, columns, config.mixture_ks, restarts=2).items():
+        add("GaussianMixture", f"gmm_k{k}", model.predict(scores), bic=model.bic, aic=model.aic, converged=model.converged)
     numbered = scores.withColumn("_i", F.xxhash64(KEY))
     few = store.put("ward_sample", sampling.stratified_sample(numbered, "city", KEY, config.ward_sample, 42))
     for k in config.ward_ks:
@@ -210,7 +210,7 @@ def compare_models(store: Store, config: RunConfig, source: str) -> None:
                 add("DBSCAN", f"dbscan_m{least}_q{q:.2f}", some.join(density.dbscan(some, "_i", columns, eps, least), "_i"))
     for size, least in config.hdbscan:
         add("HDBSCAN", f"hdbscan_{size}_{least}", some.join(density.sampled_labels(some, "_i", columns, "hdbscan", min_cluster_size=size, min_samples=least), "_i"))
-    benchmark = store.put("model_benchmark", _rows(store, rows, "model_family string, config_name string, n_clusters long, silhouette double, davies_bouldin double, calinski_harabasz double, entropy double, coverage_pct double, noise_pct double, minimum_cluster_share double, mean_feature_eta_squared double, max_feature_eta_squared double, separated_features long, inertia double, bic double, aic double"), report=True)
+    benchmark = store.put("model_benchmark", _rows(store, rows, "model_family string, config_name string, n_clusters long, silhouette double, davies_bouldin double, calinski_harabasz double, entropy double, coverage_pct double, noise_pct double, minimum_cluster_share double, mean_feature_eta_squared double, max_feature_eta_squared double, separated_features long, inertia double, bic double, aic double, converged boolean"), report=True)
     store.put("family_leaderboard", selection.family_leaderboard(benchmark), report=True)
 
 

@@ -8,7 +8,8 @@ import pytest
 
 from kinetra.config import ValidationConfig
 from kinetra.operators import validation
-from kinetra.operators.cluster import Centres, Mixture, gaussian_mixture
+from kinetra.operators.cluster import Centres
+from kinetra.operators.mixture import Mixture, gaussian_mixture
 from kinetra.run import RunConfig, Store, run
 from kinetra.sources import archives
 

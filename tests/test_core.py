@@ -132,7 +132,11 @@ def test_published_rates_and_attention(spark):
 
 
 def test_published_gate(spark):
-    got = {r.pipeline: (r.passes_gate, r.gated_score) for r in plans.stability_gate(spark, "").collect()}
+    names = "pipeline string, k int, silhouette double, davies_bouldin double, minimum_cluster_share double, balanced_accuracy_mean double"
+    rows = [("C_winsor_robust", 2, 0.49, 0.98, 0.099, 0.43), ("A_winsor_standard", 3, 0.34, 1.19, 0.156, 0.44), ("B_raw_robust", 2, 0.54, 0.97, 0.091, 0.43)]
+    runs = [(p, k, a, s) for p, k, aris, s in (("C_winsor_robust", 2, (0.957, 0.984, 0.99), 0.093), ("A_winsor_standard", 3, (0.966, 0.989, 0.99), 0.144), ("B_raw_robust", 2, (0.0009, 0.79, 0.99), 5e-05)) for a in aris]
+    boot = selection.bootstrap_summary(spark.createDataFrame(runs, "pipeline string, k int, ari double, min_cluster_share double"))
+    got = {r.pipeline: (r.passes_gate, r.gated_score) for r in selection.gated_selection(spark.createDataFrame(rows, names).join(boot, ["pipeline", "k"], "left")).collect()}
     passed, score = got["C_winsor_robust"]
     assert passed and 0 < score <= 1
     assert got["B_raw_robust"] == (False, -1.0)

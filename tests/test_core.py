@@ -12,12 +12,22 @@ from kinetra.operators import density, eda, interpret, kinematics, metadata, par
 from kinetra.operators.cluster import kmeans, lloyd
 from kinetra.operators.neighbours import hopkins, nearest
 from kinetra.operators.preprocess import Preprocessor
-from kinetra.plans import interpretation as plans
 from kinetra.sources import archives
 
 COLS = "city string, recording_id string, track_id long, frame_id long, timestamp_ms double, agent_type string, x double, y double, vx double, vy double, a_lon double"
 
 
+#: Published medians of the four profiles and their violation counts.
+MEDIANS = (
+    (1, "Smooth and Steady", 9.368795226521748, 1.19574491654536, 0.993201178794218, 0.7994816796120692, 0.4894741734914121, 0.436294856536635, 0.0, 0.0),
+    (2, "Stop-and-Go", 9.88294642337032, 2.9281152072196, 1.7898308201423896, 1.7215077675652835, 0.6491265716549842, 0.36063476630204805, 1.0, 0.5908743927827897),
+    (3, "Dynamic Speed Adjustment", 10.863837045178915, 2.097874415447933, 1.9552101084808835, 1.9265019839956028, 0.9677535129264199, 0.7804290222704376, 0.0, 0.0),
+    (4, "Acceleration-Intensive", 10.70490250106372, 1.910058945888431, 6.843118200006463, 2.1842736689257145, 1.5290667540682843, 1.1111709449200204, 0.0, 0.0),
+)
+MEDIAN_COLS = "profile_id int, profile_name string, max_speed_mps double, speed_std_mps double, max_acceleration_mps2 double, max_deceleration_mps2 double, acceleration_std_mps2 double, mean_abs_jerk_mps3 double, observed_stop_transition_count double, stopped_time_ratio double"
+VIOLATIONS = ((1, 2527, 91), (2, 1127, 11), (3, 633, 26), (4, 246, 10))
+
+
 def frames(spark, rows):
     return spark.createDataFrame([("c", rec, t, f, ts, a, x, 0.0, v, 0.0, acc) for rec, t, f, ts, a, x, v, acc in rows], COLS)
 
@@ -106,7 +116,7 @@ def counts(spark, rows):
 
 
 def test_published_contingency_figures(spark):
-    v = [(k, n, x) for k, n, x in plans.VIOLATIONS]
+    v = [(k, n, x) for k, n, x in VIOLATIONS]
     cells = counts(spark, [(k, side, c) for k, n, x in v for side, c in (("yes", x), ("no", n - x))])
     row = interpret.chi_square(cells, "a", "b").first()
     assert row.chi_square == pytest.approx(22.279530381696514, rel=1e-9) and row.dof == 3 and row.cramers_v == pytest.approx(0.06522225793762113, rel=1e-9)
@@ -121,10 +131,10 @@ def test_published_contingency_figures(spark):
 
 
 def test_published_rates_and_attention(spark):
-    v = interpret.rates(spark.createDataFrame(plans.VIOLATIONS, "profile_id int, trajectories long, violations long"), ["profile_id"])
+    v = interpret.rates(spark.createDataFrame(VIOLATIONS, "profile_id int, trajectories long, violations long"), ["profile_id"])
     got = {r.profile_id: r for r in v.collect()}
     assert (got[1].wilson_lower, got[1].wilson_upper, got[1].relative_to_overall) == pytest.approx((0.02942238340405992, 0.04400831616543875, 1.1828857039624234))
-    a = {r.profile_id: r for r in interpret.attention_matrix(spark.createDataFrame(plans.MEDIANS, plans.MEDIAN_COLS), v).collect()}
+    a = {r.profile_id: r for r in interpret.attention_matrix(spark.createDataFrame(MEDIANS, MEDIAN_COLS), v).collect()}
     assert [a[k].dynamic_maneuver_priority for k in (1, 2, 3, 4)] == [31.25, 43.75, 75.0, 100.0]
     assert [a[k].signal_queue_priority for k in (1, 2, 3, 4)] == [50.0, 100.0, 50.0, 50.0]
     assert [a[k].speed_adjustment_priority for k in (1, 2, 3, 4)] == pytest.approx([25.0, 66.6666667, 83.3333333, 75.0])

@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import numpy as np
 
-#: No pair of bytes of UTF-8 text; it marks a string whose symbols are all in.
+#: Marks a string whose symbols are all in; names of blocks are below it.
 END = 65_535
+#: Bytes of a block that is one symbol. A block of one byte always has names enough.
+BLOCKS = (10, 8, 5, 4, 2, 1)
 
 
 def _minimum_table(values: np.ndarray, longest: int) -> np.ndarray:
@@ -62,7 +64,8 @@ def collection_bwt(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         has_after = (new_at + 1 < len(order)) & (bwt[order[after]] == bwt[parent])
         from_before, to_after = order[before[has_before]] + 1, order[after[has_after]] + 1
         upto, since = parent[has_before] + 1, parent[has_after] + 1
-        table = _minimum_table(lcp, max((upto - from_before).max(initial=1), (to_after - since).max(initial=1)))
+        lo, hi = np.concatenate([from_before, since]), np.concatenate([upto, to_after])
+        least = 1 + _range_minimum(_minimum_table(lcp, (hi - lo).max(initial=1)), lo, hi)
         size = k + len(order)
         old = np.ones(size, dtype=bool)
         old[k + new_at] = False
@@ -70,9 +73,9 @@ def collection_bwt(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         new_bwt[old], new_lcp[old] = bwt, lcp
         new_bwt[k + new_at] = symbols[whose, j]
         head = np.zeros(len(new_at), dtype=np.uint8)
-        head[has_before] = 1 + _range_minimum(table, from_before, upto)
+        head[has_before] = least[: len(upto)]
         new_lcp[k + new_at] = head
-        new_lcp[k + new_at[has_after] + 1] = 1 + _range_minimum(table, since, to_after)
+        new_lcp[k + new_at[has_after] + 1] = least[len(upto) :]
         bwt, lcp, fresh, owner = new_bwt, new_lcp, k + new_at, whose
     return bwt, lcp
 
@@ -93,46 +96,61 @@ def suffix_rows(bwt: np.ndarray, k: int, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def byte_pairs(texts: list[bytes], shift: int) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, lengths): each text less its last `shift` bytes, as big-endian byte pairs counted from its end; an odd first byte is left out."""
-    joined = np.frombuffer(b"".join(texts), dtype=np.uint8)
+def block_names(texts: bytes, width: int) -> tuple[np.ndarray, int]:
+    """(names, how many): the rank, in byte order, of the `width` bytes from each position among all that occur; zeros follow the end. A width over 8 is even and is named by the names of its halves."""
+    if width > 8:
+        half, n = block_names(texts + bytes(width // 2), width // 2)
+        value = half[: len(texts)].astype(np.uint64) * np.uint64(n) + half[width // 2 :].astype(np.uint64)
+    else:
+        padded = np.frombuffer(texts + bytes(8), dtype=np.uint8)
+        value = np.ndarray((len(texts),), dtype=">u8", buffer=padded, strides=(1,)).astype(np.uint64) >> np.uint64(64 - 8 * width)
+    found, names = np.unique(value, return_inverse=True)
+    return names, len(found)
+
+
+def block_symbols(texts: list[bytes], window: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(width, symbols, lengths): row shift * k + i holds text i less its last `shift` bytes, as named blocks of `width` bytes counted from its end; first bytes that fill no block are left out.
+
+    The width is the largest of BLOCKS that divides the window and needs no more names than symbols hold.
+    """
     sizes = np.array([len(t) for t in texts])
-    lengths = np.maximum(sizes - shift, 0) // 2
-    last = np.cumsum(sizes) - shift - 1
-    symbols = np.full((len(texts), int(lengths.max()) + 1), END, dtype=np.uint16)
-    i, j = np.nonzero(np.arange(symbols.shape[1]) < lengths[:, None])
-    at = last[i] - 2 * j
-    symbols[i, j] = joined[at - 1].astype(np.uint16) << 8 | joined[at]
-    return symbols, lengths
+    joined = b"".join(texts)
+    for width in (w for w in BLOCKS if window % w == 0):
+        names, n = block_names(joined, width)
+        if n <= END:
+            break
+    shift = np.arange(width)[:, None]
+    lengths = np.maximum(sizes - shift, 0) // width
+    column = np.arange(int(lengths.max()) + 1)
+    at = (np.cumsum(sizes) - shift)[:, :, None] - width * (column + 1)
+    symbols = np.where(column < lengths[:, :, None], names.astype(np.uint16)[at], np.uint16(END))
+    return width, symbols.reshape(-1, len(column)), lengths.ravel()
 
 
 def least_owner_of_windows(texts: list[bytes], owners: np.ndarray, window: int) -> np.ndarray:
-    """Entry [i, s] is the least owner of any text that contains the `window` bytes at s of text i; the largest int64 where there is no such window. window is even.
+    """Entry [i, s] is the least owner of any text that contains the `window` bytes at s of text i; the largest int64 where there is no such window.
 
-    Symbols are byte pairs, so each text goes in twice, once less its last byte: every byte starts a suffix of one of the
-    two, and the rounds are half as many.
+    Symbols are blocks of bytes, so each text goes in once for each byte of a block, less its last 0, 1, ... bytes: every byte
+    starts a suffix of one of them, and the rounds are as many times fewer.
     """
     none = np.iinfo(np.int64).max
     if not texts:
         return np.full((0, 0), none)
     sizes = np.array([len(t) for t in texts])
     k = len(texts)
-    (a, na), (b, nb) = byte_pairs(texts, 0), byte_pairs(texts, 1)
-    symbols = np.full((2 * k, a.shape[1]), END, dtype=np.uint16)
-    symbols[:k], symbols[k:, : b.shape[1]] = a, b
-    lengths = np.concatenate([na, nb])
+    width, symbols, lengths = block_symbols(texts, window)
     bwt, lcp = collection_bwt(symbols)
-    rows = suffix_rows(bwt, 2 * k, lengths)
-    half = window // 2
-    i, j = np.nonzero(rows[:, half:] >= 0)
-    j += half
+    rows = suffix_rows(bwt, width * k, lengths)
+    need = window // width
+    i, j = np.nonzero(rows[:, need:] >= 0)
+    j += need
     at = rows[i, j]
     text = i % k
-    start = sizes[text] - i // k - 2 * j
+    start = sizes[text] - i // k - width * j
     owner = np.full(len(bwt), none)
     owner[at] = owners[text]
-    starts = np.flatnonzero(lcp < half)  # row 0 always starts a group
-    group = np.cumsum(lcp < half) - 1
+    starts = np.flatnonzero(lcp < need)  # row 0 always starts a group
+    group = np.cumsum(lcp < need) - 1
     least = np.minimum.reduceat(owner, starts)
     out = np.full((k, max(1, int(sizes.max()) - window + 1)), none)
     out[text, start] = least[group[at]]

@@ -3,8 +3,9 @@
 A collection-wide transform is built in independent parts. Every window of `window` bytes has an anchor, the least hash
 among its runs of ANCHOR bytes, so equal windows have equal anchors and fall into the same part wherever they occur.
 Neighbouring windows with one anchor form a segment of at most 76 bytes. In each part the distinct segments are put
-through the column-wise construction (column_bwt), at most 76 rounds, and rows whose common prefix is `window` or more
-are the places of one repeated string; the least document id among them owns it.
+through the column-wise construction (column_bwt), at most 8 rounds of ten bytes, and rows whose common prefix is `window` or
+more are the places of one repeated string; the least document id among them owns it. Parts are small, so that their columns stay
+in the processor's cache; Spark deals groups of many, and a task cuts its group into parts by further bits of the anchor.
 
 Before that, anchors are counted in packed blocks, five bytes of hash each: a segment whose anchor is in one document
 only can repeat in no other and is left out. A collision can only let a segment in, never keep one out. The numbers of an
@@ -37,6 +38,10 @@ WINDOW = 50
 ANCHOR = 24
 #: Bytes of text that one vectorised step takes; a longer document is one step.
 STEP_BYTES = 2_000_000
+#: Bytes of segments that one construction takes, about, and that a task holds before it packs them. One row for each group of parts
+#: and HELD_BYTES: with groups of part_bytes and rows for each step, the rows grew with the square of the input.
+BUILT_BYTES = 50_000
+HELD_BYTES = 16_000_000
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -233,28 +238,43 @@ def _chosen(texts: list[bytes], rows: list[dict], window: int, which: str) -> tu
     return doc[pick], start[pick], n[pick], anchor[pick]
 
 
-def _segment_blocks(texts: DataFrame, window: int, parts: int) -> DataFrame:
-    """(part, texts, sizes, keys, hashes, starts): packed distinct-by-place segments of the uncrowded candidates."""
+def _segment_blocks(texts: DataFrame, window: int, groups: int, parts: int) -> DataFrame:
+    """(part, texts, meta): packed distinct-by-place segments of the uncrowded candidates, a row for each of `groups` groups of `parts` parts and each HELD_BYTES of segments. The meta are size, start, k, h and the part within the group."""
     names = ["k", "h", "t", "ords"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("part", pa.int32()), ("texts", pa.binary()), ("meta", pa.binary())])
+        pieces, metas, size = [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            meta, out = np.concatenate(metas, axis=1), []
+            for group, at in _split_by(meta[0]):
+                joined = b"".join([pieces[x] for x in at.tolist()])
+                out.append((group, zstandard.ZstdCompressor(level=1).compress(joined), _pack(meta[1:, at])))
+                if len(out) >= 200:
+                    yield _rows(out, schema)
+                    out = []
+            if out:
+                yield _rows(out, schema)
+
         for batch in batches:
             rows = batch.to_pylist()
             for held, some in _steps([r["t"] for r in rows], rows):
                 doc, start, n, anchor = _chosen(held, some, window, "ords")
+                if not len(doc):
+                    continue
                 keys, hashes = (np.array([r[c] for r in some], dtype=np.int64) for c in ("k", "h"))
-                out = []
-                for part, at in _split_by((anchor & np.uint64(0xFFFFFF)).astype(np.int64) % parts):
-                    stop = start[at] + n[at] + window - 1
-                    joined = b"".join([held[d][s:e] for d, s, e in zip(doc[at].tolist(), start[at].tolist(), stop.tolist(), strict=True)])
-                    meta = np.concatenate([stop - start[at], start[at], keys[doc[at]], hashes[doc[at]]])
-                    out.append((part, zstandard.ZstdCompressor(level=1).compress(joined), _pack(meta)))
-                    if len(out) >= 2000:
-                        yield _rows(out, schema)
-                        out = []
-                if out:
-                    yield _rows(out, schema)
+                stop = start + n + window - 1
+                pieces += [held[d][s:e] for d, s, e in zip(doc.tolist(), start.tolist(), stop.tolist(), strict=True)]
+                group = (anchor & np.uint64(0xFFFFFF)).astype(np.int64) % groups
+                part = (anchor >> np.uint64(24)).astype(np.int64) % parts
+                metas.append(np.stack([group, stop - start, start, keys[doc], hashes[doc], part]))
+                size += int((stop - start).sum())
+                if size > HELD_BYTES:
+                    yield from flush()
+                    pieces, metas, size = [], [], 0
+        if metas:
+            yield from flush()
 
     return texts.select(*names).mapInArrow(run, "part int, texts binary, meta binary")
 
@@ -305,27 +325,28 @@ def _owned_spans(blocks: DataFrame, window: int, parts: int) -> DataFrame:
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for _, rows in _parts(batches):
-            number: dict[bytes, int] = {}
-            text_of, places = [], []
+            pieces, metas = [], []
             for row in rows:
                 joined = zstandard.ZstdDecompressor().decompress(row["texts"])
-                sizes, start, keys, hashes = _unpack(row["meta"], np.int64).reshape(4, -1)
-                stops = np.cumsum(sizes)
-                text_of.append(np.array([number.setdefault(joined[a:b], len(number)) for a, b in zip((stops - sizes).tolist(), stops.tolist(), strict=True)]))
-                places.append((start, keys, hashes))
-            text = np.concatenate(text_of)
-            start, keys, hashes = (np.concatenate(x) for x in zip(*places, strict=True))
-            owners = np.full(len(number), NO_ID)
-            np.minimum.at(owners, text, keys)
-            least = least_owner_of_windows(list(number), owners, window)
-            for lo in range(0, len(text), 100_000):
-                t, s, k, h = (x[lo : lo + 100_000] for x in (text, start, keys, hashes))
-                gone = np.zeros((len(t), least.shape[1] + 2), dtype=np.int8)
-                gone[:, 1:-1] = least[t] < k[:, None]
-                edge = np.diff(gone, axis=1)
-                i, first = np.nonzero(edge == 1)
-                _, last = np.nonzero(edge == -1)
-                yield k[i], h[i], s[i] + first, s[i] + last - 1 + window
+                metas.append(_unpack(row["meta"], np.int64).reshape(5, -1))
+                stops = np.cumsum(metas[-1][0])
+                pieces += [joined[a:b] for a, b in zip((stops - metas[-1][0]).tolist(), stops.tolist(), strict=True)]
+            _, start, keys, hashes, part = np.concatenate(metas, axis=1)
+            for _, at in _split_by(part):
+                number: dict[bytes, int] = {}
+                text = np.array([number.setdefault(pieces[x], len(number)) for x in at.tolist()])
+                owners = np.full(len(number), NO_ID)
+                np.minimum.at(owners, text, keys[at])
+                least = least_owner_of_windows(list(number), owners, window)
+                for lo in range(0, len(text), 100_000):
+                    t, here = text[lo : lo + 100_000], at[lo : lo + 100_000]
+                    s, k, h = start[here], keys[here], hashes[here]
+                    gone = np.zeros((len(t), least.shape[1] + 2), dtype=np.int8)
+                    gone[:, 1:-1] = least[t] < k[:, None]
+                    edge = np.diff(gone, axis=1)
+                    i, first = np.nonzero(edge == 1)
+                    _, last = np.nonzero(edge == -1)
+                    yield k[i], h[i], s[i] + first, s[i] + last - 1 + window
 
     return blocks.repartition("part").sortWithinPartitions("part").mapInArrow(lambda b: _span_blocks(found(b), parts), SPAN_BLOCK)
 
@@ -381,10 +402,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = _candidates(src, window, max(512, 8 * shuffled), crowd, max(64, 4 * shuffled))
     total = found.agg(F.sum(F.length("ords")).alias("n")).first().n or 0
-    parts = int(min(1 << 20, max(4 * shuffled, total // 4 * 64 // part_bytes)))
+    size = total // 4 * 64
+    groups = int(min(1 << 20, max(4 * shuffled, size // max(part_bytes, HELD_BYTES))))
+    parts = int(min(1 << 20, 1 + size // groups // min(part_bytes, BUILT_BYTES)))
     doc_parts = max(64, 2 * shuffled)
     held, _ = written(src.join(found, "k").select("k", "d", "h", "t", "ords", "crowded"), "anchored")
-    found_spans = _owned_spans(_segment_blocks(held, window, parts), window, doc_parts).unionByName(_crowded_spans(held, window, doc_parts))
+    found_spans = _owned_spans(_segment_blocks(held, window, groups, parts), window, doc_parts).unionByName(_crowded_spans(held, window, doc_parts))
     spans, _ = written(_merged(found_spans), "spans")
     with_spans = held.select("k", "d", "h", "t").join(spans, ["k", "h"])
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_text]

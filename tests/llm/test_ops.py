@@ -156,6 +156,34 @@ def test_column_construction_is_a_suffix_array():
     assert lcp.tolist() == shared
 
 
+@pytest.mark.parametrize("window, extra, width", [(50, 0, 10), (50, 900, 2), (32, 0, 8), (34, 0, 2)])
+def test_owners_of_windows_by_blocks(window, extra, width):
+    rng = random.Random(window)
+    whole = "".join(rng.choice("abcdefghijklmnop\u00e9 ") for _ in range(1_200)).encode()
+    texts = list({whole[(x := rng.randrange(len(whole) - 90)) : x + rng.randrange(window, 90)] for _ in range(60)} | {b"a" * 76, b"a" * 75})
+    texts += [rng.randbytes(45).hex().encode() for _ in range(extra)]  # more names than symbols hold
+    owners = np.array([rng.randrange(1_000) for _ in texts])
+    got_width, symbols, _ = column_bwt.block_symbols(texts, window)
+    assert got_width == width and symbols.shape[1] == 1 + max(map(len, texts)) // width
+    least = {}
+    for t, o in zip(texts, owners.tolist(), strict=True):
+        for s in range(len(t) - window + 1):
+            least[t[s : s + window]] = min(o, least.get(t[s : s + window], o))
+    got = column_bwt.least_owner_of_windows(texts, owners, window)
+    for i, t in enumerate(texts):
+        places = max(0, len(t) - window + 1)
+        assert got[i, :places].tolist() == [least[t[s : s + window]] for s in range(places)]
+        assert (got[i, places:] == suffix_dedup.NO_ID).all()
+
+
+def test_blocks_of_segments_do_not_grow_with_the_steps(spark):
+    rng = random.Random(2)
+    texts = [rng.randbytes(300_000).hex().encode() for _ in range(8)]  # 4.8 MB: three steps
+    ords = np.arange(600_000, dtype=np.int32).tobytes()
+    held = spark.createDataFrame([(k, k, bytearray(t), bytearray(ords)) for k, t in enumerate(texts)], "k long, h long, t binary, ords binary").coalesce(1)
+    assert suffix_dedup._segment_blocks(held, 50, 16, 4).groupBy("part").count().agg(F.max("count")).first()[0] <= 2
+
+
 def near(df):
     return {r.d: (r.fp & (1 << 64) - 1, r.component) for r in simhash_golay.near_duplicates(df).collect()}
 

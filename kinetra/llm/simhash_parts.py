@@ -17,7 +17,8 @@ probability of e^-0.89 = 0.41 at least, so a pair in reach shares fewer than two
 Equal sets are one class. The hub of a key is its most central class: the one whose keys have the most members (of near
 copies of one text that is the text itself). Within a key every class is compared with the hub; components follow, and only
 pairs that share a key and are not connected yet are compared after that: all of them in keys of at most `crowd` such
-classes. Classes of crowded keys meet on rare shingles: of two near sets of sizes n and o at least 4 (n + o) / 9 shingles are shared, so in
+classes. A pair in reach shares two keys, so one that shares no such key shares two crowded ones, and a class of one crowded key is
+done. The classes of more meet on rare shingles: of two near sets of sizes n and o at least 4 (n + o) / 9 shingles are shared, so in
 any one order of all shingles the first n - 4 (n + o) / 9 + 1 of one and the like of the other have one in common. The order is by
 frequency among the crowded classes, so texts that share a passage, or two, and have their own text besides meet nobody: their
 first shingles are their own. Frequencies only choose the order, which is right whatever they are, so a table of the most frequent
@@ -54,6 +55,8 @@ MAX_BROADCAST = 3_000_000
 #: Shingles whose frequency is known when classes of crowded keys meet: 16 bytes each in every executor.
 MAX_FREQUENT = 1_000_000
 FREQUENCY_SHIFT = 24
+#: Shingles that a task counts at a time, and those of one part when counts are summed (about).
+HELD_SHINGLES, COUNTED_SHINGLES = 2_000_000, 1_000_000
 #: Odd factors that mix hashes.
 MIX, SALT = np.uint64(0xD6E8FEB86659FD93), 0x9E3779B97F4A7C15
 
@@ -184,26 +187,86 @@ def _keyed_pairs(members: DataFrame) -> DataFrame:
     return _in_reach(members.withColumnRenamed("c", "a").join(right, "key").where("a < b AND root <> other").select("a", "b", "n", "o"))
 
 
-def _frequent(sets: DataFrame, scratch: _Scratch) -> tuple[np.ndarray, np.ndarray, bool]:
-    """The MAX_FREQUENT, at most, most frequent shingles of the sets (by the upper 40 bits of their hashes), sorted, how many sets have each, and whether these are all that two sets have."""
-    upper = sets.select(F.explode(F.transform("v", lambda x: F.shiftrightunsigned(x, FREQUENCY_SHIFT))).alias("t"))
-    counts = scratch.put(upper.groupBy("t").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "simhash-frequencies")
-    least, total, every = None, 0, True
-    for k, n in sorted(((r.k, r.n) for r in counts.groupBy("k").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("k")).limit(100_000).collect()), reverse=True):
-        total += n
-        if total > MAX_FREQUENT:
+def _counted(sets: DataFrame, parts: int) -> DataFrame:
+    """(keys, counts): the shingles (by the upper 40 bits of their hashes) that two sets or more have, and how many have each, packed in a row for each of `parts` parts. A task counts HELD_SHINGLES at a time and sends them packed."""
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            order = np.argsort(keys % np.uint64(parts), kind="stable")
+            keys, counts, part = keys[order], counts[order].astype(np.int64), (keys[order] % np.uint64(parts)).astype(np.int64)
+            cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            ends = [*cuts[1:].tolist(), len(part)]
+            packed = [[x[lo:hi].tobytes() for lo, hi in zip(cuts.tolist(), ends, strict=True)] for x in (keys, counts)]
+            return pa.RecordBatch.from_arrays([pa.array(part[cuts]), *(pa.array(x, pa.binary()) for x in packed)], ["part", "keys", "counts"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1_000):
+                values = batch.column(0).slice(at, 1_000).flatten().to_numpy(zero_copy_only=False)
+                if len(values):
+                    held.append(values.view(np.uint64) >> np.uint64(FREQUENCY_SHIFT))
+                    size += len(values)
+                if size >= HELD_SHINGLES:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    def summed(table: pa.Table) -> pa.Table:
+        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), dtype=np.uint64)
+        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), dtype=np.int64)
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        sums = np.add.reduceat(counts[order], first)
+        return pa.table({"keys": pa.array([keys[first][sums > 1].tobytes()], pa.binary()), "counts": pa.array([sums[sums > 1].tobytes()], pa.binary())})
+
+    sent = sets.select("v").mapInArrow(blocks, "part long, keys binary, counts binary")
+    return sent.groupBy("part").applyInArrow(summed, "keys binary, counts binary")
+
+
+def _frequent(sets: DataFrame, total: int, scratch: _Scratch) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The MAX_FREQUENT, at most, most frequent shingles of the sets, of `total` shingles in all (by the upper 40 bits of their hashes), sorted, how many sets have each, and whether these are all that two sets have."""
+    counted = scratch.put(_counted(sets, max(64, total // COUNTED_SHINGLES)), "simhash-frequencies")
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for counts in batch.column(0).to_pylist():
+                k, n = np.unique(np.frombuffer(counts, dtype=np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["k", "n"])
+
+    least, found, every = None, 0, True
+    by_size = counted.select("counts").mapInArrow(sizes, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    for k, n in sorted(((r.k, r.n) for r in by_size.orderBy(F.desc("k")).limit(100_000).collect()), reverse=True):
+        found += n
+        if found > MAX_FREQUENT:
             every = False
             break
         least = k
     if least is None:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), every
-    found = counts.where(F.col("k") >= least).orderBy("t").toArrow()
-    return found.column("t").to_numpy().view(np.uint64), found.column("k").to_numpy(), every and least == 2
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, counts = [], []
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                k = np.frombuffer(b, dtype=np.int64)
+                keys.append(np.frombuffer(a, dtype=np.uint64)[k >= least].tobytes())
+                counts.append(k[k >= least].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["keys", "counts"])
+
+    rows = counted.mapInArrow(chosen, "keys binary, counts binary").toArrow()
+    keys, counts = (np.frombuffer(b"".join(rows.column(c).to_pylist()), dtype=t) for c, t in (("keys", np.uint64), ("counts", np.int64)))
+    order = np.argsort(keys)
+    return keys[order], counts[order], every and least == 2
 
 
 def crowded_pairs(classes: DataFrame, sets: DataFrame, scratch: _Scratch) -> DataFrame:
     """(a, b, n, o): pairs of classes (c, n, root) with different roots that may be near, by the rarest shingles of their sets (c, v)."""
-    sent = classes.sparkSession.sparkContext.broadcast(_frequent(sets, scratch))
+    total = classes.agg(F.sum("n").alias("n")).first().n
+    sent = classes.sparkSession.sparkContext.broadcast(_frequent(sets, total, scratch))
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, every = sent.value
@@ -239,11 +302,11 @@ def crowded_pairs(classes: DataFrame, sets: DataFrame, scratch: _Scratch) -> Dat
 
 
 def unconnected_pairs(members: DataFrame, crowd: int, sets_of, scratch: _Scratch) -> DataFrame:
-    """(a, b, n, o): pairs of classes of (key, c, n, root) that have different roots and may be near, every near pair that shares a key among them."""
+    """(a, b, n, o): pairs of classes of (key, c, n, root) that have different roots and may be near, every near pair that shares two keys among them: one whose keys are all crowded has two crowded ones."""
     split = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi").select("key", (F.col("k") > crowd).alias("crowded"))
     left = scratch.put(members.join(split, "key"), "simhash-split")
     few = _keyed_pairs(left.where("NOT crowded"))
-    crowded = scratch.put(left.where("crowded").select("c", "n", "root").distinct(), "simhash-crowded")
+    crowded = scratch.put(left.where("crowded").groupBy("c", "n", "root").agg(F.count(F.lit(1)).alias("keys")).where("keys > 1").select("c", "n", "root"), "simhash-crowded")
     if not crowded.limit(1).count():
         return few.distinct()
     return few.unionByName(crowded_pairs(crowded, sets_of(crowded.select("c")), scratch)).distinct()

@@ -65,6 +65,60 @@ def test_pairs_at_the_threshold_share_a_key():
                 assert set(simhash_parts.part_keys(a)) & set(simhash_parts.part_keys(b))
 
 
+def test_pairs_at_the_threshold_share_two_keys():
+    rng = np.random.default_rng(4)
+    for n in (*range(1, 60), 100, 333, 1_000):
+        for _ in range(20):
+            pool = rng.integers(0, 1 << 63, 2 * n + 10, dtype=np.uint64) * np.uint64(2)
+            lost, grown = rng.integers(0, n // 5 + 1), rng.integers(0, n // 4 + 1)
+            a, b = np.unique(pool[:n]), np.unique(pool[lost : n + grown])
+            same = len(np.intersect1d(a, b))
+            if 5 * same >= 4 * (len(a) + len(b) - same) and len(a) + len(b) > 2 * same:
+                assert len(set(simhash_parts.part_keys(a)) & set(simhash_parts.part_keys(b))) > 1
+
+
+def sets_of(spark, sets):
+    return spark.createDataFrame([(c, list(v)) for c, v in enumerate(sets)], "c long, v array<long>")
+
+
+def test_shingles_are_counted_in_packed_rows(spark, monkeypatch):
+    rng = random.Random(4)
+    values = [rng.getrandbits(63) for _ in range(4_000)]
+    sets = [set(rng.choices(values, k=rng.randrange(200))) | {values[0]} for _ in range(300)] + [set()]
+    count = {}
+    for x in (x >> simhash_parts.FREQUENCY_SHIFT for v in sets for x in v):
+        count[x] = count.get(x, 0) + 1
+    df = sets_of(spark, sets)
+    assert simhash_parts._counted(df, 64).count() <= 64
+    scratch = simhash_parts._Scratch()
+    for most in (1_000_000, 100, 0):
+        monkeypatch.setattr(simhash_parts, "MAX_FREQUENT", most)
+        keys, counts, every = simhash_parts._frequent(df, sum(map(len, sets)), scratch)
+        got = dict(zip(keys.tolist(), counts.tolist(), strict=True))
+        assert every == (most == 1_000_000) and (keys[1:] > keys[:-1]).all()
+        if every:
+            assert got == {x: k for x, k in count.items() if k > 1}
+        else:
+            assert len(got) <= most and all(count[x] == k for x, k in got.items())
+            assert got == {x: k for x, k in count.items() if got and k >= min(got.values())}
+    scratch.drop()
+
+
+def test_classes_of_one_crowded_key_are_done(spark):
+    rows = [(1, c, 10, c) for c in range(6)] + [(2, c, 10, c) for c in range(3)]
+    wanted = []
+
+    def sets(chosen):
+        wanted.extend(sorted(r.c for r in chosen.collect()))
+        return sets_of(spark, [range(100 * c, 100 * c + 10) for c in range(6)])
+
+    scratch = simhash_parts._Scratch()
+    df = spark.createDataFrame(rows, "key long, c long, n long, root long")
+    assert simhash_parts.unconnected_pairs(df, 2, sets, scratch).count() == 0
+    assert wanted == [0, 1, 2]
+    scratch.drop()
+
+
 def test_stage_keeps_one_of_each_group(spark, sf_dir, made):
     want = groups(made)
     by_bits = brute.components({d: brute.fingerprint(t) for d, t in made})

@@ -53,7 +53,8 @@ def byte_letters() -> list[str]:
 class BpeCodec:
     """Encodes and decodes with the vocabulary and merges of a byte-level BPE file of the tokenizers library."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, max_pieces: int = MAX_PIECES, max_pairs: int = MAX_PAIRS):
+        self.max_pieces, self.max_pairs = max_pieces, max_pairs
         data = json.loads(spec)
         model = data["model"]
         if model["type"] != "BPE" or data.get("normalizer") or data["pre_tokenizer"]["type"] != "ByteLevel" or data["pre_tokenizer"].get("add_prefix_space") or model.get("ignore_merges"):
@@ -116,7 +117,7 @@ class BpeCodec:
     def compatible(self, a: int, b: int) -> bool:
         """Whether a and b stay apart."""
         known = not self._crossed(a, b, NEVER)
-        if len(self.pairs) >= MAX_PAIRS:
+        if len(self.pairs) >= self.max_pairs:
             self.pairs.clear()
         self.pairs[a << 32 | b] = known
         return known
@@ -155,7 +156,7 @@ class BpeCodec:
         raw = piece.encode()
         ids = np.array(self.encode_piece(raw), dtype="<u4").tobytes()
         if len(raw) <= MAX_PIECE_BYTES:
-            if len(self.pieces) >= MAX_PIECES:
+            if len(self.pieces) >= self.max_pieces:
                 self.pieces.clear()
             self.pieces[piece] = ids
         return ids
@@ -183,14 +184,14 @@ def read_spec(path: str) -> str:
         return f.read()
 
 
-def encode_documents(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, keep_decoded: bool = True) -> DataFrame:
-    """(d, n_tokens, ids array<int>, ids_sha256, decoded, decoded_sha256); ids and the decoded text only where they are to be kept."""
+def encode_documents(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, keep_decoded: bool = True, max_pieces: int = MAX_PIECES, max_pairs: int = MAX_PAIRS) -> DataFrame:
+    """(d, n_tokens, ids array<int>, ids_sha256, decoded, decoded_sha256); ids and the decoded text only where they are to be kept. A worker stores max_pieces and max_pairs at most between texts."""
     src = docs.select(F.col(id_col).alias("d"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     sent = docs.sparkSession.sparkContext.broadcast(spec)
     names = ["d", "n_tokens", *["ids"] * keep_ids, "ids_sha256", *["decoded"] * keep_decoded, "decoded_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = held_once(sent.value, BpeCodec)
+        bpe = held_once(sent.value, lambda spec: BpeCodec(spec, max_pieces, max_pairs))
         for batch in batches:
             cols: dict[str, list] = {n: [] for n in names[1:]}
             start, size = 0, 0

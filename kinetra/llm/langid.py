@@ -44,6 +44,8 @@ UNDECIDED = "und"
 TRAIN_LETTERS = 32
 MAX_WORDS_KEPT = 150_000
 MAX_LETTERS_AT_ONCE = 500_000
+#: Distinct words that train together, however many Spark sends at a time.
+TRAIN_WORDS_AT_ONCE = 10_000
 MAX_LANGUAGES = 1_000
 #: Pseudo-count of each piece, and probability of a letter that no piece covers.
 SMOOTH = 0.1
@@ -179,6 +181,19 @@ def held_out(id_col: Column, folds: int = 5) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("null")).cast("binary")), F.lit(folds)) == 0
 
 
+def _joined(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The same rows in tables of at least `rows`, but for the last."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def train(labelled: DataFrame, pieces: list[str], lang_col: str = "lang", text_col: str = "text", max_train_docs: int = 5_000, rounds: int = 2) -> Model:
     """Fits the piece probabilities of each language; rows without text or language are ignored."""
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("t")).where("lang IS NOT NULL AND t IS NOT NULL")
@@ -230,7 +245,7 @@ def train(labelled: DataFrame, pieces: list[str], lang_col: str = "lang", text_c
         def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             langs, trie_, table = sent.value
             totals = np.zeros((len(langs), len(table) - 1))
-            for batch in batches:
+            for batch in _joined(batches, TRAIN_WORDS_AT_ONCE):
                 lang, word, count = np.array(batch.column(0).to_pylist()), batch.column(1).to_pylist(), batch.column(2).to_numpy().astype(float)
                 for k in np.flatnonzero(np.isin(langs, lang)).tolist():
                     own = np.flatnonzero(lang == langs[k])

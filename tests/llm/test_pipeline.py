@@ -3,10 +3,12 @@
 import brute
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from test_simhash_parts import groups
 
 from kinetra.llm import bpe_codec, langid, queries
+from kinetra.llm.common import BATCH_ROWS
 
 
 def test_pipeline(spark, sf_dir):
@@ -55,3 +57,37 @@ def test_stages_with_shared_and_missing_ids(spark, sf_dir):
     assert len(encoded) == len(rows) and {r.n_tokens for r in encoded if r.doc_id == 4} == {0}
     same_language = corpus_pipeline.identify_language(spark, df, sf_dir)
     assert sorted(same_language.columns) == sorted(corpus_pipeline.COLUMNS) and same_language.where("text IS NULL OR text = ''").count() == 0
+
+
+def test_stages_bound_what_python_holds(spark, sf_dir, monkeypatch):
+    """Texts go to Python at most 1,000 at a time, and the codec's stores keep to the pipeline's bounds."""
+    before = spark.conf.get(BATCH_ROWS)
+    wide = spark.range(4_000).coalesce(1).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"), F.lit(None).cast("string").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    try:
+        for stage in (corpus_pipeline.identify_language, corpus_pipeline.keep_one_of_each_group, corpus_pipeline.encode):
+            spark.conf.set(BATCH_ROWS, "10000")
+            stage(spark, wide.limit(0), sf_dir)
+            sizes = [r.n for r in wide.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long").collect()]
+            assert sum(sizes) == 4_000 and max(sizes) <= 1_000
+        spark.conf.set(BATCH_ROWS, "300")
+        corpus_pipeline.encode(spark, wide.limit(0), sf_dir)
+        assert spark.conf.get(BATCH_ROWS) == "300"
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
+    spec = bpe_codec.read_spec(queries.vocabulary_path(queries.BPE_FILE))
+    plain, small = bpe_codec.BpeCodec(spec), bpe_codec.BpeCodec(spec, 50, 40)
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(100).collect():
+        assert small.encode(r.text or "") == plain.encode(r.text or "") and len(small.pieces) <= 50 and len(small.pairs) <= 40
+    assert len(plain.pieces) > 50 and len(plain.pairs) > 40
+    asked = {}
+    monkeypatch.setattr(bpe_codec, "encode_documents", lambda docs, spec, **k: asked.update(k) or docs.withColumnRenamed("doc_id", "d"))
+    corpus_pipeline.encode(spark, wide, sf_dir)
+    assert asked["max_pieces"] <= 150_000 and asked["max_pairs"] <= 150_000
+
+
+def test_training_words_are_joined():
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + 3))], ["n"]) for k in range(0, 30, 3)]
+    joined = list(langid._joined(iter(batches), 8))
+    assert [t.num_rows for t in joined] == [9, 9, 9, 3] and [x for t in joined for x in t.column(0).to_pylist()] == list(range(30))
+    assert not list(langid._joined(iter([]), 8))

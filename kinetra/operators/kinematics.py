@@ -10,16 +10,20 @@ from kinetra.config import TRACK_KEY
 from kinetra.functions.text import strip, trajectory_uid
 
 
+def length(x: Column, y: Column) -> Column:
+    """sqrt(x * x + y * y), each step rounded as in SQL: `hypot` may differ in the last bit, and so on either side of a threshold."""
+    return F.sqrt(x * x + y * y)
+
+
 def is_car(agent_type: str = "agent_type") -> Column:
     return F.coalesce(F.lower(strip(F.col(agent_type))) == "car", F.lit(False))
 
 
 def car_frames(frames: DataFrame, stop_speed: float) -> DataFrame:
     """Car rows with speed, squares and the stop predicate."""
-    speed = F.hypot("vx", "vy")
     return (
         frames.where(is_car())
-        .withColumn("speed", speed)
+        .withColumn("speed", length(F.col("vx"), F.col("vy")))
         .withColumn("speed_sq", F.col("speed") * F.col("speed"))
         .withColumn("a_lon_sq", F.col("a_lon") * F.col("a_lon"))
         .withColumn("stopped", F.coalesce(F.col("speed") < stop_speed, F.lit(False)))

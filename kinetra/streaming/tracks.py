@@ -33,7 +33,8 @@ def _fold(s: dict[str, float], rows: pd.DataFrame, stop_speed: float) -> None:
     if rows.empty:
         return
     t, x, y, acc = (rows[c].to_numpy(dtype=float) for c in ("timestamp_ms", "x", "y", "a_lon"))
-    speed = np.hypot(rows.vx.to_numpy(dtype=float), rows.vy.to_numpy(dtype=float))
+    vx, vy = rows.vx.to_numpy(dtype=float), rows.vy.to_numpy(dtype=float)
+    speed = np.sqrt(vx * vx + vy * vy)  # as `kinematics.length`
     stopped = speed < stop_speed
     if s["frames"]:
         t, x, y, acc = (np.concatenate([[s[k]], v]) for k, v in (("last_ms", t), ("last_x", x), ("last_y", y), ("last_acc", acc)))

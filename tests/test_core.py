@@ -266,3 +266,11 @@ def test_every_registered_sql_has_a_query():
     assert set(catalogue.oracle_sql()) <= set(catalogue.queries()) and len(catalogue.queries()) > 90
 
 
+
+
+def test_speed_at_the_stop_threshold_is_that_of_sql(spark):
+    """2.8 / 10 (a bit below 0.28) and 0.96 give a speed of exactly 1.0 by sqrt(vx * vx + vy * vy): not below the threshold of 1.0."""
+    moves = [(2.8 / 10, 0.96), (0.6, 0.8), (0.28, 0.95)]
+    rows = [("c", "r", 1, k, float(k), "car", 0.0, 0.0, vx, vy, 0.0) for k, (vx, vy) in enumerate(moves)]
+    got = [(r.speed, r.stopped) for r in kinematics.car_frames(spark.createDataFrame(rows, COLS), 1.0).orderBy("frame_id").collect()]
+    assert got == [(s, s < 1.0) for s in (float(np.sqrt(vx * vx + vy * vy)) for vx, vy in moves)] and [s for _, s in got] == [False, False, True]

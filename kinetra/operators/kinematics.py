@@ -40,7 +40,7 @@ def frame_kinematics(cars: DataFrame) -> DataFrame:
     return (
         cars.withColumn("dt_s", (F.col("timestamp_ms") - lag("timestamp_ms")) / 1000.0)
         .withColumn("_da", F.col("a_lon") - lag("a_lon"))
-        .withColumn("step_m", F.coalesce(F.hypot(F.col("x") - lag("x"), F.col("y") - lag("y")), F.lit(0.0)))
+        .withColumn("step_m", F.coalesce(length(F.col("x") - lag("x"), F.col("y") - lag("y")), F.lit(0.0)))
         .withColumn("stop_transition", F.coalesce(~lag("stopped") & F.col("stopped"), F.lit(False)).cast("int"))
         .withColumn("jerk", F.when(F.col("dt_s") > 0, F.try_divide("_da", "dt_s")))
         .drop("_da")
@@ -79,6 +79,6 @@ def track_series(frames: DataFrame, city: str, recording_id: str, track_id: int)
     w = W.partitionBy(*TRACK_KEY).orderBy("timestamp_ms", "frame_id")
     rows = frames.where((F.col("city") == city) & (F.col("recording_id") == recording_id) & (F.col("track_id") == track_id))
     t0 = F.first("timestamp_ms").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
-    out = rows.withColumn("time_s", (F.col("timestamp_ms") - t0) / 1000.0).withColumn("speed", F.hypot("vx", "vy"))
+    out = rows.withColumn("time_s", (F.col("timestamp_ms") - t0) / 1000.0).withColumn("speed", length(F.col("vx"), F.col("vy")))
     dt = (F.col("timestamp_ms") - F.lag("timestamp_ms").over(w)) / 1000.0
     return out.withColumn("dt_s", dt).withColumn("jerk", F.when(F.col("dt_s") > 0, F.try_divide(F.col("a_lon") - F.lag("a_lon").over(w), F.col("dt_s"))))

@@ -48,7 +48,7 @@ def _fold(s: dict[str, float], rows: pd.DataFrame, stop_speed: float) -> None:
     jerk = np.abs(np.diff(acc)[ok] / dt[ok])
     s["jerk"] += jerk.sum()
     s["jerks"] += len(jerk)
-    s["distance"] += np.hypot(np.diff(x), np.diff(y)).sum()
+    s["distance"] += np.sqrt(np.diff(x) ** 2 + np.diff(y) ** 2).sum()
     s["transitions"] += int((~was[:-1] & was[1:]).sum())
     s["frames"] += len(speed)
     s["stopped"] += int(stopped.sum())

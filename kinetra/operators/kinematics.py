@@ -64,7 +64,7 @@ def trajectories(kinematics: DataFrame) -> DataFrame:
         F.sum("stop_transition").alias("observed_stop_transition_count"),
         F.avg(F.col("stopped").cast("double")).alias("stopped_time_ratio"),
         F.sum("step_m").alias("travel_distance_m"),
-        F.hypot(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("position_span_m"),
+        length(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("position_span_m"),
     )
     return agg.select(
         trajectory_uid().alias("trajectory_uid"),

@@ -19,7 +19,7 @@ def edge_dir(tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["frame_kinematics", "trajectory_features", "model_features", "robust_scaled"])
+@pytest.mark.parametrize("name", ["frame_kinematics", "trajectory_features", "model_features", "robust_scaled", "standard_scaled"])
 def test_rows_are_those_of_the_sql(spark, edge_dir, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{edge_dir}/events.parquet'")

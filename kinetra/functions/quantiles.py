@@ -28,6 +28,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df checkpointed for loops, as a table of which the planner knows nothing.
+
+    A checkpoint keeps the estimated size of its plan, which for a join is the product of both sides. Carried from round to round the
+    estimate doubles its digits with every join, and after a few rounds it has millions: planning takes minutes.
+    """
+    done, spark = checkpointed(df), df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(done._jdf.toJavaRDD(), done._jdf.schema()), spark)
+
+
 def _both(left: str, right: str, names: Sequence[str]) -> Column:
     out = F.lit(True)
     for n in names:

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from kinetra.functions.quantiles import checkpointed
+from kinetra.functions.quantiles import checkpointed, cut
 
 #: Dimensions by which neighbouring cells find each other.
 GRID_DIMS = 3
@@ -34,7 +34,7 @@ FEW_LINKS = 50_000
 
 def numbered(df: DataFrame, column: str, name: str, kind: str = "int") -> DataFrame:
     """df with `name`: 0, 1, ... in the order of a column of distinct values, by range partitions and their offsets."""
-    parts = checkpointed(df.repartitionByRange(column).withColumn("_p", F.spark_partition_id()))
+    parts = cut(df.repartitionByRange(column).withColumn("_p", F.spark_partition_id()))
     sizes = {r["_p"]: r["count"] for r in parts.groupBy("_p").count().collect()}  # one row for each partition
     offsets, total = [], 0
     for p in sorted(sizes):
@@ -118,10 +118,10 @@ def components(cells: DataFrame, links: DataFrame, max_rounds: int | None = None
 
     Rounds of least labels with hops; at most FEW_LINKS links, where no number of rounds is asked for, need none.
     """
-    links = checkpointed(links)
+    links = cut(links)
     if max_rounds is None and links.limit(FEW_LINKS + 1).count() <= FEW_LINKS:
         return _few_components(cells, links)
-    labels, rounds = checkpointed(cells.select("cell", "root")), 0
+    labels, rounds = cut(cells.select("cell", "root")), 0
     while True:
         if rounds == max_rounds:
             raise RuntimeError(f"labels did not settle in {max_rounds} rounds")
@@ -129,7 +129,7 @@ def components(cells: DataFrame, links: DataFrame, max_rounds: int | None = None
         least = links.join(labels.select(F.col("cell").alias("b"), "root"), "b").groupBy(F.col("a").alias("cell")).agg(F.min("root").alias("m"))
         met = labels.join(least, "cell", "left").select("cell", F.col("root").alias("before"), F.least("root", "m").alias("m"))
         hop = cells.select(F.col("root").alias("m"), F.col("cell").alias("at")).join(labels.select(F.col("cell").alias("at"), F.col("root").alias("up")), "at").select("m", "up")
-        labels = checkpointed(met.join(hop, "m", "left").select("cell", F.least("m", "up").alias("root"), "before"))
+        labels = cut(met.join(hop, "m", "left").select("cell", F.least("m", "up").alias("root"), "before"))
         if not labels.where("root <> before").limit(1).count():
             return labels.select("cell", "root")
         labels = labels.select("cell", "root")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinetra.functions.quantiles import checkpointed
+from kinetra.functions.quantiles import cut
 
 MAX_PIVOTS = 4_096
 PART_ROWS = 1_024
@@ -82,7 +82,7 @@ def _partition(points: DataFrame, seed: int) -> tuple[DataFrame, Cells] | None:
         return None
     wanted = min(MAX_PIVOTS, max(1, math.isqrt(n)))
     pivots = _matrix(pd.Series([r.v for r in points.select("q", "v").orderBy(F.xxhash64("q", F.lit(seed)), "q").limit(wanted).collect()]))
-    placed = checkpointed(_assigned(points, pivots))
+    placed = cut(_assigned(points, pivots))
     rows = placed.groupBy("cell").agg(F.max("r").alias("r"), F.sum("m").alias("m"), F.count(F.lit(1)).alias("n"), F.min("w").alias("low"), F.max("w").alias("high"), F.min("c").alias("c1"), F.max("c").alias("c2")).collect()  # a row for each pivot at most
     at = [r.cell for r in rows]
     known = {k: np.array([r[k] for r in rows], dtype=float) for k in ("r", "m", "low", "high")}
@@ -134,7 +134,7 @@ def nearest_join(queries: DataFrame, points: DataFrame, k: int = 1, mode: str =
     if found is None:
         return spark.createDataFrame([], "q long, distance double, p long")
     placed, cells = found
-    blocks = checkpointed(placed.groupBy("part").agg(F.collect_list(F.struct("q", "v", "w", "c", "m")).alias("ys")))  # about PART_ROWS points
+    blocks = cut(placed.groupBy("part").agg(F.collect_list(F.struct("q", "v", "w", "c", "m")).alias("ys")))  # about PART_ROWS points
     sent = spark.sparkContext.broadcast(cells)
 
     def spread(pdf: pd.DataFrame, chosen: np.ndarray, limit: np.ndarray, cells: Cells) -> pd.DataFrame:
@@ -175,10 +175,10 @@ def nearest_join(queries: DataFrame, points: DataFrame, k: int = 1, mode: str =
         return run
 
     visit = f"{ROW}, limit double, part long"
-    queries = checkpointed(queries.select("q", "v", F.col("w").cast("double").alias("w"), F.col("c").cast("long").alias("c")))
+    queries = cut(queries.select("q", "v", F.col("w").cast("double").alias("w"), F.col("c").cast("long").alias("c")))
     so_far = W.partitionBy("q").orderBy("distance", "p").rowsBetween(W.unboundedPreceding, W.currentRow)
     kth = lambda rows: rows.withColumn("_s", F.sum("m").over(so_far)).where((F.col("_s") >= k) & (F.col("_s") - F.col("m") < k)).select("q", "distance", "p")
-    first = checkpointed(_compare(queries.mapInPandas(plan(True), visit), blocks, k, mode))
+    first = cut(_compare(queries.mapInPandas(plan(True), visit), blocks, k, mode))
     bounded = queries.join(kth(first).select("q", F.col("distance").alias("bound")), "q", "left")
     second = _compare(bounded.mapInPandas(plan(False), visit), blocks, k, mode)
     return kth(first.unionByName(second))
@@ -192,6 +192,6 @@ def kth_distances(points: DataFrame, queries: DataFrame, id_col: str, vector_col
         return rows, rows.groupBy("v").agg(F.min("_id").alias("q"), F.count(F.lit(1)).alias("m")).select("q", "v", F.lit(0.0).alias("w"), F.col("q").alias("c"), "m")
 
     rows, asked = distinct(queries)
-    asked = checkpointed(asked)
-    found = nearest_join(asked, checkpointed(distinct(points)[1]), k)
+    asked = cut(asked)
+    found = nearest_join(asked, cut(distinct(points)[1]), k)
     return rows.join(asked.select("v", "q"), "v").join(found, "q").select(F.col("_id").alias(id_col), "distance")

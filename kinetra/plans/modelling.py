@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinetra.config import CONTINUOUS_FEATURES, CORE_FEATURES, SPECS
 from kinetra.functions.quantiles import checkpointed, quantiles
 from kinetra.operators import cluster, density, eda, neighbours, partition, preprocess, sampling
+from kinetra.operators.hdbscan import hdbscan
 from kinetra.operators.mixture import gaussian_mixtures
 from kinetra.plans.registry import query, r, rounded
 from kinetra.plans.trajectory import FEAT_SQL, eta_sql, features
@@ -283,8 +284,11 @@ def ward_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hdbscan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rows; over density.MAX_SAMPLE rows raise."""
-    return density.sampled_labels(vectors(spark, sf_dir, 4), "vec_id", D4, "hdbscan", min_cluster_size=15, min_samples=5)
+    """All rows, whatever their number; up to density.MAX_SAMPLE of them in one task."""
+    v = vectors(spark, sf_dir, 4)
+    if v.limit(density.MAX_SAMPLE + 1).count() > density.MAX_SAMPLE:
+        return hdbscan(v, "vec_id", D4, min_cluster_size=15, min_samples=5)
+    return density.sampled_labels(v, "vec_id", D4, "hdbscan", min_cluster_size=15, min_samples=5)
 
 
 @query(

@@ -113,6 +113,22 @@ def test_merges_of_a_chain_in_halves(spark, monkeypatch):
     assert [(r[0], r[1], {(r[2], r[3]), (r[4], r[5])}) for r in got] == want
 
 
+def test_query_labels_a_table_over_the_limit_of_one_task(spark, monkeypatch):
+    from kinetra.operators import density
+    from kinetra.plans import modelling
+
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(c, s, (60, 4)) for c, s in ((0, 0.3), (3, 0.2), (9, 1.0))])
+    rows = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "vec_id long, d0 double, d1 double, d2 double, d3 double")
+    monkeypatch.setattr(modelling, "vectors", lambda *_: rows)
+    want = plain(x, 15, 5)
+    assert max(want) >= 1
+    for limit in (1_000, 100):
+        monkeypatch.setattr(density, "MAX_SAMPLE", limit)
+        got = {r.vec_id: r.label for r in modelling.hdbscan_clusters(spark, "").collect()}
+        assert [got[i] for i in range(len(x))] == want
+
+
 def test_small_empty_and_unplaced_tables(spark):
     df = spark.createDataFrame([(1, 0.0), (2, None), (3, math.nan)], "i long, a double")
     assert {tuple(r) for r in h.hdbscan(df, "i", ["a"], 2, 1).collect()} == {(1, -1), (2, -1), (3, -1)}

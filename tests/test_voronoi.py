@@ -80,3 +80,12 @@ def test_ward_merges_as_in_memory(spark, small_parts, monkeypatch):
     few = df.where("i IN (0, 100, 101)")
     assert [r.label for r in density.ward(few, "i", ["a", "b"], 5).orderBy("i").collect()] == [0, 1, 2]
     assert density.ward(df.limit(0), "i", ["a", "b"], 3).collect() == []
+
+
+def test_estimates_do_not_grow_over_rounds(spark):
+    """The planner's size of a join is a product; carried over checkpoints its digits double each round, until planning never ends."""
+    t = first = voronoi.cut(table(spark, clouds(40, 2, 1)).select("q", "v"))
+    for _ in range(4):
+        t = voronoi.cut(t.join(t.select("q"), "q").join(t.select("q"), "q"))
+    size = lambda df: str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    assert size(t) == size(first) and t.count() == 40

@@ -22,21 +22,54 @@ def average_rank(value: str, partition: Sequence[str] = ()) -> Column:
     return F.rank().over(base.orderBy(value)) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
 
 
+def _splits(bounds: Sequence[float]) -> list[float]:
+    """Ends of intervals over all numbers, in which zero and each bound are intervals of their own."""
+    own = {0.0, *(x + 0.0 for x in bounds)}
+    return sorted({-math.inf, math.inf, *own, *(math.nextafter(x, math.inf) for x in own)})
+
+
 def rank_rows(df: DataFrame, values: Sequence[str], suffix: str = "_rank") -> tuple[DataFrame, DataFrame]:
     """(df with a number `_row`, `_row` and the average rank of each numeric value column as a double), for tables of any size.
 
-    All columns share one layout of (column, value) counts, so the number of exchanges does not grow with the columns. Ranks come
-    back to the rows by a join; values that hold over a thousandth of a column, under a thousand of them, are sent to the rows
-    instead, so no task sees all copies of a frequent value. Nulls rank as null.
+    Each column is cut into about two thousand intervals, at estimated quantiles that are intervals themselves; the rows of all are counted in
+    one layout, so the number of exchanges does not grow with the columns. A value that is an interval, as each is that holds over some
+    thousandths of a column, gets its rank from the counts, so no task sees all copies of a frequent value. Only the other values are
+    shuffled, to be ranked within their interval; the first of a row takes its other ranks along, and rows with several of them meet by number.
+    Estimates decide on the work, not on the ranks. Nulls rank as null.
     """
+    import pyarrow as pa
+    from pyspark.ml.feature import Bucketizer
+
     table = checkpointed(df.withColumn("_row", F.monotonically_increasing_id()))  # written, so that a retried task numbers no row anew
-    items = F.array(*[F.struct(F.lit(k).alias("_f"), F.col(v).cast("double").alias("_v")) for k, v in enumerate(values)])
-    long = table.select("_row", F.explode(items).alias("x")).select("_row", "x.*").where("_v IS NOT NULL")
-    at = checkpointed(placed(long, ["_f"], "_v").select("_f", "_v", (F.col("n") * 1_000 > F.col("total")).alias("_hot"), (F.col("before") + (F.col("n") + 1) / 2.0).alias("_r")))
-    marked = long.join(F.broadcast(at.where("_hot").select("_f", "_v", "_r")), ["_f", "_v"], "left")
-    rare = marked.where("_r IS NULL").drop("_r").join(at.where("NOT _hot").select("_f", "_v", "_r"), ["_f", "_v"])
-    ranks = marked.where("_r IS NOT NULL").unionByName(rare).groupBy("_row").agg(*[F.max(F.when(F.col("_f") == k, F.col("_r"))).alias(v + suffix) for k, v in enumerate(values)])
-    return table, ranks
+    ks = range(len(values))
+    numbers = table.select("_row", *[(F.col(v).cast("double") + 0.0).alias(f"_v{k}") for k, v in enumerate(values)])  # + 0.0: no negative zero
+    found = numbers.approxQuantile([f"_v{k}" for k in ks], [i / 1_000 for i in range(1_001)], 0.001)  # of numbers only
+    splits = [_splits(q) for q in found]
+    coded = Bucketizer(splitsArray=splits, inputCols=[f"_v{k}" for k in ks], outputCols=[f"_i{k}" for k in ks], handleInvalid="keep").transform(numbers)
+    items = F.array(*[F.struct(F.lit(k).alias("_f"), F.col(f"_i{k}").cast("int").alias("_i")) for k in ks])
+    long = coded.select(F.explode(items).alias("x")).select("x.*").where("_i IS NOT NULL")
+    # a few thousand counts for each column: ranks of the values that are intervals, and for the others how many rows lie below
+    known, below = ([[None] * len(s) for s in splits] for _ in range(2))
+    for c in placed(long, ["_f"], "_i").collect():
+        s, k = splits[c["_f"]], c["_i"]
+        if k == len(s) - 1 or k < len(s) - 2 and math.nextafter(s[k], math.inf) == s[k + 1]:  # the last are those that are not a number; the one before has infinity too
+            known[c["_f"]][k] = c.before + (c.n + 1) / 2.0
+        else:
+            below[c["_f"]][k] = float(c.before)
+    lists = pa.list_(pa.list_(pa.float64()))
+    counts = df.sparkSession.createDataFrame(pa.table({"_known": pa.array([known], lists), "_below": pa.array([below], lists)}))
+    ranks, code = [v + suffix for v in values], lambda k: F.col(f"_i{k}").cast("int")
+    sure = [F.col("_known")[k][code(k)] for k in ks]
+    rest = F.array(*[F.when(r.isNull() & F.col(f"_v{k}").isNotNull(), F.struct(F.lit(k).alias("_f"), code(k).alias("_i"), F.col(f"_v{k}").alias("_v"))) for k, r in enumerate(sure)])
+    wide = coded.crossJoin(F.broadcast(counts)).select("_row", *[r.alias(name) for r, name in zip(sure, ranks, strict=True)], F.array_compact(rest).alias("_rest"))
+    shuffled = wide.select("_row", (F.size("_rest") > 1).alias("_several"), *ranks, F.posexplode("_rest").alias("_at", "x")).select("_row", "_several", *[F.when(F.col("_at") == 0, F.col(r)).alias(r) for r in ranks], "x.*")
+    inside = F.rank().over(W.partitionBy("_f", "_i").orderBy("_v")) + (F.count(F.lit(1)).over(W.partitionBy("_f", "_i", "_v")) - 1) / 2.0
+    placed_in = shuffled.withColumn("_r", inside).crossJoin(F.broadcast(counts)).withColumn("_r", F.col("_below")[F.col("_f")][F.col("_i")] + F.col("_r"))
+    done = checkpointed(placed_in.select("_row", "_several", *[F.coalesce(F.col(r), F.when(F.col("_f") == k, F.col("_r"))).alias(r) for k, r in enumerate(ranks)]))
+    none = wide.where((F.size("_rest") == 0) & F.coalesce(*ranks).isNotNull()).select("_row", *ranks)
+    one = done.where("NOT _several").select("_row", *ranks)
+    met = done.where("_several").groupBy("_row").agg(*[F.max(r).alias(r) for r in ranks])
+    return table, none.unionByName(one).unionByName(met)
 
 
 def ranked(df: DataFrame, values: Sequence[str], suffix: str = "_rank") -> DataFrame:

@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 
+from kinetra.functions.stats import rank_rows
 from kinetra.operators import partition
 
 
@@ -50,3 +51,38 @@ def test_silhouette_of_missing_vectors_and_empty_tables(spark):
     missing = spark.createDataFrame([*some, (4, 1, None)], schema)  # no sum that it is in counts
     assert partition.silhouette_all(missing, "i", ["a"]).first().silhouette is None
     assert partition.silhouette_all(missing.limit(0), "i", ["a"]).first().silhouette is None
+
+
+def brute_rank(x):
+    """Average rank; null stays null, values that are not a number come last and are equal."""
+    order = {v: (len([w for w in x if w is not None and (v != v) > (w != w)]) + len([w for w in x if w is not None and w < v]), sum(w == v or (w is not None and v != v and w != w) for w in x)) for v in {*x} - {None}}
+    return [None if v is None else order[v][0] + (order[v][1] + 1) / 2 for v in x]
+
+
+def test_ranks_shuffle_only_values_inside_intervals(spark):
+    rng = np.random.default_rng(7)
+    nan, inf, n = float("nan"), float("inf"), 3_000
+    odd = [None, nan, inf, -inf, 0.0, -0.0, 5e-324, 1.7976931348623157e308]
+    columns = [
+        [odd[k] if k < len(odd) else float(v) for k, v in zip(rng.integers(0, 60, n), rng.normal(size=n), strict=True)],
+        [float(v) for v in rng.integers(0, 4, n)],
+        [None if v < 1 else float(v) for v in rng.normal(size=n)],
+        [inf if v < 1 else -inf if v < 2 else None for v in rng.integers(0, 3, n)],
+        [None] * n,
+    ]
+    rows = [*zip(*columns, strict=True)]
+    df = spark.createDataFrame(rows + rows[:500], "a double, b double, _f double, d double, e double").repartition(5)
+    names = df.columns
+    table, ranks = rank_rows(df, names)
+    assert not re.search(r"hashpartitioning\([^)]*_v#", plan(ranks)) and "SortMergeJoin" not in plan(ranks)  # values are neither counted nor joined by shuffle
+    got = {r._row: r for r in ranks.collect()}
+    kept = table.collect()
+    assert len(kept) == 3_500 and len({r._row for r in kept}) == 3_500 and set(got) == {r._row for r in kept if any(r[c] is not None for c in names)}
+    for c in names:
+        want = brute_rank([r[c] for r in kept])
+        assert [got[r._row][c + "_rank"] if r._row in got else None for r in kept] == want
+
+
+def test_ranks_of_one_row_and_of_infinities(spark):
+    one = spark.createDataFrame([(float("inf"), 3)], "a double, b int")
+    assert [(r.a_rank, r.b_rank) for r in rank_rows(one, ["a", "b"])[1].collect()] == [(1.0, 1.0)]

@@ -5,8 +5,9 @@ import re
 import numpy as np
 import pytest
 
+from kinetra.functions import quantiles
 from kinetra.functions.stats import rank_rows
-from kinetra.operators import partition
+from kinetra.operators import partition, quality
 
 
 def plan(df):
@@ -86,3 +87,50 @@ def test_ranks_shuffle_only_values_inside_intervals(spark):
 def test_ranks_of_one_row_and_of_infinities(spark):
     one = spark.createDataFrame([(float("inf"), 3)], "a double, b int")
     assert [(r.a_rank, r.b_rank) for r in rank_rows(one, ["a", "b"])[1].collect()] == [(1.0, 1.0)]
+
+
+AUDITED = "city string, recording_id string, track_id long, frame_id long, timestamp_ms double, agent_type string"
+
+
+def brute_audit(rows):
+    """By recording: steps that do not advance, median step, rows, repeated frames and times, tracks of several types; nulls come first in order and are alike."""
+    low, out = lambda v: (v is not None, v or 0), {}
+    for rec in {r[:2] for r in rows}:
+        own = [r for r in rows if r[:2] == rec]
+        still = frames = times = mixed = 0
+        steps = []
+        for t in {r[2] for r in own}:
+            track = sorted((r for r in own if r[2] == t), key=lambda r: (low(r[4]), low(r[3])))
+            d = [b[4] - a[4] for a, b in zip(track, track[1:]) if a[4] is not None and b[4] is not None]
+            still, steps = still + sum(x <= 0 for x in d), steps + [x for x in d if x > 0]
+            frames, times = frames + len(track) - len({r[3] for r in track}), times + len(track) - len({r[4] for r in track})
+            mixed += len({r[5] for r in track} - {None}) > 1
+        out[rec] = (still, float(np.median(steps)) if steps else None, len(own), frames, times, mixed)
+    return out
+
+
+def test_audit_deals_the_frames_once(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    maybe = lambda v, share=0.05: None if rng.random() < share else v
+    rows = [(maybe(f"c{k % 2}"), maybe(f"r{k % 3}"), maybe(int(k % 11)), maybe(int(rng.integers(0, 300))), maybe(float(rng.integers(0, 500))), maybe(str(rng.choice(["car", "truck"])) if k % 11 < 3 else "car")) for k in range(1_500)]
+    rows += rows[:100] + [("c9", "alone", 1, 1, 1.0, None)]
+    spark.createDataFrame(rows, AUDITED).repartition(3).write.parquet(str(tmp_path / "frames"))
+    audit = quality.frame_quality_audit(spark.read.parquet(str(tmp_path / "frames")))
+    assert "FileScan" not in plan(audit)  # the frames are read and dealt before, once for all figures
+    assert {tuple(r)[:2]: tuple(r)[2:] for r in audit.collect()} == {k: pytest.approx(v) for k, v in brute_audit(rows).items()}
+    assert quality.frame_quality_audit(spark.createDataFrame([], AUDITED)).count() == 0
+
+
+def test_places_need_no_join(spark):
+    rng = np.random.default_rng(2)
+    rows = [(None if k % 7 == 0 else f"g{k % 3}", None if v == 0 else float(v)) for k, v in enumerate(rng.integers(0, 40, 900))]
+    at = quantiles.placed(spark.createDataFrame(rows, "g string, v double").repartition(4), ["g"], "v")
+    assert "Join" not in plan(at)  # it dealt all distinct values once more where the offsets were not small
+    want = {}
+    for g in {r[0] for r in rows}:
+        x = [(v is not None, v or 0.0) for h, v in rows if h == g]
+        want |= {(g, v[1] if v[0] else None): (x.count(v), sum(w < v for w in x), len(x)) for v in x}
+    assert {(r.g, r.v): (r.n, r.before, r.total) for r in at.collect()} == want
+    structs = quantiles.placed(spark.range(50).selectExpr("struct(id % 5 AS a, id AS b) AS s"), [], "s").collect()
+    assert sorted((r.before, r.s.a, r.s.b) for r in structs) == [(k, *v) for k, v in enumerate(sorted((i % 5, i) for i in range(50)))] and {r.total for r in structs} == {50}
+    assert quantiles.placed(spark.createDataFrame([], "g string, v double"), ["g"], "v").collect() == []

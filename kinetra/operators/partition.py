silhouette_exact: the distance function travels with its task

Symptom: run from a folder outside the repository, the query failed in the Python workers: no module named kinetra.
Evidence: the function of the tiles stood in the module and was sent by name; before these changes all of the task's code was sent whole.
Fix: it stands inside silhouette_all, unchanged, and is sent with the rest.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 540 -> 323 s, shuffle 0.06 -> 0.02 GB, spill 0.00 -> 0.00 GB, read 0.04 -> 0.04 GB, longest task 21 -> 12 s, most memory of a task 72 -> 36 MB; at 6 GB of input CPU 10851 -> 6321 s, shuffle 0.38 -> 0.09 GB, spill 0.00 -> 0.00 GB, read 0.27 -> 0.27 GB, longest task 114 -> 63 s, most memory of a task 151 -> 36 MB; with hot keys, at 1 GB of input CPU 245 -> 145 s, shuffle 0.03 -> 0.01 GB, spill 0.00 -> 0.00 GB, read 0.03 -> 0.03 GB, longest task 9 -> 5 s, most memory of a task 72 -> 36 MB.

@@ -87,21 +87,6 @@ def silhouette(df: DataFrame, id_col: str, columns: Sequence[str], label: str =
     return parts.mapInPandas(run, "s double").agg(F.avg("s").alias("silhouette"))
 
 
-def _distance_sums(x, y, member):
-    """For each row of x the sum of its distances to the rows of y in each column of `member`, in tiles that stay in the processor's cache."""
-    import numpy as np
-
-    sums, step, by_column = np.empty((len(x), member.shape[1])), max(1, 32_768 // len(y)), np.ascontiguousarray(y.T)
-    for lo in range(0, len(x), step):
-        part = x[lo : lo + step]
-        sq, one = np.zeros((len(part), len(y))), np.empty((len(part), len(y)))
-        for c, values in enumerate(by_column):
-            np.subtract(part[:, c, None], values, out=one)
-            np.add(sq, np.square(one, out=one), out=sq)
-        sums[lo : lo + step] = np.sqrt(sq, out=sq) @ member
-    return sums
-
-
 def silhouette_all(df: DataFrame, id_col: str, columns: Sequence[str], label: str = "label", block_rows: int = 2_048) -> DataFrame:
     """One row (silhouette): mean over all clustered rows, Euclidean, every row against all rows; null as in `silhouette`.
 
@@ -121,6 +106,18 @@ def silhouette_all(df: DataFrame, id_col: str, columns: Sequence[str], label: st
     if sent:
         right = F.broadcast(right)
 
+    def distance_sums(x, y, member):
+        """For each row of x the sum of its distances to the rows of y in each column of `member`, in tiles that stay in the processor's cache."""
+        sums, step, by_column = np.empty((len(x), member.shape[1])), max(1, 32_768 // len(y)), np.ascontiguousarray(y.T)
+        for lo in range(0, len(x), step):
+            part = x[lo : lo + step]
+            sq, one = np.zeros((len(part), len(y))), np.empty((len(part), len(y)))
+            for c, values in enumerate(by_column):
+                np.subtract(part[:, c, None], values, out=one)
+                np.add(sq, np.square(one, out=one), out=sq)
+            sums[lo : lo + step] = np.sqrt(sq, out=sq) @ member
+        return sums
+
     def tables(keys, _, sums):
         for lb, (s, n) in sums.items():  # rows with the same id and label are one, with the sums of all
             yield keys.assign(lb=lb, s=s, n=n).groupby(["i", "la", "lb"], dropna=False, sort=False, as_index=False).sum(min_count=1)
@@ -134,7 +131,7 @@ def silhouette_all(df: DataFrame, id_col: str, columns: Sequence[str], label: st
                     held[b] = pd.DataFrame({"i": np.asarray(i, dtype=object), "la": la}), np.array(va, dtype=float).reshape(len(la), -1), {}
                 _, x, sums = held[b]
                 names, at, sizes = np.unique(lb, return_inverse=True, return_counts=True)
-                for k, s, n in zip(names, _distance_sums(x, np.array(vb, dtype=float).reshape(len(lb), -1), np.eye(len(names))[at]).T, sizes, strict=True):
+                for k, s, n in zip(names, distance_sums(x, np.array(vb, dtype=float).reshape(len(lb), -1), np.eye(len(names))[at]).T, sizes, strict=True):
                     was, n0 = sums.get(k, (np.nan, 0))
                     sums[k] = np.where(np.isnan(was), s, np.where(np.isnan(s), was, was + s)), n0 + n  # a sum that is not a number is none
                 if len(sums) > most_labels:
